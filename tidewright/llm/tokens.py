@@ -37,20 +37,27 @@ WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 
 
 @functools.cache
-def symbol_table() -> np.ndarray:
-    """Class of each code point: letter, number, blank, other white space, other."""
+def _tables_of_code_points() -> tuple[np.ndarray, np.ndarray]:
+    kinds = np.array([unicodedata.category(c) for c in map(chr, range(0x110000))], "S2")
     t = np.full(0x110000, O, np.uint8)
-    for c in range(0x110000):
-        k = unicodedata.category(chr(c))[0]
-        if k == "L":
-            t[c] = L
-        elif k == "N":
-            t[c] = N
+    first = kinds.astype("S1")
+    t[first == b"L"], t[first == b"N"] = L, N
     t[WHITE] = WS
     t[32] = SP
-    return t
+    return t, kinds == b"Ll"
+
 
+def symbol_table() -> np.ndarray:
+    """Class of each code point: letter, number, blank, other white space, other."""
+    return _tables_of_code_points()[0]
 
+
+def small_letters() -> np.ndarray:
+    """Whether each code point is a small letter."""
+    return _tables_of_code_points()[1]
+
+
+@functools.cache
 def _tables(blank_joins: bool) -> tuple[np.ndarray, np.ndarray]:
     """(transition[symbol, state], boundary-before[symbol, state]) of a pre-tokenizer.
 
@@ -104,72 +111,74 @@ def scan_states(symbols: np.ndarray, step: np.ndarray, block: int = 128) -> np.n
     return out.T.ravel()[:n]
 
 
-class Chunk:
-    """Texts of a chunk with their pieces and tokens, as arrays.
+class Cuts:
+    """Texts of a chunk and the places of their pieces, as arrays over the joined text.
 
-    piece_start, piece_end: code points in the joined text; piece_ix: cache index;
-    doc_piece: first piece of each text (one more at the end).
+    piece_start, piece_end: code points; slices: the pieces' bytes; byte_at: byte of each
+    code point; doc_at: first code point of each text; doc_piece: first piece of each
+    text (one more at the end).
     """
 
-    def __init__(self, texts: list[str], coder: Coder):
-        self.texts = texts
+    def __init__(self, texts: list[str], blank_joins: bool):
+        step, before = _tables(blank_joins)
         self.joined = "\n".join(texts)
-        raw = self.joined.encode("utf-32-le")
-        self.cp = cp = np.frombuffer(raw, np.uint32)
+        self.cp = cp = np.frombuffer(self.joined.encode("utf-32-le"), np.uint32)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(lens + 1) - 1
         self.doc_at = ends - lens
-        sym = symbol_table()[cp]
+        self.sym = sym = symbol_table()[cp]
         seps = ends[:-1]
         sym[seps] = RESET
+        white = (sym == SP) | (sym == WS)
         # apostrophes that open a contraction: one or two given letters follow
         for i in np.flatnonzero(cp == 39):
             two = self.joined[i + 1 : i + 3]
-            if two[:1] in ("s", "t", "m", "d") and two:
+            if two and two[0] in "stmd":
                 sym[i] = A1
             elif two in ("re", "ve", "ll"):
                 sym[i] = A2
-        before = scan_states(sym, coder.step)
-        cut = coder.before[sym, before]
-        white = (sym == SP) | (sym == WS)
-        if coder.blank_joins:
+        edge = before[sym, scan_states(sym, step)]
+        keep = np.ones(len(cp), bool)
+        if blank_joins:
             # the last of several white-space characters stands apart if text follows
-            last = np.zeros(len(cp), bool)
-            if len(cp):
-                last[:-1] = white[:-1] & ~white[1:] & (sym[1:] != RESET)
-            cut |= last & white
-            body = np.ones(len(cp), bool)
+            edge[:-1] |= white[:-1] & ~white[1:] & (sym[1:] != RESET)
         else:
-            body = ~white
-        body[seps] = False
-        edge = cut.copy()
-        if not coder.blank_joins and len(cp):
             edge |= white
+            keep = ~white
         edge[seps] = True
+        keep[seps] = False
         at = np.flatnonzero(edge)
         nxt = np.append(at[1:], len(cp))
-        keep = body[at] & (nxt > at)
+        keep = keep[at]
         self.piece_start, self.piece_end = at[keep], nxt[keep]
-        width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
-        self.byte_at = np.concatenate([[0], np.cumsum(width)])
+        width = np.ones(len(cp), np.int8)
+        for top in (0x80, 0x800, 0x10000):
+            width += cp >= top
+        self.byte_at = np.zeros(len(cp) + 1, np.int64)
+        np.cumsum(width, out=self.byte_at[1:])
         data = self.joined.encode()
-        table = coder.table()
         a, b = self.byte_at[self.piece_start].tolist(), self.byte_at[self.piece_end].tolist()
-        self.piece_ix = np.fromiter(map(table.__getitem__, [data[x:y] for x, y in zip(a, b)]), np.int64, len(a))
-        self.table = table
+        self.slices = [data[x:y] for x, y in zip(a, b)]
         self.doc_piece = np.searchsorted(self.piece_start, np.append(self.doc_at, len(cp) + 1))
-        self.piece_n = table.count[self.piece_ix]
+
+
+class Chunk:
+    """The tokens of a chunk by one tokenizer: piece_ix is each piece's place in the cache."""
+
+    def __init__(self, cuts: Cuts, coder: Coder):
+        self.cuts, self.table = cuts, coder.table()
+        self.piece_ix = np.fromiter(map(self.table.__getitem__, cuts.slices), np.int64, len(cuts.slices))
+        self.piece_n = self.table.count[self.piece_ix]
+        self.total = np.concatenate([[0], np.cumsum(self.piece_n)])
 
     def counts(self) -> np.ndarray:
         """Tokens of each text."""
-        total = np.concatenate([[0], np.cumsum(self.piece_n)])
-        return total[self.doc_piece[1:]] - total[self.doc_piece[:-1]]
+        return np.diff(self.total[self.cuts.doc_piece])
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, index of each text's first, one more at the end)."""
-        n, total = self.piece_n, np.concatenate([[0], np.cumsum(self.piece_n)])
-        where = np.repeat(self.table.at[self.piece_ix] - total[:-1], n) + np.arange(total[-1])
-        return self.table.flat[where], total[self.doc_piece]
+        where = np.repeat(self.table.at[self.piece_ix] - self.total[:-1], self.piece_n) + np.arange(self.total[-1])
+        return self.table.flat[where], self.total[self.cuts.doc_piece]
 
 
 class Pieces(dict):
@@ -200,7 +209,6 @@ class Coder:
     def __init__(self, name: str, folder: str):
         self.name, self.folder = name, folder
         self.blank_joins = name != "word_bpe_49k"
-        self.step, self.before = _tables(self.blank_joins)
         if self.blank_joins:
             ranks = read_ranks(os.path.join(folder, f"{name}.tiktoken"))
             self.vocab = [b""] * (max(ranks.values()) + 1)
@@ -222,8 +230,15 @@ class Coder:
 
     @functools.cached_property
     def id_bytes(self) -> np.ndarray:
-        """Byte length of each id (byte-level tokenizers)."""
-        return np.fromiter(map(len, self.vocab), np.int64, len(self.vocab))
+        """Bytes of the text that each id stands for."""
+        if self.blank_joins:
+            return np.fromiter(map(len, self.vocab), np.int64, len(self.vocab))
+        # a byte of the text is one character of a token's name; the mark of a word's end is no text
+        names = self.whole.get_vocab()
+        out = np.zeros(max(names.values()) + 1, np.int64)
+        for k, v in names.items():
+            out[v] = len(k.removesuffix("</w>"))
+        return out
 
     def prepared(self, text: str) -> str | None:
         """The text as the automaton takes it, of the same length; None if the tokenizer's
@@ -237,7 +252,7 @@ class Coder:
         return low if plain else None
 
     def chunk(self, texts: list[str]) -> Chunk:
-        return Chunk(texts, self)
+        return Chunk(Cuts(texts, self.blank_joins), self)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         out: list = [None] * len(texts)
