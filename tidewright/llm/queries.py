@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, splitting, termfreq, tokens
+from . import glyphs, mixing, splitting, termfreq, tokens
 
 
 def p2_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_stats(spark, d).where("mark is not null").select("term_key", "mark")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return glyphs.same_text_pairs(table(spark, d, "segment_results"))
+
+
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of final and hops in its canonical form."""
+    v = glyphs.values(table(spark, d, "segment_results").where("result_id is not null"), ["result_id"])
+    return glyphs.canonical(v, ["result_id", "field", "hop_no"], F.col("value")).select("result_id", "field", "hop_no", F.col("_form").alias("form")).distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -56,7 +66,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_stats, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_pieces)
+    for f in (p2_found, p2_stats, p5_found, p5_forms, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_pieces)
 }
 
 _TERMS = """
@@ -67,7 +77,14 @@ _STATS = f"""SELECT term_key, CAST(sum(seen) AS BIGINT) AS seen, CAST(sum(surviv
   CASE WHEN sum(seen) <= 2 THEN 'rare' WHEN count(DISTINCT run_id) > 0.05 * (SELECT count(DISTINCT run_id) FROM runs) THEN 'common' END AS mark
   FROM {_TERMS} GROUP BY term_key"""
 
+_FORMS = f"""SELECT result_id, doc_id, span_lo, field, hop_no, value, CASE WHEN regexp_matches(value, '^[\\n\\r -~]*$') THEN value ELSE {glyphs.canonical_sql("value")} END AS form FROM (
+  SELECT result_id, doc_id, span_lo, 'final' AS field, -1 AS hop_no, final AS value FROM segment_results
+  UNION SELECT result_id, doc_id, span_lo, 'hops', CAST(i - 1 AS INT), hops[i] FROM (SELECT *, unnest(range(1, len(hops) + 1)) AS i FROM segment_results)) WHERE value IS NOT NULL"""
+
 SQL: dict[str, str] = {
+    "p5_forms": f"SELECT DISTINCT result_id, field, hop_no, form FROM ({_FORMS})",
+    "p5_found": f"""WITH f AS ({_FORMS}) SELECT a.field, a.hop_no, a.result_id AS result_a, b.result_id AS result_b FROM f a JOIN f b
+  ON a.doc_id = b.doc_id AND a.span_lo = b.span_lo AND a.field = b.field AND a.hop_no = b.hop_no AND a.form = b.form AND a.result_id < b.result_id AND a.value <> b.value""",
     "p2_stats": _STATS,
     "p2_found": f"SELECT term_key, mark FROM ({_STATS}) WHERE mark IS NOT NULL",
     "p6_roundtrip": "SELECT true AS same, count(*) AS documents FROM documents",
