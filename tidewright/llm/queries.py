@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import glyphs, mixing, sentences, splitting, termfreq, tokens
+from . import align, glyphs, mixing, sentences, splitting, termfreq, tokens
 
 
 def p2_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_stats(spark, d).where("mark is not null").select("term_key", "mark")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "segment_results")
+    model = sentences.train(sentences.sample_values(t))
+    return align.aligned(t, model, align.train(align.sample_pairs(t)))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "segment_results")
     return sentences.sentences(t, sentences.train(sentences.sample_values(t)))
@@ -71,7 +77,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_stats, p4_found, p5_found, p5_forms, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_pieces)
+    for f in (p2_found, p2_stats, p3_found, p4_found, p5_found, p5_forms, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_pieces)
 }
 
 _TERMS = """
