@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import align, glyphs, mixing, sentences, splitting, termfreq, tokens
+from . import align, glyphs, mixing, sentences, splitting, termfreq, tokens, truncation
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "segment_results")
+    splitter = sentences.train(sentences.sample_values(t))
+    return truncation.scored(t, truncation.train(truncation.sample_rows(t), splitter, align.train(align.sample_pairs(t))))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("result_id", F.inline("cut"))
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(_scored(spark, d), table(spark, d, "runs"))
 
 
 def p2_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +91,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_stats, p3_found, p4_found, p5_found, p5_forms, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_pieces)
+    for f in (p1_found, p1_rates, p2_found, p2_stats, p3_found, p4_found, p5_found, p5_forms, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_pieces)
 }
 
 _TERMS = """
