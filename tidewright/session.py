@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once a context.
+
+    The driver serves the archive itself, so workers need neither this folder nor its path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewright_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="tidewright-"), "tidewright_package")
+    with tempfile.TemporaryDirectory() as tmp:
+        shutil.copytree(here, os.path.join(tmp, "tidewright"), ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(name, "zip", tmp)
+    sc.addPyFile(archive)
+    sc._tidewright_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory (a file or a directory of parts)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1 +1 @@
-
+"""Incremental runs: documents or results that arrive over time."""
