@@ -69,8 +69,8 @@ BUCKETS = [(0.9, 1.01, "0.90+"), (0.8, 0.9, "0.80-0.90"), (0.7, 0.8, "0.70-0.80"
 
 def histogram(sims: DataFrame) -> DataFrame:
     """(bucket, n) of the five ranges of overlap, empty ones too: one pass of conditional counts."""
-    one = sims.agg(*[F.count_if((F.col("similarity") >= lo) & (F.col("similarity") < hi)).alias(name) for lo, hi, name in BUCKETS])
-    return one.unpivot([], [n for *_, n in BUCKETS], "bucket", "n")
+    one = sims.agg(*[F.count_if((F.col("similarity") >= lo) & (F.col("similarity") < hi)).alias(f"_{i}") for i, (lo, hi, _) in enumerate(BUCKETS)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(name).alias("bucket"), F.col(f"_{i}").alias("n")) for i, (*_, name) in enumerate(BUCKETS)])))
 
 
 def reasons(results: DataFrame, k: int = 8) -> DataFrame:

@@ -1,14 +1,408 @@
-"""All core queries by name, with their SQL."""
+"""All core queries by name, with the SQL that gives the same result in DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import patterns as P
+from ..functions import text as T
+from ..operators import graph, masking, mining, report, spans
+from ..operators.cache import through_cache
+from ..session import table
+from ..sources import base
+from . import translate
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/runs.parquet")
+def add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        SQL[name] = sql
+
+
+def scalar(name: str, tab: str, key: str, value: Callable[..., Column], cols: list[str], sql: str, where: str = "true") -> None:
+    """A query (key, v) of one value per row, each distinct pair once: a redelivered row counts once."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        t = table(spark, d, tab).where(where)
+        return t.select(key, value(*map(F.col, cols)).alias("v")).dropDuplicates([key])
+
+    add(name, query, f"SELECT DISTINCT {key}, {sql} AS v FROM {tab} WHERE {where}")
+
+
+# ---- SQL fragments
+W, SP = P.W, P.SPACE
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def qs(words: list[str]) -> str:
+    return "(" + ", ".join(map(q, words)) + ")"
+
+
+def s_strip(t: str) -> str:
+    return f"regexp_replace({t}, {q(rf'^[{SP}]+|[{SP}]+$')}, '', 'g')"
+
+
+def s_bare(t: str) -> str:
+    return f"regexp_replace({t}, {q(P.SENTINEL)}, ' ', 'g')"
+
+
+def s_all(t: str, p: str, g: int = 0) -> str:
+    return f"regexp_extract_all({t}, {q(p)}, {g})"
+
+
+def s_numbers(t: str) -> str:
+    return f"list_sort([regexp_replace(x, '[^\\p{{Nd}}]', '', 'g') for x in {s_all(s_bare(t), P.NUMBER)}])"
+
+
+def s_identifiers(t: str) -> str:
+    p = rf"(?:^|[^{W}])([A-Za-z][{W}.-]*\p{{Nd}}[{W}.-]*)"
+    return f"list_sort([regexp_replace(x, '[.-]+$', '') for x in {s_all(s_bare(t), p, 1)}])"
+
+
+def s_escapes(t: str) -> str:
+    return f"list_sort({s_all(t, P.ESCAPE)})"
+
+
+def s_cues(t: str, words: list[str]) -> str:
+    return f"len([x for x in {s_all(s_bare(t), P.LETTERS)} if lower(x) IN {qs(words)} OR ends_with(lower(x), 'n''t')])"
+
+
+def s_sentences(t: str) -> str:
+    return f"greatest(1, len({s_all(s_strip(s_bare(t)), P.SENTENCE_END)}))"
+
+
+def s_sentinels(t: str) -> str:
+    p = r"\[\[(\p{Nd}+)\]\]"
+    return s_all(t, p, 1)
+
+
+def s_words(t: str) -> str:
+    return f"len({s_all(s_bare(t), rf'[^{SP}]+')})"
+
+
+def s_content(t: str) -> str:
+    return f"list_distinct([lower(x) for x in {s_all(t, P.CONTENT_WORD)} if length(x) > 2 AND lower(x) NOT IN {qs(P.STOP_WORDS)}])"
+
+
+def s_jaccard(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / CAST(len(list_distinct(list_concat({a}, {b}))) AS DOUBLE) END"
+
+
+def s_candidates(t: str) -> str:
+    hy = s_all(t, rf"(?:^|[^{W}])([A-Za-z][{W}]*(?:-[{W}]+)+)", 1)
+    # every separator twice, so that one match's end is not the next one's start
+    twice = f"regexp_replace({t}, {q(rf'([^{W}])')}, '\\1\\1', 'g')"
+    cap = f"[replace(x, '  ', ' ') for x in {s_all(twice, rf'(?:^|[^{W}])([A-Z][a-z]+(?:  [A-Z][a-z]+)+)(?:[^{W}]|$)', 1)}]"
+    co = s_all(t, rf"(?:^|[^{W}])([A-Za-z]+[A-Z0-9][{W}]*)", 1)
+    c = f"list_distinct(list_concat({hy}, {cap}, {co}))"
+    return f"(SELECT [t for t in c if len([o for o in c if o <> t AND contains(o, t)]) = 0] FROM (SELECT {c} AS c))"
+
+
+def s_high(i: str) -> str:
+    return f"coalesce(len([x for x in {i} if x.severity = 'high']), 0)"
+
+
+ONCE = "(SELECT * EXCLUDE (loaded_at) FROM segment_results GROUP BY ALL)"
+RUNS_ONCE = "(SELECT * EXCLUDE (loaded_at) FROM runs GROUP BY ALL)"
+
+
+def results(spark: SparkSession, d: str) -> DataFrame:
+    return report.latest(table(spark, d, "segment_results"), "result_id")
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    return report.latest(table(spark, d, "runs"), "run_id")
+
+
+# ---- projections and predicates
+OF = ["original", "final"]
+BOTH = "original IS NOT NULL AND final IS NOT NULL"
+scalar("words_per_segment", "segment_results", "result_id", T.word_count, ["original"], s_words("original"))
+scalar("worth_translating", "segment_results", "result_id", T.long_enough, ["original"], f"{s_words('original')} >= {P.MIN_WORDS}")
+scalar("has_words", "segment_results", "result_id", T.has_words, ["final"], f"regexp_matches(regexp_replace(final, {q(P.SENTINEL)}, '', 'g'), '\\p{{L}}')")
+scalar("changed", "segment_results", "result_id", lambda o, f: f != o, OF, "final <> original")
+scalar("standalone_latex", "documents", "doc_id", T.is_standalone, ["text"], "regexp_matches(regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1', 'g'), '\\\\begin\\s*\\{document\\}')")
+scalar("strip_comments", "documents", "doc_id", lambda t: F.length(T.strip_comments(t)), ["text"], "length(regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1', 'g'))")
+scalar("format_of_path", "documents", "doc_id", base.format_of, ["path"], "CASE WHEN regexp_matches(lower(path), '\\.(md|markdown|mdown)$') THEN 'markdown' WHEN regexp_matches(lower(path), '\\.(tex|latex)$') THEN 'latex' END")
+scalar("control_tokens", "segment_results", "result_id", T.strip_control_tokens, ["final"], f"regexp_replace(final, {q(P.CONTROL_TOKEN)}, '', 'g')")
+scalar("sentinel_ids", "segment_results", "result_id", lambda h: T.sentinels(F.try_element_at(h, F.lit(1))), ["hops"], s_sentinels("hops[1]"))
+
+# ---- multisets, counts, checks, comparison
+scalar("number_multiset", "segment_results", "result_id", T.numbers, ["original"], s_numbers("original"))
+scalar("identifier_multiset", "segment_results", "result_id", T.identifiers, ["original"], s_identifiers("original"))
+scalar("escape_multiset", "documents", "doc_id", T.escapes, ["text"], s_escapes(s_bare("text")))
+scalar("negation_cues", "segment_results", "result_id", T.negation_count, ["final"], s_cues("final", P.NEGATIONS))
+scalar("hedge_cues", "segment_results", "result_id", T.hedge_count, ["final"], s_cues("final", P.HEDGES))
+scalar("sentence_stops", "segment_results", "result_id", T.sentence_count, ["original"], s_sentences("original"))
+scalar("lost_numbers", "segment_results", "result_id", lambda o, f: F.size(T.multiset_minus(T.numbers(o), T.numbers(f))), OF,
+       f"(SELECT coalesce(sum(greatest(0, coalesce(a.n, 0) - coalesce(b.n, 0))), 0) FROM (SELECT x, count(*) AS n FROM (SELECT unnest({s_numbers('original')}) AS x) GROUP BY x) a LEFT JOIN (SELECT x, count(*) AS n FROM (SELECT unnest({s_numbers('final')}) AS x) GROUP BY x) b USING (x))", BOTH)
+scalar("content_overlap", "segment_results", "result_id", lambda o, f: F.round(T.jaccard(T.content_words(o), T.content_words(f)), 9), OF, f"round({s_jaccard(s_content('original'), s_content('final'))}, 9)", BOTH)
+scalar("candidate_terms", "segment_results", "result_id", lambda o: F.array_sort(T.candidate_terms(o)), ["original"], f"list_sort({s_candidates('original')})", "original IS NOT NULL")
+
+
+def _verdict(same: bool) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        v = table(spark, d, "segment_results").where(BOTH).dropDuplicates(["result_id"]).select("result_id", T.verdict(F.col("original"), F.col("final"), same).alias("checks"))
+        return v.select("result_id", F.transform("checks", lambda c: F.concat(c["name"], F.lit("="), c["ok"].cast("string"))).alias("checks"), T.passed(F.col("checks")).alias("ok"))
+
+    return query
+
+
+def s_verdict(same: bool) -> str:
+    o, f = "original", "final"
+    c = {
+        "nonempty": f"{s_strip(f)} <> ''",
+        "sentinels": f"list_sort({s_sentinels(o)}) = list_sort({s_sentinels(f)})",
+        "control_tokens": f"NOT regexp_matches({f}, {q(P.CONTROL_LEAK)})",
+        "chatter": f"NOT regexp_matches({f}, {q(P.CHATTER)}) OR regexp_matches({o}, {q(P.CHATTER)})",
+        "length": f"length({o}) < 40 OR length({f}) / CAST(greatest(length({o}), 1) AS DOUBLE) BETWEEN 0.5 AND 2.0",
+        "numbers": f"{s_numbers(o)} = {s_numbers(f)}",
+        "escapes": f"{s_escapes(o)} = {s_escapes(f)}",
+    } | ({"negation": f"{s_cues(o, P.NEGATIONS)} = {s_cues(f, P.NEGATIONS)}"} if same else {})
+    checks = ", ".join(f"'{k}=' || CAST(({v}) AS VARCHAR)" for k, v in c.items())
+    return f"SELECT result_id, checks, len([x for x in checks if ends_with(x, 'false')]) = 0 AS ok FROM (SELECT DISTINCT result_id, [{checks}] AS checks FROM segment_results WHERE {BOTH})"
+
+
+add("verdict_same_language", _verdict(True), s_verdict(True))
+add("verdict_other_language", _verdict(False), s_verdict(False))
+
+
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "segment_results").where(BOTH).dropDuplicates(["result_id"])
+    return t.select("result_id", T.summary(T.verdict(F.col("original"), F.col("final"))).alias("summary"))
+
+
+add("verdict_summary", _summary)
+
+
+def _issues(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "segment_results").where(BOTH).dropDuplicates(["result_id"])
+    i = t.select("result_id", F.inline(T.compare(F.col("original"), F.col("final"))))
+    return i.select("result_id", "kind", "severity", F.when(F.col("kind").isin("negation", "hedging", "structure"), F.col("detail")).alias("detail"))
+
+
+def s_issues() -> str:
+    o, f = "original", "final"
+    n, h, s = (lambda t: s_cues(t, P.NEGATIONS)), (lambda t: s_cues(t, P.HEDGES)), s_sentences
+    parts = [
+        ("numbers", "high", f"{s_numbers(o)} <> {s_numbers(f)}", "NULL"), ("identifiers", "high", f"{s_identifiers(o)} <> {s_identifiers(f)}", "NULL"),
+        ("escapes", "high", f"{s_escapes(s_bare(o))} <> {s_escapes(s_bare(f))}", "NULL"), ("negation", "high", f"{n(o)} <> {n(f)}", f"{n(o)} || ' negation cue(s) became ' || {n(f)}"),
+        ("hedging", "low", f"{h(o)} <> {h(f)}", f"{h(o)} || ' hedge(s) became ' || {h(f)} || CASE WHEN {h(f)} < {h(o)} THEN ', firmed up' ELSE ', softened' END"),
+        ("structure", "low", f"abs({s(o)} - {s(f)}) > greatest(1, {s(o)} // 3)", f"{s(o)} || ' sentence(s) became ' || {s(f)}"),
+    ]
+    one = f"(SELECT DISTINCT result_id, original, final FROM segment_results WHERE {BOTH})"
+    return " UNION ALL ".join(f"SELECT result_id, '{k}' AS kind, '{sev}' AS severity, {detail} AS detail FROM {one} WHERE {cond}" for k, sev, cond, detail in parts)
+
+
+add("fidelity_issues", _issues, s_issues())
+
+
+def _differences(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "segment_results").where(BOTH).dropDuplicates(["result_id"])
+    side = lambda c, k: t.select("result_id", F.explode(F.split(F.lower(c), rf"[{SP}]+", -1)).alias("word")).where("word <> ''").groupBy("result_id", "word").agg(F.count("*").alias(k))
+    j = side("original", "n").join(side("final", "m"), ["result_id", "word"], "full").na.fill(0, ["n", "m"])
+    return j.select("result_id", "word", F.greatest(F.col("n") - F.col("m"), F.lit(0)).alias("lost"), F.greatest(F.col("m") - F.col("n"), F.lit(0)).alias("gained")).where("lost > 0 or gained > 0")
+
+
+def s_side(c: str) -> str:
+    return f"SELECT result_id, word, count(*) AS n FROM (SELECT result_id, unnest(regexp_split_to_array(lower({c}), {q(f'[{SP}]+')})) AS word FROM (SELECT DISTINCT result_id, original, final FROM segment_results WHERE {BOTH})) WHERE word <> '' GROUP BY ALL"
+
+
+add("multiset_difference", _differences, f"SELECT result_id, word, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS lost, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS gained FROM ({s_side('original')}) a FULL JOIN ({s_side('final')}) b USING (result_id, word) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)")
+
+# ---- repair and layout
+IN = P.INLINE
+scalar("pivot_artifacts", "segment_results", "result_id", lambda f: T.strip_pivot_artifacts(f)["text"], ["final"],
+       f"regexp_replace(regexp_replace(regexp_replace(translate(final, '{''.join(P.PIVOT_SPACES)}', '    '), {q(rf'[{IN}]+([.,;:!?%)\]])')}, '\\1', 'g'), {q(rf'([(\[])[{IN}]+')}, '\\1', 'g'), {q(rf'[{IN}]{{2,}}')}, ' ', 'g')")
+
+
+def _echo_sql() -> str:
+    t = "final"
+    for p, _ in P.ECHOED:
+        p = p.replace(r"\A", "^")
+        t = f"CASE WHEN regexp_matches({t}, {q(p)}) AND NOT regexp_matches(original, {q(p)}) THEN regexp_replace({t}, {q(p)}, '') ELSE {t} END"
+    return t
+
+
+scalar("echoed_markers", "segment_results", "result_id", lambda o, f: T.strip_echoed_markers(o, f)["text"], OF, _echo_sql(), BOTH)
+S_WIDTHS = f"[length(x) for x in string_split(text, chr(10)) if {s_strip('x')} <> '']"
+scalar("wrap_width", "documents", "doc_id", T.detect_width, ["text"], f"CASE WHEN len({S_WIDTHS}) >= 2 AND list_max({S_WIDTHS}) >= 20 AND list_min({S_WIDTHS}[:-2]) >= list_max({S_WIDTHS}) - 24 THEN list_max({S_WIDTHS}) END")
+S_TOKENS = f"[x for x in regexp_split_to_array(final, {q(f'[{SP}]+')}) if x <> '']"
+scalar("greedy_wrap", "segment_results", "result_id", lambda f: T.rewrap(f, F.lit(60)), ["final"],
+       f"CASE WHEN len({S_TOKENS}) = 0 THEN final ELSE list_reduce({S_TOKENS}, lambda a, t: a || CASE WHEN length(regexp_extract(a, '[^\\n]*$')) + 1 + length(t) > 60 THEN chr(10) ELSE ' ' END || t) END")
+scalar("apply_continuation", "segment_results", "result_id", lambda o: T.apply_continuation(o, F.lit("> ")), ["original"], "replace(original, chr(10), chr(10) || '> ')")
+scalar("strip_continuation", "segment_results", "result_id", lambda o: T.strip_continuation(T.apply_continuation(o, F.lit("  ")), F.lit("  ")), ["original"], "original")
+scalar("human_duration", "segment_results", "result_id", lambda e: T.human_duration(e * 60), ["elapsed_s"],
+       "(SELECT CASE WHEN s < 1 THEN 'instant' WHEN s < 90 THEN CAST(CAST(round_even(s, 0) AS BIGINT) AS VARCHAR) || 's' WHEN s / 60 < 90 THEN CAST(CAST(round_even(s / 60, 0) AS BIGINT) AS VARCHAR) || ' min' WHEN floor((s / 60) % 60) > 0 THEN CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR) || 'h ' || lpad(CAST(CAST(floor((s / 60) % 60) AS BIGINT) AS VARCHAR), 2, '0') || 'm' WHEN s IS NOT NULL THEN CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR) || 'h' END FROM (SELECT greatest(elapsed_s * 60, 0.0) AS s))", "elapsed_s IS NOT NULL")
+scalar("cost_model", "segment_results", "result_id", lambda o: F.round(T.predict(F.length(o), F.lit(1)), 6), ["original"], f"round(CAST({P.OVERHEAD_SECONDS} AS DOUBLE) + length(original) * CAST({P.SECONDS_PER_CHAR} AS DOUBLE), 6)")
+scalar("survival_ratio", "term_stats", "stat_id", lambda a, b: F.round(T.survival(a, b), 9), ["seen", "survived"], "round(coalesce(CASE WHEN seen <> 0 THEN survived / CAST(seen AS DOUBLE) END, 1.0), 9)")
+
+
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "segment_results").select(F.explode(F.transform(F.regexp_extract_all("final", F.lit(P.WORD), F.lit(0)), F.lower)).alias("word")).distinct()
+    return t.select("word", F.explode(T.spelling_variants(F.col("word"))).alias("variant"))
+
+
+def s_variants() -> str:
+    rules = ", ".join(f"({q(x)}, {q(y)})" for a, b in P.ENDINGS for x, y in ((a, b), (b, a)))
+    tail = "(ed|ing|er|ers|est)$"
+    return f"""WITH w AS (SELECT DISTINCT lower(unnest({s_all('final', P.WORD)})) AS word FROM segment_results), r(x, y) AS (VALUES {rules})
+SELECT word, left(word, length(word) - length(x)) || y AS variant FROM w JOIN r ON ends_with(word, x)
+UNION SELECT word, regexp_replace(word, 'll{tail}', 'l\\1') FROM w WHERE regexp_matches(word, 'll{tail}')
+UNION SELECT word, regexp_replace(word, 'l{tail}', 'll\\1') FROM w WHERE regexp_matches(word, '(^|[^l])l{tail}')"""
+
+
+add("spelling_variants", _variants, s_variants())
+
+# ---- model boundary
+scalar("rotated_words", "segment_results", "result_id", T.rotate_words, ["original"],
+       f"array_to_string([CASE WHEN len(w) < 2 THEN array_to_string(w, ' ') ELSE array_to_string(list_concat(w[2:], w[:1]), ' ') END for w in [[x for x in regexp_split_to_array(l, {q(f'[{SP}]+')}) if x <> ''] for l in string_split(original, chr(10))]], chr(10))", "original IS NOT NULL AND NOT contains(original, '[[')")
+scalar("cache_keys", "segment_results", "result_id", lambda o: T.cache_key(F.lit("model"), F.lit("en"), F.lit("fr"), o), ["original"], "left(sha256('model' || chr(0) || 'en' || chr(0) || 'fr' || chr(0) || original || chr(0)), 32)")
+scalar("hop_chain", "runs", "run_id", lambda p: F.transform(T.hop_chain(p), lambda x: F.concat(x["src"], F.lit(">"), x["dst"])), ["pivot_chain"],
+       "(SELECT [l[i] || '>' || l[i + 1] for i in range(1, len(l))] FROM (SELECT list_concat(['en'], pivot_chain, ['en']) AS l))")
+scalar("language_names", "runs", "run_id", lambda p: T.language_name(F.try_element_at(p, F.lit(1))), ["pivot_chain"], "coalesce(CASE lower(pivot_chain[1]) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.LANGUAGES.items()) + " END, pivot_chain[1])")
+scalar("rendered_prompts", "segment_results", "result_id", lambda o: F.length(T.render_prompt(F.lit("Translate."), o)), ["original"],
+       f"length('<|begin_of_text|><|start|>system<|message|>Translate.' || chr(10) || chr(10) || 'Reasoning strength: low.' || chr(10) || chr(10) || '# Valid recipients: \"self\", \"user\".<|eot|><|start|>user<|message|>' || regexp_replace(original, {q(P.CONTROL_TOKEN)}, '', 'g') || '<|eot|><|start|>assistant')")
+scalar("parsed_responses", "segment_results", "result_id", lambda f: T.parse_response(F.concat(F.lit(" to=self<|message|>thinking<|eom|><|start|>assistant<|message|>"), f, F.lit("<|eot|>"))), ["final"], s_strip("final"))
+scalar("persona_names", "runs", "run_id", lambda p: p.rlike(P.SAFE_NAME), ["persona"], f"regexp_matches(persona, {q(P.SAFE_NAME)})")
+scalar("settings_precedence", "runs", "run_id", lambda m, p: F.when(~m.eqNullSafe(F.lit("tern-3b")), m).otherwise(F.coalesce(F.nullif(p, F.lit("")), F.lit("tern-3b"))), ["model", "persona"], "CASE WHEN model IS DISTINCT FROM 'tern-3b' THEN model ELSE coalesce(nullif(persona, ''), 'tern-3b') END")
+
+
+def _cached(spark: SparkSession, d: str) -> DataFrame:
+    """Originals that other runs have already sent take their hop from the cache; the rest are called."""
+    r = results(spark, d).where("original is not null").select("result_id", "original", "hops", "run_id")
+    key = T.cache_key(F.lit("en"), F.col("original"))
+    old = r.where("run_id % 2 = 0").select(key.alias("key"), F.try_element_at("hops", F.lit(1)).alias("value")).where("value is not null")
+    new = r.where("run_id % 2 = 1").select("result_id", "original")
+    out, _ = through_cache(new, key, old, lambda x: x.withColumn("out", F.upper("original")))
+    return out.select("result_id", "out")
+
+
+add("hop_cache", _cached, f"""WITH r AS (SELECT result_id, original, hops[1] AS hop, run_id FROM {ONCE} WHERE original IS NOT NULL), c AS (SELECT original, max(hop) AS value FROM r WHERE run_id % 2 = 0 AND hop IS NOT NULL GROUP BY original)
+SELECT result_id, coalesce(value, upper(original)) AS out FROM r LEFT JOIN c USING (original) WHERE run_id % 2 = 1""")
+
+# ---- spans
+add("line_offsets", lambda s, d: spans.line_offsets(table(s, d, "documents")).select("doc_id", "line_no", "start", F.length("line").alias("size")),
+    "SELECT doc_id, i - 1 AS line_no, coalesce(list_sum([length(x) + 1 for x in l[:i - 1]]), 0) AS start, length(l[i]) AS size FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(l) + 1)) AS i FROM documents WHERE text IS NOT NULL)")
+add("paragraphs", lambda s, d: spans.paragraphs(table(s, d, "documents")).select("doc_id", "para_no", F.length("text").alias("size")),
+    "SELECT doc_id, i - 1 AS para_no, length(p[i]) AS size FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, [y for y in [regexp_replace(x, '^\\s+|\\s+$', '', 'g') for x in regexp_split_to_array(text, '\\n[ \\t]*\\n')] if y <> ''] AS p FROM documents WHERE text IS NOT NULL))")
+
+
+def _span_rows(spark: SparkSession, d: str) -> DataFrame:
+    return results(spark, d).where("span_lo is not null and span_hi is not null").select("doc_id", F.col("span_lo").alias("start"), F.col("span_hi").alias("end"), "translated").distinct()
+
+
+S_SPANS = "(SELECT DISTINCT doc_id, span_lo AS s, span_hi AS e FROM segment_results WHERE span_lo IS NOT NULL AND span_hi IS NOT NULL)"
+
+
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+
+
+add("protected_spans", lambda s, d: spans.complement(_span_rows(s, d).join(_lengths(s, d), "doc_id", "left_semi"), _lengths(s, d)),
+    f"""SELECT doc_id, f AS start, s AS "end" FROM (SELECT doc_id, s, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f
+FROM (SELECT x.* FROM {S_SPANS} x SEMI JOIN documents USING (doc_id) UNION ALL SELECT doc_id, coalesce(n_chars, 0), coalesce(n_chars, 0) FROM documents)) WHERE s > f""")
+add("merged_islands", lambda s, d: spans.merge_islands(_span_rows(s, d), F.col("start") <= F.col("reach") + 2, keep={"n": F.count("*")}),
+    f"""SELECT doc_id, min(s) AS start, max(e) AS "end", count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM
+(SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 0 ELSE 1 END AS b FROM {"(SELECT DISTINCT doc_id, span_lo AS s, span_hi AS e, translated FROM segment_results WHERE span_lo IS NOT NULL AND span_hi IS NOT NULL)"})) GROUP BY doc_id, island""")
+add("span_violations", lambda s, d: spans.violations(_span_rows(s, d).select("doc_id", "start", "end").distinct()),
+    f"""SELECT doc_id, s AS start, e AS "end", p AS problem FROM (SELECT *, CASE WHEN s > e THEN 'inverted' WHEN s < lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) THEN 'overlapping' END AS p FROM {S_SPANS}) WHERE p IS NOT NULL""")
+add("frozen_regions", lambda s, d: spans.drop_inside(_span_rows(s, d).select("doc_id", "start", "end").distinct(), results(s, d).where("not translated").select("doc_id", F.col("span_lo").alias("lo"), F.col("span_hi").alias("hi")).distinct()),
+    f"""SELECT doc_id, s AS start, e AS "end" FROM {S_SPANS} x WHERE NOT EXISTS (SELECT 1 FROM segment_results r WHERE NOT r.translated AND r.doc_id = x.doc_id AND r.span_lo <= x.s AND x.e <= r.span_hi)""")
+add("contained_spans", lambda s, d: spans.contained(_span_rows(s, d).select("doc_id", "start", "end").distinct(), _span_rows(s, d).where("not translated")),
+    f"""SELECT doc_id, s AS start, e AS "end" FROM {S_SPANS} x WHERE EXISTS (SELECT 1 FROM segment_results r WHERE NOT r.translated AND r.doc_id = x.doc_id AND r.span_lo >= x.s AND r.span_hi <= x.e)""")
+add("even_sample", lambda s, d: spans.even_sample(_span_rows(s, d).select("doc_id", "start", "end").distinct(), "doc_id", ["start", "end"], sample=3),
+    f"""SELECT doc_id, s AS start, e AS "end" FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM {S_SPANS}) WHERE n <= 3 OR k IN (CAST(floor(0 * (n / 3.0)) AS BIGINT), CAST(floor(1 * (n / 3.0)) AS BIGINT), CAST(floor(2 * (n / 3.0)) AS BIGINT))""")
+
+
+def _splice(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its latest result's prose in upper case; everything else as it was."""
+    docs = table(spark, d, "documents")
+    r = results(spark, d).where("original is not null").select("doc_id", F.col("span_lo").alias("start"), F.col("span_hi").alias("end"), F.upper("original").alias("new"))
+    return spans.splice(docs.where("text is not null"), r.join(docs.select("doc_id"), "doc_id", "left_semi")).select("doc_id", F.md5("text").alias("digest"))
+
+
+add("splice", _splice, """WITH r AS (SELECT doc_id, span_lo AS s, span_hi AS e, max(upper(original)) AS new FROM segment_results WHERE original IS NOT NULL GROUP BY ALL),
+p AS (SELECT doc_id, s, substring(text, p0 + 1, s - p0) || new AS piece, e FROM (SELECT r.*, text, coalesce(lag(e) OVER (PARTITION BY r.doc_id ORDER BY s), 0) AS p0 FROM r JOIN documents USING (doc_id) WHERE text IS NOT NULL)),
+g AS (SELECT doc_id, string_agg(piece, '' ORDER BY s) AS head, max(e) AS last FROM p GROUP BY doc_id)
+SELECT doc_id, md5(coalesce(head, '') || substring(text, coalesce(last, 0) + 1)) AS digest FROM documents LEFT JOIN g USING (doc_id) WHERE text IS NOT NULL""")
+add("prose_segments", lambda s, d: base.segments(table(s, d, "documents"), drop_disabled="tidewright"))
+add("prose_coverage", lambda s, d: report.coverage(base.segments(table(s, d, "documents")), _lengths(s, d)))
+
+
+def _mask(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null")
+    m = docs.withColumn("m", masking.masker("markdown")("text"))
+    return m.select("doc_id", F.size("m.mapping").alias("hidden"), (masking.unmask(F.col("m.text"), F.col("m.mapping")) == F.col("text")).alias("back"))
+
+
+add("mask_and_restore", _mask)
+add("round_trip", lambda s, d: translate.round_trip(table(s, d, "documents"), ["fr"]).select("doc_id", "seg_id", "translated", "final", "reason"))
+
+
+def _includes(spark: SparkSession, d: str) -> DataFrame:
+    """Include closure over a graph of documents: each document names the next two of its project."""
+    docs = table(spark, d, "documents").where("path is not null").select("path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[a-z]+$", "").alias("stem"), "project", "doc_id")
+    e = docs.select(F.col("path").alias("src"), F.col("doc_id")).join(docs.select(F.col("path").alias("dst"), (F.col("doc_id") - 1).alias("doc_id")), "doc_id").select("src", "dst")
+    roots = docs.where("doc_id % 100 = 0").select("path")
+    return graph.closure(roots, e, max_depth=5)
+
+
+add("include_closure", _includes, """WITH RECURSIVE e AS (SELECT a.path AS src, b.path AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.path IS NOT NULL AND b.path IS NOT NULL),
+c(root, path, depth) AS (SELECT path, path, 0 FROM documents WHERE doc_id % 100 = 0 AND path IS NOT NULL UNION SELECT c.root, e.dst, c.depth + 1 FROM c JOIN e ON e.src = c.path WHERE c.depth < 5)
+SELECT root, path, CAST(min(depth) AS INT) AS depth FROM c GROUP BY ALL""")
+
+# ---- aggregates
+add("run_totals", lambda s, d: report.totals(results(s, d), ["project"]),
+    f"SELECT project, count(*) AS segments, count_if(translated) AS translated, count_if(NOT translated) AS fallback, count_if(translated AND coalesce(len(issues), 0) > 0) AS flagged, count_if(final <> original) AS changed FROM {ONCE} GROUP BY project")
+add("reports_by_model", lambda s, d: runs(s, d).groupBy("model").agg(F.count("*").alias("runs"), F.sum("segments_total").alias("segments"), F.sum("segments_translated").alias("translated"), F.sum("segments_fallback").alias("fallback"), F.sum("segments_with_issues").alias("flagged"), F.count_if("interrupted").alias("interrupted")),
+    f"SELECT model, count(*) AS runs, CAST(sum(segments_total) AS BIGINT) AS segments, CAST(sum(segments_translated) AS BIGINT) AS translated, CAST(sum(segments_fallback) AS BIGINT) AS fallback, CAST(sum(segments_with_issues) AS BIGINT) AS flagged, count_if(interrupted) AS interrupted FROM {RUNS_ONCE} GROUP BY model")
+add("worst_flagged", lambda s, d: report.worst_first(results(s, d), 10), f"SELECT result_id, doc_id, span_lo, {s_high('issues')} AS high, len(issues) AS total FROM {ONCE} WHERE len(issues) > 0 ORDER BY high DESC, total DESC, doc_id, span_lo, result_id LIMIT 10")
+add("worst_first_all", lambda s, d: report.worst_first(results(s, d), None), f"SELECT result_id, doc_id, span_lo, {s_high('issues')} AS high, len(issues) AS total FROM {ONCE} WHERE len(issues) > 0")
+add("mined_terms", lambda s, d: mining.mine(results(s, d).where("translated and final <> original")).withColumn("survival", F.round("survival", 9)),
+    f"""SELECT term, count(*) AS seen, count_if(contains(lower(final), lower(term))) AS survived, round(count_if(contains(lower(final), lower(term))) / CAST(count(*) AS DOUBLE), 9) AS survival
+FROM (SELECT final, unnest({s_candidates('original')}) AS term FROM {ONCE} WHERE translated AND final <> original) GROUP BY term HAVING count(*) >= {P.MIN_OCCURRENCES} AND count_if(contains(lower(final), lower(term))) / CAST(count(*) AS DOUBLE) <= {P.MAX_SURVIVAL}""")
+add("glossary_lines", lambda s, d: mining.mine(results(s, d).where("translated and final <> original")).select(mining.glossary_line(F.col("term"), F.col("seen"), F.col("survived")).alias("line")),
+    f"""SELECT term || '    # survived ' || count_if(contains(lower(final), lower(term))) || '/' || count(*) AS line
+FROM (SELECT final, unnest({s_candidates('original')}) AS term FROM {ONCE} WHERE translated AND final <> original) GROUP BY term HAVING count(*) >= {P.MIN_OCCURRENCES} AND count_if(contains(lower(final), lower(term))) / CAST(count(*) AS DOUBLE) <= {P.MAX_SURVIVAL}""")
+S_SIMS = f"(SELECT result_id, {s_jaccard(s_content('original'), s_content('final'))} AS similarity FROM {ONCE} WHERE translated AND final <> original)"
+add("overlap_statistics", lambda s, d: report.overlap_statistics(report.overlaps(results(s, d))).select("changed", *[F.round(c, 9).alias(c) for c in ("mean", "median", "least")]),
+    f"SELECT count(*) AS changed, round(avg(similarity), 9) AS mean, round(list_sort(list(similarity))[count(*) // 2 + 1], 9) AS median, round(min(similarity), 9) AS least FROM {S_SIMS}")
+add("overlap_histogram", lambda s, d: report.histogram(report.overlaps(results(s, d))), f"SELECT b.bucket, count(similarity) AS n FROM (VALUES " + ", ".join(f"({lo}, {hi}, '{n}')" for lo, hi, n in report.BUCKETS) + f") b(lo, hi, bucket) LEFT JOIN {S_SIMS} x ON similarity >= lo AND similarity < hi GROUP BY b.bucket")
+add("lowest_overlap", lambda s, d: report.overlaps(results(s, d)).select("result_id", F.round("similarity", 9).alias("similarity")).orderBy("similarity", "result_id").limit(8), f"SELECT result_id, round(similarity, 9) AS similarity FROM {S_SIMS} ORDER BY 2, 1 LIMIT 8")
+add("fallback_reasons", lambda s, d: report.reasons(results(s, d)), f"SELECT left({s_strip('string_split(coalesce(reason, ' + chr(39) * 2 + '), ' + chr(39) + ':' + chr(39) + ')[-1]')}, 60) AS reason, count(*) AS n FROM {ONCE} WHERE NOT translated GROUP BY 1 ORDER BY n DESC, reason LIMIT 8")
+add("scores", lambda s, d: report.scores(results(s, d)).select("segments", "fallback", "changed", "severe", F.round("meaning", 6).alias("meaning"), F.round("completion", 6).alias("completion")),
+    f"SELECT count(*) AS segments, count_if(NOT translated) AS fallback, count_if(translated AND final <> original) AS changed, CAST(coalesce(sum({s_high('issues')}), 0) AS BIGINT) AS severe, round(100.0 * (1 - coalesce(sum({s_high('issues')}), 0) / CAST(greatest(count_if(translated AND final <> original), 1) AS DOUBLE)), 6) AS meaning, round(100.0 * (count(*) - count_if(NOT translated)) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS completion FROM {ONCE}")
+add("longest_changed", lambda s, d: report.longest_changed(results(s, d)), f"SELECT result_id, length(original) AS chars FROM {ONCE} WHERE translated AND final <> original ORDER BY chars DESC, result_id LIMIT 25")
+add("structure_differences", lambda s, d: report.structure(results(s, d), "result_id", "original", "final").where("check in ('numbers', 'identifiers', 'macros', 'escapes')").select("result_id", "check", "fatal"),
+    " UNION ALL ".join(f'SELECT result_id, \'{n}\' AS "check", {fatal} AS fatal FROM {ONCE} WHERE {BOTH} AND {a} <> {b}' for n, fatal, a, b in (
+        ("numbers", "false", s_numbers("original"), s_numbers("final")), ("identifiers", "false", s_identifiers("original"), s_identifiers("final")),
+        ("macros", "true", f"list_sort({s_all('original', P.MACRO)})", f"list_sort({s_all('final', P.MACRO)})"), ("escapes", "true", s_escapes("original"), s_escapes("final")))))
+add("structure_of_files", lambda s, d: report.structure(table(s, d, "documents").withColumn("other", F.regexp_replace("text", r"\$[^$]*\$", "")), "doc_id", "text", "other"))
+
+
+def _eta(spark: SparkSession, d: str) -> DataFrame:
+    r = results(spark, d).where("run_id is not null").select("result_id", "run_id", "span_lo", "elapsed_s", F.coalesce(F.length("original"), F.lit(0)).alias("chars"))
+    return report.running_eta(r, "run_id", ["span_lo", "result_id"]).select("result_id", F.round("remaining_s", 4).alias("remaining_s"))
+
+
+add("running_eta", _eta, f"""WITH r AS (SELECT result_id, run_id, span_lo, elapsed_s, coalesce(length(original), 0) AS c, CASE WHEN elapsed_s >= 1 THEN 1 ELSE 0 END AS w FROM {ONCE} WHERE run_id IS NOT NULL),
+a AS (SELECT *, sum(w) OVER o AS done, sum(CASE WHEN w = 1 THEN elapsed_s ELSE 0 END) OVER o AS spent, sum(w * c) OVER o AS dc, sum(w) OVER p - sum(w) OVER o AS ln, sum(c) OVER p - sum(c) OVER o AS lc FROM r
+  WINDOW o AS (PARTITION BY run_id ORDER BY span_lo, result_id ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY run_id))
+SELECT result_id, round(CASE WHEN ln = 0 THEN 0.0 ELSE CASE WHEN done > 0 THEN spent / (done * {P.OVERHEAD_SECONDS} + dc * {P.SECONDS_PER_CHAR}) ELSE 1.0 END * (ln * {P.OVERHEAD_SECONDS} + lc * {P.SECONDS_PER_CHAR}) END, 4) AS remaining_s FROM a""")
+add("run_summaries", lambda s, d: runs(s, d).select("run_id", T.run_summary(F.col("segments_total"), F.col("segments_translated"), F.lit(1), F.col("segments_total") * 100).alias("line")))
+add("unmatched_results", lambda s, d: results(s, d).join(runs(s, d).select("run_id"), "run_id", "left_anti").select("result_id"), f"SELECT result_id FROM {ONCE} WHERE run_id IS NULL OR run_id NOT IN (SELECT run_id FROM runs WHERE run_id IS NOT NULL)")
+add("roots_first", lambda s, d: table(s, d, "documents").where("fmt = 'tex'").select("doc_id", F.row_number().over(report.Window.partitionBy("project").orderBy(F.desc(F.coalesce(T.is_standalone(F.col("text")), F.lit(False))), "path")).alias("ordinal")),
+    "SELECT doc_id, row_number() OVER (PARTITION BY project ORDER BY coalesce(regexp_matches(regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1', 'g'), '\\\\begin\\s*\\{document\\}'), false) DESC, path) AS ordinal FROM documents WHERE fmt = 'tex'")
+
+FLAGSHIP: Query = QUERIES["mined_terms"]
