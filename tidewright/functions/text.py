@@ -96,7 +96,7 @@ def hedge_count(text: Column) -> Column:
 
 def sentence_count(text: Column) -> Column:
     """Ends of sentences by full stops alone, at least 1."""
-    return F.greatest(F.lit(1), F.size(_all(strip_space(without_sentinels(text)), P.SENTENCE_END)))
+    return F.when(text.isNotNull(), F.greatest(F.lit(1), F.size(_all(strip_space(without_sentinels(text)), P.SENTENCE_END))))
 
 
 def multiset_minus(a: Column, b: Column) -> Column:

@@ -143,7 +143,7 @@ scalar("identifier_multiset", "segment_results", "result_id", T.identifiers, ["o
 scalar("escape_multiset", "documents", "doc_id", T.escapes, ["text"], s_escapes(s_bare("text")))
 scalar("negation_cues", "segment_results", "result_id", T.negation_count, ["final"], s_cues("final", P.NEGATIONS))
 scalar("hedge_cues", "segment_results", "result_id", T.hedge_count, ["final"], s_cues("final", P.HEDGES))
-scalar("sentence_stops", "segment_results", "result_id", T.sentence_count, ["original"], s_sentences("original"))
+scalar("sentence_stops", "segment_results", "result_id", T.sentence_count, ["original"], f"CASE WHEN original IS NOT NULL THEN {s_sentences('original')} END")
 scalar("lost_numbers", "segment_results", "result_id", lambda o, f: F.size(T.multiset_minus(T.numbers(o), T.numbers(f))), OF,
        f"(SELECT coalesce(sum(greatest(0, coalesce(a.n, 0) - coalesce(b.n, 0))), 0) FROM (SELECT x, count(*) AS n FROM (SELECT unnest({s_numbers('original')}) AS x) GROUP BY x) a LEFT JOIN (SELECT x, count(*) AS n FROM (SELECT unnest({s_numbers('final')}) AS x) GROUP BY x) b USING (x))", BOTH)
 scalar("content_overlap", "segment_results", "result_id", lambda o, f: F.round(T.jaccard(T.content_words(o), T.content_words(f)), 9), OF, f"round({s_jaccard(s_content('original'), s_content('final'))}, 9)", BOTH)

@@ -93,7 +93,7 @@ def hops_through_cache(masked: DataFrame, pivots: list[str], call: Callable[[Dat
             prompt = system_prompt(F.lit(src), F.lit(dst))
             key = F.when(live, T.cache_key(F.lit(model), F.lit(src), F.lit(dst), prompt, F.lit(str(temperature)), F.col("_cur")))
             store = cache.unionByName(entries) if attempt == 1 else cache.limit(0)
-            ask = lambda r, src=src, dst=dst: call(r.withColumn("text", F.col("_cur")).withColumn("src", F.lit(src)).withColumn("dst", F.lit(dst)).withColumn("temperature", F.lit(temperature)))
+            ask = lambda r, src=src, dst=dst: call(r.withColumn("text", F.col("_cur")).withColumn("src", F.lit(src)).withColumn("dst", F.lit(dst)).withColumn("temperature", F.lit(temperature))).withColumnRenamed("out", "_out")
             d, fresh = through_cache(d, key, store, ask, "_out")
             if attempt == 1:
                 entries = entries.unionByName(fresh)
