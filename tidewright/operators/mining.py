@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from .report import once
 
 
-def measure(pairs: DataFrame, original: str = "original", final: str = "final") -> DataFrame:
+def measure(pairs: DataFrame, original: str = "original", final: str = "final", key: str | None = None) -> DataFrame:
     """(term, seen, survived, survival) of every candidate term: in how many pairs the original has it, and the final too.
 
-    Pairs with a null side are left out. Terms are counted once a pair; both counters add up before the only shuffle."""
+    Pairs with a null side are left out. Terms are counted once a pair; both counters add up before the shuffle. ``key``: of
+    pairs with the same key one counts; they meet as short lists of terms, not as texts."""
     p = pairs.where(F.col(original).isNotNull() & F.col(final).isNotNull())
-    t = p.select(F.explode(T.candidate_terms(F.col(original))).alias("term"), F.lower(final).alias("_out"))
-    g = t.groupBy("term").agg(F.count("*").alias("seen"), F.count_if(F.contains("_out", F.lower("term"))).alias("survived"))
+    out = F.lower(final)
+    found = T.let(F.struct(T.candidate_terms(F.col(original)).alias("t"), out.alias("o")), lambda z: F.transform(z["t"], lambda x: F.struct(x.alias("term"), F.contains(z["o"], F.lower(x)).alias("kept"))))
+    t = p.select(*([key] if key else []), found.alias("_f")).where("size(_f) > 0")
+    t = (once(t, key) if key else t).select(F.inline("_f"))
+    g = t.groupBy("term").agg(F.count("*").alias("seen"), F.count_if("kept").alias("survived"))
     return g.withColumn("survival", T.survival(F.col("seen"), F.col("survived")))
 
 

@@ -16,6 +16,22 @@ def latest(rows: DataFrame, key: str) -> DataFrame:
     return g.select(key, "_r.*").select(*rows.columns).unionByName(rows.where(F.col(key).isNull()))
 
 
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key, of redelivered rows that are equal but for the time of loading. Rows with a null key stay.
+
+    Project to what is needed first: only those columns are shuffled."""
+    return rows.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(rows.where(F.col(key).isNull()))
+
+
+def flags(results: DataFrame) -> DataFrame:
+    """What the reports need of each result, once a result and without its texts: they are read and compared where they lie."""
+    narrow = results.select(
+        "result_id", "run_id", "doc_id", "project", "span_lo", "span_hi", "elapsed_s", "translated", "reason",
+        (F.col("final") != F.col("original")).alias("changed"), high(F.col("issues")).alias("high"), n_issues(F.col("issues")).alias("total"), F.length("original").alias("chars"),
+    )
+    return once(narrow, "result_id")
+
+
 def high(issues: Column) -> Column:
     return F.size(F.filter(F.coalesce(issues, F.array().cast("array<struct<kind:string,detail:string,severity:string>>")), lambda i: i.severity == "high"))
 
@@ -24,32 +40,27 @@ def n_issues(issues: Column) -> Column:
     return F.greatest(F.size(issues), F.lit(0))
 
 
-def totals(results: DataFrame, by: list[str]) -> DataFrame:
-    """Segments, translated ones, fallbacks, flagged ones and changed ones of each group."""
-    flagged = F.col("translated") & (n_issues(F.col("issues")) > 0)
-    return results.groupBy(*by).agg(
+def totals(flagged: DataFrame, by: list[str]) -> DataFrame:
+    """Segments, translated ones, fallbacks, flagged ones and changed ones of each group of ``flags``."""
+    return flagged.groupBy(*by).agg(
         F.count("*").alias("segments"), F.count_if("translated").alias("translated"), F.count_if(~F.col("translated")).alias("fallback"),
-        F.count_if(flagged).alias("flagged"), F.count_if(F.col("final") != F.col("original")).alias("changed"),
+        F.count_if(F.col("translated") & (F.col("total") > 0)).alias("flagged"), F.count_if("changed").alias("changed"),
     )
 
 
-def worst_first(results: DataFrame, limit: int | None = 10) -> DataFrame:
+def worst_first(flagged: DataFrame, limit: int | None = 10) -> DataFrame:
     """Flagged results, those with most grave issues first, then most issues, then by document and place; the first ``limit`` or all.
 
     With a limit the plan keeps only the top rows of each partition."""
-    f = results.where(n_issues(F.col("issues")) > 0).select("result_id", "doc_id", "span_lo", high(F.col("issues")).alias("high"), n_issues(F.col("issues")).alias("total"))
+    f = flagged.where("total > 0").select("result_id", "doc_id", "span_lo", "high", "total")
     o = f.orderBy(F.desc("high"), F.desc("total"), "doc_id", "span_lo", "result_id")
     return o if limit is None else o.limit(limit)
 
 
 def overlaps(results: DataFrame) -> DataFrame:
-    """(result_id, similarity): content-word overlap of originals and finals of changed translations."""
+    """(result_id, similarity): content-word overlap of originals and finals of changed translations, once a result."""
     r = results.where("translated and final <> original")
-    return r.select("result_id", T.jaccard(T.content_words(F.col("original")), T.content_words(F.col("final"))).alias("similarity"))
-
-
-def upper_median(sorted_col: Column) -> Column:
-    return F.element_at(sorted_col, (F.floor(F.size(sorted_col) / 2) + 1).cast("int"))
+    return once(r.select("result_id", T.jaccard(T.content_words(F.col("original")), T.content_words(F.col("final"))).alias("similarity")), "result_id")
 
 
 def overlap_statistics(sims: DataFrame) -> DataFrame:
@@ -73,9 +84,9 @@ def histogram(sims: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(name).alias("bucket"), F.col(f"_{i}").alias("n")) for i, (*_, name) in enumerate(BUCKETS)])))
 
 
-def reasons(results: DataFrame, k: int = 8) -> DataFrame:
+def reasons(flagged: DataFrame, k: int = 8) -> DataFrame:
     """(reason, n) of the most frequent causes of fallbacks: what follows the last colon, 60 characters; ties by reason."""
-    r = results.where("not translated").select(F.substring(T.strip_space(F.element_at(F.split(F.coalesce("reason", F.lit("")), ":", -1), -1)), 1, 60).alias("reason"))
+    r = flagged.where("not translated").select(F.substring(T.strip_space(F.element_at(F.split(F.coalesce("reason", F.lit("")), ":", -1), -1)), 1, 60).alias("reason"))
     return r.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(k)
 
 
@@ -95,17 +106,17 @@ def structure(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
     Each check compares two multisets inside the row: no token is shuffled. Rows with a null side are left out."""
     made = [F.struct(F.lit(n).alias("check"), F.lit(fatal).alias("fatal"), F.size(T.multiset_minus(x, y)).alias("lost"), F.size(T.multiset_minus(y, x)).alias("gained")) for n, (f, fatal) in STRUCTURE.items() for x, y in ((f(F.col(a)), f(F.col(b))),)]
-    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, F.inline(F.array(*made)))
-    return rows.where("lost > 0 or gained > 0")
+    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, F.filter(F.array(*made), lambda x: (x["lost"] > 0) | (x["gained"] > 0)).alias("_d"))
+    return once(rows.where("size(_d) > 0"), key).select(key, F.inline("_d"))
 
 
-def scores(results: DataFrame) -> DataFrame:
+def scores(flagged: DataFrame) -> DataFrame:
     """One row: grave issues over changed segments as a score (it may be negative), and the share not kept in the original language.
 
     Grave issues count in every flagged segment; both denominators are at least 1."""
-    r = results.agg(
-        F.count("*").alias("segments"), F.count_if(~F.col("translated")).alias("fallback"), F.count_if(F.col("translated") & (F.col("final") != F.col("original"))).alias("changed"),
-        F.coalesce(F.sum(high(F.col("issues"))), F.lit(0)).alias("severe"),
+    r = flagged.agg(
+        F.count("*").alias("segments"), F.count_if(~F.col("translated")).alias("fallback"), F.count_if(F.col("translated") & F.col("changed")).alias("changed"),
+        F.coalesce(F.sum("high"), F.lit(0)).alias("severe"),
     )
     meaning = 100.0 * (1 - F.col("severe") / F.greatest(F.col("changed"), F.lit(1)))
     completion = 100.0 * (F.col("segments") - F.col("fallback")) / F.greatest(F.col("segments"), F.lit(1))
@@ -120,9 +131,9 @@ def coverage(spans: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataF
     return g.withColumn("percent", 100.0 * F.col("prose") / F.greatest("chars", F.lit(1)))
 
 
-def longest_changed(results: DataFrame, limit: int = 25) -> DataFrame:
+def longest_changed(flagged: DataFrame, limit: int = 25) -> DataFrame:
     """The changed results with the longest originals, for a judge to read; ties by id."""
-    return results.where("translated and final <> original").select("result_id", F.length("original").alias("chars")).orderBy(F.desc("chars"), "result_id").limit(limit)
+    return flagged.where("translated and changed").select("result_id", "chars").orderBy(F.desc("chars"), "result_id").limit(limit)
 
 
 def verdict_word(reply: Column) -> Column:

@@ -117,11 +117,20 @@ RUNS_ONCE = "(SELECT * EXCLUDE (loaded_at) FROM runs GROUP BY ALL)"
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
-    return report.latest(table(spark, d, "segment_results"), "result_id")
+    """Results once each; only the columns that a query reads are shuffled."""
+    return report.once(table(spark, d, "segment_results"), "result_id")
+
+
+def raw(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segment_results")
+
+
+def flags(spark: SparkSession, d: str) -> DataFrame:
+    return report.flags(raw(spark, d))
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    return report.latest(table(spark, d, "runs"), "run_id")
+    return report.once(table(spark, d, "runs"), "run_id")
 
 
 # ---- projections and predicates
@@ -152,8 +161,8 @@ scalar("candidate_terms", "segment_results", "result_id", lambda o: F.array_sort
 
 def _verdict(same: bool) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        v = table(spark, d, "segment_results").where(BOTH).dropDuplicates(["result_id"]).select("result_id", T.verdict(F.col("original"), F.col("final"), same).alias("checks"))
-        return v.select("result_id", F.transform("checks", lambda c: F.concat(c["name"], F.lit("="), c["ok"].cast("string"))).alias("checks"), T.passed(F.col("checks")).alias("ok"))
+        shown = T.let(T.verdict(F.col("original"), F.col("final"), same), lambda v: F.struct(F.transform(v, lambda c: F.concat(c["name"], F.lit("="), c["ok"].cast("string"))).alias("checks"), T.passed(v).alias("ok")))
+        return raw(spark, d).where(BOTH).select("result_id", shown.alias("v")).dropDuplicates(["result_id"]).select("result_id", "v.*")
 
     return query
 
@@ -178,16 +187,15 @@ add("verdict_other_language", _verdict(False), s_verdict(False))
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "segment_results").where(BOTH).dropDuplicates(["result_id"])
-    return t.select("result_id", T.summary(T.verdict(F.col("original"), F.col("final"))).alias("summary"))
+    return raw(spark, d).where(BOTH).select("result_id", T.summary(T.verdict(F.col("original"), F.col("final"))).alias("summary")).dropDuplicates(["result_id"])
 
 
 add("verdict_summary", _summary)
 
 
 def _issues(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "segment_results").where(BOTH).dropDuplicates(["result_id"])
-    i = t.select("result_id", F.inline(T.compare(F.col("original"), F.col("final"))))
+    t = raw(spark, d).where(BOTH).select("result_id", T.compare(F.col("original"), F.col("final")).alias("i")).dropDuplicates(["result_id"])
+    i = t.select("result_id", F.inline("i"))
     return i.select("result_id", "kind", "severity", F.when(F.col("kind").isin("negation", "hedging", "structure"), F.col("detail")).alias("detail"))
 
 
@@ -208,10 +216,13 @@ add("fidelity_issues", _issues, s_issues())
 
 
 def _differences(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "segment_results").where(BOTH).dropDuplicates(["result_id"])
-    side = lambda c, k: t.select("result_id", F.explode(F.split(F.lower(c), rf"[{SP}]+", -1)).alias("word")).where("word <> ''").groupBy("result_id", "word").agg(F.count("*").alias(k))
-    j = side("original", "n").join(side("final", "m"), ["result_id", "word"], "full").na.fill(0, ["n", "m"])
-    return j.select("result_id", "word", F.greatest(F.col("n") - F.col("m"), F.lit(0)).alias("lost"), F.greatest(F.col("m") - F.col("n"), F.lit(0)).alias("gained")).where("lost > 0 or gained > 0")
+    """Words that each final lost or gained, with multiplicity: two multisets compared inside the row, so no word is shuffled."""
+    words = lambda c: F.filter(F.split(F.lower(c), rf"[{SP}]+", -1), lambda w: w != "")
+    count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
+    each = lambda z: F.transform(F.array_union(z["a"], z["b"]), lambda w: F.struct(w.alias("word"), (count(z["a"], w) - count(z["b"], w)).alias("n")))
+    differ = F.filter(T.let(F.struct(words(F.col("original")).alias("a"), words(F.col("final")).alias("b")), each), lambda x: x["n"] != 0)
+    r = raw(spark, d).where(BOTH).select("result_id", differ.alias("w")).dropDuplicates(["result_id"]).select("result_id", F.inline("w"))
+    return r.select("result_id", "word", F.greatest("n", F.lit(0)).alias("lost"), F.greatest(-F.col("n"), F.lit(0)).alias("gained"))
 
 
 def s_side(c: str) -> str:
@@ -363,28 +374,28 @@ c(root, path, depth) AS (SELECT path, path, 0 FROM documents WHERE doc_id % 100
 SELECT root, path, CAST(min(depth) AS INT) AS depth FROM c GROUP BY ALL""")
 
 # ---- aggregates
-add("run_totals", lambda s, d: report.totals(results(s, d), ["project"]),
+add("run_totals", lambda s, d: report.totals(flags(s, d), ["project"]),
     f"SELECT project, count(*) AS segments, count_if(translated) AS translated, count_if(NOT translated) AS fallback, count_if(translated AND coalesce(len(issues), 0) > 0) AS flagged, count_if(final <> original) AS changed FROM {ONCE} GROUP BY project")
 add("reports_by_model", lambda s, d: runs(s, d).groupBy("model").agg(F.count("*").alias("runs"), F.sum("segments_total").alias("segments"), F.sum("segments_translated").alias("translated"), F.sum("segments_fallback").alias("fallback"), F.sum("segments_with_issues").alias("flagged"), F.count_if("interrupted").alias("interrupted")),
     f"SELECT model, count(*) AS runs, CAST(sum(segments_total) AS BIGINT) AS segments, CAST(sum(segments_translated) AS BIGINT) AS translated, CAST(sum(segments_fallback) AS BIGINT) AS fallback, CAST(sum(segments_with_issues) AS BIGINT) AS flagged, count_if(interrupted) AS interrupted FROM {RUNS_ONCE} GROUP BY model")
-add("worst_flagged", lambda s, d: report.worst_first(results(s, d), 10), f"SELECT result_id, doc_id, span_lo, {s_high('issues')} AS high, len(issues) AS total FROM {ONCE} WHERE len(issues) > 0 ORDER BY high DESC, total DESC, doc_id, span_lo, result_id LIMIT 10")
-add("worst_first_all", lambda s, d: report.worst_first(results(s, d), None), f"SELECT result_id, doc_id, span_lo, {s_high('issues')} AS high, len(issues) AS total FROM {ONCE} WHERE len(issues) > 0")
-add("mined_terms", lambda s, d: mining.mine(results(s, d).where("translated and final <> original")).withColumn("survival", F.round("survival", 9)),
+add("worst_flagged", lambda s, d: report.worst_first(flags(s, d), 10), f"SELECT result_id, doc_id, span_lo, {s_high('issues')} AS high, len(issues) AS total FROM {ONCE} WHERE len(issues) > 0 ORDER BY high DESC, total DESC, doc_id, span_lo, result_id LIMIT 10")
+add("worst_first_all", lambda s, d: report.worst_first(flags(s, d), None), f"SELECT result_id, doc_id, span_lo, {s_high('issues')} AS high, len(issues) AS total FROM {ONCE} WHERE len(issues) > 0")
+add("mined_terms", lambda s, d: mining.mine(raw(s, d).where("translated and final <> original"), key="result_id").withColumn("survival", F.round("survival", 9)),
     f"""SELECT term, count(*) AS seen, count_if(contains(lower(final), lower(term))) AS survived, round(count_if(contains(lower(final), lower(term))) / CAST(count(*) AS DOUBLE), 9) AS survival
 FROM (SELECT final, unnest({s_candidates('original')}) AS term FROM {ONCE} WHERE translated AND final <> original) GROUP BY term HAVING count(*) >= {P.MIN_OCCURRENCES} AND count_if(contains(lower(final), lower(term))) / CAST(count(*) AS DOUBLE) <= {P.MAX_SURVIVAL}""")
-add("glossary_lines", lambda s, d: mining.mine(results(s, d).where("translated and final <> original")).select(mining.glossary_line(F.col("term"), F.col("seen"), F.col("survived")).alias("line")),
+add("glossary_lines", lambda s, d: mining.mine(raw(s, d).where("translated and final <> original"), key="result_id").select(mining.glossary_line(F.col("term"), F.col("seen"), F.col("survived")).alias("line")),
     f"""SELECT term || '    # survived ' || count_if(contains(lower(final), lower(term))) || '/' || count(*) AS line
 FROM (SELECT final, unnest({s_candidates('original')}) AS term FROM {ONCE} WHERE translated AND final <> original) GROUP BY term HAVING count(*) >= {P.MIN_OCCURRENCES} AND count_if(contains(lower(final), lower(term))) / CAST(count(*) AS DOUBLE) <= {P.MAX_SURVIVAL}""")
 S_SIMS = f"(SELECT result_id, {s_jaccard(s_content('original'), s_content('final'))} AS similarity FROM {ONCE} WHERE translated AND final <> original)"
-add("overlap_statistics", lambda s, d: report.overlap_statistics(report.overlaps(results(s, d))).select("changed", *[F.round(c, 9).alias(c) for c in ("mean", "median", "least")]),
+add("overlap_statistics", lambda s, d: report.overlap_statistics(report.overlaps(raw(s, d))).select("changed", *[F.round(c, 9).alias(c) for c in ("mean", "median", "least")]),
     f"SELECT count(*) AS changed, round(avg(similarity), 9) AS mean, round(list_sort(list(similarity))[count(*) // 2 + 1], 9) AS median, round(min(similarity), 9) AS least FROM {S_SIMS}")
-add("overlap_histogram", lambda s, d: report.histogram(report.overlaps(results(s, d))), f"SELECT b.bucket, count(similarity) AS n FROM (VALUES " + ", ".join(f"({lo}, {hi}, '{n}')" for lo, hi, n in report.BUCKETS) + f") b(lo, hi, bucket) LEFT JOIN {S_SIMS} x ON similarity >= lo AND similarity < hi GROUP BY b.bucket")
-add("lowest_overlap", lambda s, d: report.overlaps(results(s, d)).select("result_id", F.round("similarity", 9).alias("similarity")).orderBy("similarity", "result_id").limit(8), f"SELECT result_id, round(similarity, 9) AS similarity FROM {S_SIMS} ORDER BY 2, 1 LIMIT 8")
-add("fallback_reasons", lambda s, d: report.reasons(results(s, d)), f"SELECT left({s_strip('string_split(coalesce(reason, ' + chr(39) * 2 + '), ' + chr(39) + ':' + chr(39) + ')[-1]')}, 60) AS reason, count(*) AS n FROM {ONCE} WHERE NOT translated GROUP BY 1 ORDER BY n DESC, reason LIMIT 8")
-add("scores", lambda s, d: report.scores(results(s, d)).select("segments", "fallback", "changed", "severe", F.round("meaning", 6).alias("meaning"), F.round("completion", 6).alias("completion")),
+add("overlap_histogram", lambda s, d: report.histogram(report.overlaps(raw(s, d))), f"SELECT b.bucket, count(similarity) AS n FROM (VALUES " + ", ".join(f"({lo}, {hi}, '{n}')" for lo, hi, n in report.BUCKETS) + f") b(lo, hi, bucket) LEFT JOIN {S_SIMS} x ON similarity >= lo AND similarity < hi GROUP BY b.bucket")
+add("lowest_overlap", lambda s, d: report.overlaps(raw(s, d)).select("result_id", F.round("similarity", 9).alias("similarity")).orderBy("similarity", "result_id").limit(8), f"SELECT result_id, round(similarity, 9) AS similarity FROM {S_SIMS} ORDER BY 2, 1 LIMIT 8")
+add("fallback_reasons", lambda s, d: report.reasons(flags(s, d)), f"SELECT left({s_strip('string_split(coalesce(reason, ' + chr(39) * 2 + '), ' + chr(39) + ':' + chr(39) + ')[-1]')}, 60) AS reason, count(*) AS n FROM {ONCE} WHERE NOT translated GROUP BY 1 ORDER BY n DESC, reason LIMIT 8")
+add("scores", lambda s, d: report.scores(flags(s, d)).select("segments", "fallback", "changed", "severe", F.round("meaning", 6).alias("meaning"), F.round("completion", 6).alias("completion")),
     f"SELECT count(*) AS segments, count_if(NOT translated) AS fallback, count_if(translated AND final <> original) AS changed, CAST(coalesce(sum({s_high('issues')}), 0) AS BIGINT) AS severe, round(100.0 * (1 - coalesce(sum({s_high('issues')}), 0) / CAST(greatest(count_if(translated AND final <> original), 1) AS DOUBLE)), 6) AS meaning, round(100.0 * (count(*) - count_if(NOT translated)) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS completion FROM {ONCE}")
-add("longest_changed", lambda s, d: report.longest_changed(results(s, d)), f"SELECT result_id, length(original) AS chars FROM {ONCE} WHERE translated AND final <> original ORDER BY chars DESC, result_id LIMIT 25")
-add("structure_differences", lambda s, d: report.structure(results(s, d), "result_id", "original", "final").where("check in ('numbers', 'identifiers', 'macros', 'escapes')").select("result_id", "check", "fatal"),
+add("longest_changed", lambda s, d: report.longest_changed(flags(s, d)), f"SELECT result_id, length(original) AS chars FROM {ONCE} WHERE translated AND final <> original ORDER BY chars DESC, result_id LIMIT 25")
+add("structure_differences", lambda s, d: report.structure(raw(s, d), "result_id", "original", "final").where("check in ('numbers', 'identifiers', 'macros', 'escapes')").select("result_id", "check", "fatal"),
     " UNION ALL ".join(f'SELECT result_id, \'{n}\' AS "check", {fatal} AS fatal FROM {ONCE} WHERE {BOTH} AND {a} <> {b}' for n, fatal, a, b in (
         ("numbers", "false", s_numbers("original"), s_numbers("final")), ("identifiers", "false", s_identifiers("original"), s_identifiers("final")),
         ("macros", "true", f"list_sort({s_all('original', P.MACRO)})", f"list_sort({s_all('final', P.MACRO)})"), ("escapes", "true", s_escapes("original"), s_escapes("final")))))
@@ -392,7 +403,7 @@ add("structure_of_files", lambda s, d: report.structure(table(s, d, "documents")
 
 
 def _eta(spark: SparkSession, d: str) -> DataFrame:
-    r = results(spark, d).where("run_id is not null").select("result_id", "run_id", "span_lo", "elapsed_s", F.coalesce(F.length("original"), F.lit(0)).alias("chars"))
+    r = flags(spark, d).where("run_id is not null").select("result_id", "run_id", "span_lo", "elapsed_s", F.coalesce("chars", F.lit(0)).alias("chars"))
     return report.running_eta(r, "run_id", ["span_lo", "result_id"]).select("result_id", F.round("remaining_s", 4).alias("remaining_s"))
 
 
@@ -401,7 +412,7 @@ a AS (SELECT *, sum(w) OVER o AS done, sum(CASE WHEN w = 1 THEN elapsed_s ELSE 0
   WINDOW o AS (PARTITION BY run_id ORDER BY span_lo, result_id ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY run_id))
 SELECT result_id, round(CASE WHEN ln = 0 THEN 0.0 ELSE CASE WHEN done > 0 THEN spent / (done * {P.OVERHEAD_SECONDS} + dc * {P.SECONDS_PER_CHAR}) ELSE 1.0 END * (ln * {P.OVERHEAD_SECONDS} + lc * {P.SECONDS_PER_CHAR}) END, 4) AS remaining_s FROM a""")
 add("run_summaries", lambda s, d: runs(s, d).select("run_id", T.run_summary(F.col("segments_total"), F.col("segments_translated"), F.lit(1), F.col("segments_total") * 100).alias("line")))
-add("unmatched_results", lambda s, d: results(s, d).join(runs(s, d).select("run_id"), "run_id", "left_anti").select("result_id"), f"SELECT result_id FROM {ONCE} WHERE run_id IS NULL OR run_id NOT IN (SELECT run_id FROM runs WHERE run_id IS NOT NULL)")
+add("unmatched_results", lambda s, d: flags(s, d).join(table(s, d, "runs").select("run_id").distinct(), "run_id", "left_anti").select("result_id"), f"SELECT result_id FROM {ONCE} WHERE run_id IS NULL OR run_id NOT IN (SELECT run_id FROM runs WHERE run_id IS NOT NULL)")
 add("roots_first", lambda s, d: table(s, d, "documents").where("fmt = 'tex'").select("doc_id", F.row_number().over(report.Window.partitionBy("project").orderBy(F.desc(F.coalesce(T.is_standalone(F.col("text")), F.lit(False))), "path")).alias("ordinal")),
     "SELECT doc_id, row_number() OVER (PARTITION BY project ORDER BY coalesce(regexp_matches(regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1', 'g'), '\\\\begin\\s*\\{document\\}'), false) DESC, path) AS ordinal FROM documents WHERE fmt = 'tex'")
 
