@@ -7,68 +7,75 @@ the overlap before each piece but the first. Cuts and overlaps lie between chara
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import TOKENIZER_DIR, Chunk, Coder, Cuts, chunks, coder, small_letters
+from .tokens import SP, TOKENIZER_DIR, WS, Chunk, Coder, Cuts, chunks, coder, small_letters
 
 # Marks that end a sentence or a clause.
 ENDS, CLAUSES = ".!?…。！？।", ",;:，、；："
 PARAGRAPH, LINE, SENTENCE, CLAUSE, BLANK, PIECE, INSIDE = 6, 5, 4, 3, 2, 1, 0
+KINDS = range(PARAGRAPH + 1, INSIDE, -1)
 #: A cut lies at most this share of a range from its middle.
 NEAR = 0.25
 
 
+@functools.cache
+def _mark_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: strength of a cut in white space after it; strength of a cut right after it in scripts without blanks."""
+    spaced, bare = np.full(0x110000, BLANK, np.int8), np.zeros(0x110000, np.int8)
+    spaced[[ord(c) for c in CLAUSES]] = CLAUSE
+    spaced[[ord(c) for c in ENDS + ")”\"»"]] = SENTENCE
+    bare[[ord(c) for c in "，、；："]] = CLAUSE
+    bare[[ord(c) for c in "。！？।"]] = SENTENCE
+    return spaced, bare
+
+
 def _strengths(cuts: Cuts) -> np.ndarray:
     """Strength of a cut before each code point; white space stays with the text before a line's
     start and with the word after it elsewhere."""
-    cp = cuts.cp
-    n = len(cp)
+    cp, n = cuts.cp, len(cuts.cp)
     out = np.zeros(n + 1, np.int8)
     out[cuts.piece_start] = PIECE
     if not n:
         return out
+    spaced, bare = _mark_kinds()
     newline = cp == 10
-    white = (cuts.sym == 2) | (cuts.sym == 3) | newline
-    prev_white = np.concatenate([[True], white[:-1]])
-    # a gap starts where white space follows text
-    start = white & ~prev_white
-    # last character of text at or before each place
-    last = np.maximum.accumulate(np.where(~white, np.arange(n), -1))
-    mark = np.where(last >= 0, cp[np.maximum(last, 0)], 0)
-    lines = np.cumsum(newline)
-    begin = ~white & prev_white  # text after white space
-    at = np.flatnonzero(begin)
-    prior = np.where(at > 0, last[np.maximum(at - 1, 0)], -1)
-    breaks = lines[np.maximum(at - 1, 0)] - np.where(prior >= 0, lines[np.maximum(prior, 0)], 0)
+    white = (cuts.sym == SP) | (cuts.sym == WS) | newline
+    turn = np.flatnonzero(white[1:] != white[:-1]) + 1
+    gap = turn[white[turn]]  # where white space follows text
+    at = turn[~white[turn]]  # where text follows white space
+    # the gap before each such text, and the line breaks in it
+    first = np.searchsorted(gap, at) - 1
+    begin = np.where(first >= 0, gap[np.maximum(first, 0)], 0) if len(gap) else np.zeros(len(at), np.int64)
+    lines = np.concatenate([[0], np.cumsum(newline)])
+    breaks = lines[at] - lines[begin]
     out[at[breaks == 1]] = LINE
     out[at[breaks > 1]] = PARAGRAPH
-    gap = np.flatnonzero(start)
-    m = mark[gap]
-    value = np.where(np.isin(m, [ord(c) for c in ENDS + ")”\"»"]), SENTENCE, np.where(np.isin(m, [ord(c) for c in CLAUSES]), CLAUSE, BLANK))
-    # a sentence goes on where a small letter follows
-    follow = at[np.minimum(np.searchsorted(at, gap), max(len(at) - 1, 0))] if len(at) else gap
-    value = np.where((value == SENTENCE) & small_letters()[cp[follow]], BLANK, value)
-    # a cut within a gap: before the white space, unless it breaks the line
-    nxt = np.searchsorted(at, gap)
-    broken = np.zeros(len(gap), bool)
-    ok = nxt < len(at)
-    broken[ok] = breaks[nxt[ok]] > 0
-    out[gap[~broken]] = value[~broken]
-    plain = at[(breaks == 0)]
-    out[plain] = np.maximum(out[plain], np.where(plain > 0, BLANK, 0))
-    # marks of scripts without blanks
-    for s, v in (("。！？।", SENTENCE), ("，、；：", CLAUSE)):
-        j = np.flatnonzero(np.isin(cp, [ord(c) for c in s])) + 1
-        j = j[(j < n)]
-        j = j[~white[j]]
-        out[j] = np.maximum(out[j], v)
+    plain = at[breaks == 0]
+    out[plain] = np.maximum(out[plain], BLANK)
+    # inside a line the cut is before the white space; a sentence goes on where a small letter follows
+    value = spaced[cp[gap - 1]]
+    follow = np.minimum(np.searchsorted(at, gap), max(len(at) - 1, 0))
+    if len(at):
+        value = np.where((value == SENTENCE) & small_letters()[cp[at[follow]]], BLANK, value)
+        broken = (breaks[follow] > 0) & (at[follow] > gap)
+        out[gap[~broken]] = value[~broken]
+    else:
+        out[gap] = value
+    after = np.flatnonzero(bare[cp[:-1]] > 0) + 1
+    after = after[~white[after]]
+    out[after] = np.maximum(out[after], bare[cp[after - 1]])
     return out
 
 
-def _bisect(strength: np.ndarray, fits: np.ndarray, lo: int, hi: int, room: int, out: list[int]) -> None:
-    """Appends the ends of the pieces of tokens [lo, hi), each of at most ``room`` tokens."""
+def _bisect(strength: bytes, lo: int, hi: int, room: int) -> list[int]:
+    """Ends of the pieces of tokens [lo, hi), each of at most ``room`` tokens. ``strength``: of a cut before each
+    token, 1 more than its kind, 0 inside a character."""
+    out: list[int] = []
     stack = [(lo, hi)]
     while stack:
         a, b = stack.pop()
@@ -77,20 +84,24 @@ def _bisect(strength: np.ndarray, fits: np.ndarray, lo: int, hi: int, room: int,
             continue
         mid, reach = (a + b) // 2, max(1, int((b - a) * NEAR))
         x, y = max(a + 1, mid - reach), min(b, mid + reach + 1)
-        s = strength[x:y]
-        best = s.max(initial=-1)
-        if best < 0:  # no place between characters near the middle: the nearest one at all
-            every = np.flatnonzero(fits[a + 1 : b]) + a + 1
-            if not len(every):
-                out.append(b)
-                continue
-            k = int(every[np.argmin(np.abs(every - mid))])
-        else:
-            c = np.flatnonzero(s == best) + x
-            k = int(c[np.argmin(np.abs(c - mid))])
+        # the strongest kind that occurs near the middle
+        k = next((j for v in KINDS if (j := _nearest(strength, v, mid, x, y)) >= 0), -1)
+        if k < 0:  # no place between characters near the middle: the nearest one at all
+            k = min((j for v in set(strength[a + 1 : b]) - {0} if (j := _nearest(strength, v, mid, a + 1, b)) >= 0), key=lambda j: abs(j - mid), default=-1)
+        if k < 0:
+            out.append(b)
+            continue
         stack.append((k, b))
         stack.append((a, k))
-    out.sort()
+    return out
+
+
+def _nearest(strength: bytes, value: int, mid: int, x: int, y: int) -> int:
+    """Place in [x, y) nearest to ``mid`` at which ``value`` stands, the first of two; -1 if none."""
+    left, right = strength.rfind(value, x, mid + 1), strength.find(value, max(x, mid), y)
+    if left < 0 or right < 0:
+        return max(left, right)
+    return left if mid - left <= right - mid else right
 
 
 def _token_places(chunk: Chunk, c: Coder) -> np.ndarray:
@@ -121,57 +132,59 @@ class _Counter:
     """
 
     def __init__(self, chunk: Chunk, c: Coder):
-        self.chunk, self.c, self.cuts = chunk, c, chunk.cuts
+        self.table, self.c, self.total, self.cuts = chunk.table, c, chunk.total, chunk.cuts
+        whole = np.zeros(int(chunk.total[-1]) + 1, np.uint8)
+        whole[chunk.total] = 1
+        self.whole = whole.tobytes()  # whether a token begins a piece
 
     def of(self, part: str) -> int:
-        i = self.chunk.table[part.encode()]  # may replace the arrays, so it comes first
-        return int(self.chunk.table.count[i])
+        i = self.table[part.encode()]  # may replace the arrays, so it comes first
+        return int(self.table.count[i])
 
     def __call__(self, text: str, base: int, t0: int, t1: int, x: int, y: int) -> int:
         """Tokens of text[x:y], which is tokens [t0, t1) of the chunk; ``base``: code point at which the text begins."""
-        total, cuts = self.chunk.total, self.cuts
         n = t1 - t0
-        p, q = np.searchsorted(total, [t0, t1], "right") - 1
-        if total[p] != t0:  # the start cuts piece p
-            lo, hi = int(cuts.piece_start[p]) - base, int(cuts.piece_end[p]) - base
+        if not self.whole[t0]:  # the start cuts a piece
+            p = int(np.searchsorted(self.total, t0, "right")) - 1
+            lo, hi = int(self.cuts.piece_start[p]) - base, int(self.cuts.piece_end[p]) - base
             if text[lo] == "'" or hi >= y:
                 return int(self.c.count([text[x:y]])[0])
-            n += self.of(text[x:hi]) - int(total[p + 1] - t0)
+            n += self.of(text[x:hi]) - int(self.total[p + 1]) + t0
         if y == len(text):
             return n
-        if total[q] != t1:  # the end cuts piece q
-            lo = int(cuts.piece_start[q]) - base
+        if not self.whole[t1]:  # the end cuts a piece
+            q = int(np.searchsorted(self.total, t1, "right")) - 1
+            lo = int(self.cuts.piece_start[q]) - base
             if text[lo] == "'" or text[lo:y].isspace():
                 return int(self.c.count([text[x:y]])[0])
-            return n + self.of(text[lo:y]) - int(t1 - total[q])
+            return n + self.of(text[lo:y]) - t1 + int(self.total[q])
         if self.c.blank_joins and y - x > 1 and text[y - 1].isspace() and text[y - 2].isspace():
-            lo = y - 1 - len(text[x : y - 1]) + len(text[x : y - 1].rstrip())
+            lo = x + len(text[x : y - 1].rstrip())
             if text[y - 1] != " " and lo > x:  # with nothing after it, the run of white space is one piece
                 return n - self.of(text[lo : y - 1]) - self.of(text[y - 1]) + self.of(text[lo:y])
             return int(self.c.count([text[x:y]])[0])
         return n
 
 
-def _pieces(text: str, ends: list[int], fits, at, overlap: int, most: int, strength, count) -> list[tuple]:
-    """(piece_no, piece_lo, core_lo, piece_hi, n_tokens, overlap) for cores that end at ``ends``.
+def _pieces(text: str, n: int, at: np.ndarray, base: int, overlap: int, most: int, strength: bytes, count) -> list[tuple]:
+    """(piece_no, piece_lo, core_lo, piece_hi, n_tokens, overlap) of the ``n`` tokens of a text.
 
-    ``at``: code point of each token; ``count``: tokens of a range of tokens and code points encoded
+    ``at``: code point of each token, from ``base`` on; ``count``: tokens of a range of tokens and code points encoded
     alone. A piece that has more than ``most`` alone is cut again.
     """
     out: list[tuple] = []
-    n, lo, prev = len(at), 0, 0
-    todo = ends[::-1]
+    lo = prev = 0
+    todo = _bisect(strength, 0, n, most - overlap)[::-1]
     while todo:
         hi = todo.pop()
         start = max(lo - overlap, prev) if lo else 0
-        while start > prev and not fits[start]:
+        while start > prev and not strength[start]:
             start -= 1
-        x, core = (int(at[start]), int(at[lo])) if lo else (0, 0)
-        y = len(text) if hi == n else int(at[hi])
+        x, core = (int(at[start]) - base, int(at[lo]) - base) if lo else (0, 0)
+        y = len(text) if hi == n else int(at[hi]) - base
         tokens = count(start, hi, x, y)
         if tokens > most and hi - lo > 1:
-            inner: list[int] = []
-            _bisect(strength, fits, lo, hi, max(1, (hi - lo + 1) // 2), inner)
+            inner = _bisect(strength, lo, hi, max(1, (hi - lo + 1) // 2))
             if len(inner) > 1:
                 todo += inner[::-1]
                 continue
@@ -190,37 +203,31 @@ def split_texts(texts: list[str], c: Coder, limits: list[tuple[int, int, int]],
     counts, doc_token = chunk.counts(), chunk.total[cuts.doc_piece]
     if not any((counts > most).any() for _, most, _ in limits):
         return []
+    if not hasattr(cuts, "strength"):  # the same for every tokenizer that shares these cuts
+        cuts.strength = _strengths(cuts)
     places = _token_places(chunk, c)
-    fits = places >= 0
-    strength = np.where(fits, _strengths(cuts)[np.maximum(places, 0)], -1).astype(np.int8)
+    strength = np.where(places >= 0, cuts.strength[np.maximum(places, 0)] + 1, 0).astype(np.uint8).tobytes()
     alone = _Counter(chunk, c)
     out: list[tuple] = []
     for limit_id, most, overlap in limits:
         for d in np.flatnonzero(counts > most).tolist():
             a, b, base = int(doc_token[d]), int(doc_token[d + 1]), int(cuts.doc_at[d])
-            st, fit, text = strength[a:b], fits[a:b], texts[d]
-            ends: list[int] = []
-            _bisect(st, fit, 0, b - a, most - overlap, ends)
+            text = texts[d]
             count = lambda t0, t1, x, y: alone(text, base, a + t0, a + t1, x, y)  # noqa: B023, E731
-            out += [(limit_id, d, *r) for r in _pieces(text, ends, fit, places[a:b] - base, overlap, most, st, count)]
+            out += [(limit_id, d, *r) for r in _pieces(text, b - a, places[a:b], base, overlap, most, strength[a:b], count)]
     return out
 
 
 def split_by_library(text: str, c: Coder, limits: list[tuple[int, int, int]]) -> list[tuple]:
     """As ``split_texts`` for one text that the tokenizer's normaliser changes: token places come from its library."""
     enc = c.whole.encode(text, add_special_tokens=False)
-    out: list[tuple] = []
     if all(len(enc.ids) <= most for _, most, _ in limits):
-        return out
+        return []
     at = np.array([o[0] for o in enc.offsets], np.int64)
     fits = np.concatenate([[True], at[1:] > at[:-1]])
-    strength = np.where(fits, _strengths(Cuts([text], c.blank_joins))[at], -1).astype(np.int8)
-    for limit_id, most, overlap in limits:
-        if len(enc.ids) > most:
-            ends: list[int] = []
-            _bisect(strength, fits, 0, len(at), most - overlap, ends)
-            out += [(limit_id, 0, *r) for r in _pieces(text, ends, fits, at, overlap, most, strength, lambda t0, t1, x, y: int(c.count([text[x:y]])[0]))]
-    return out
+    strength = np.where(fits, _strengths(Cuts([text], c.blank_joins))[at] + 1, 0).astype(np.uint8).tobytes()
+    count = lambda t0, t1, x, y: int(c.count([text[x:y]])[0])
+    return [(limit_id, 0, *r) for limit_id, most, overlap in limits if len(enc.ids) > most for r in _pieces(text, len(at), at, 0, overlap, most, strength, count)]
 
 
 SCHEMA = "limit_id int, {id} {kind}, piece_no int, piece_lo int, core_lo int, piece_hi int, n_tokens int, overlap_tokens int"
@@ -241,26 +248,31 @@ def split_corpus(df: DataFrame, limits: list[tuple[int, str, int, int]], id_col:
         by: dict[str, list] = {}
         for i, t, m, o in usable:
             by.setdefault(t, []).append((i, m, o))
+        lowest = min((m for _, t, m, _ in usable if t != "word_bpe_49k"), default=0)
         for b in batches:
             ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
             for lo, hi in chunks(texts):
                 rows: list[tuple] = []
-                shared: dict = {}
-                for name, ls in by.items():
+                byte_cuts: tuple[list[int], Cuts] | None = None
+                for name, ls in sorted(by.items(), key=lambda x: x[0] == "word_bpe_49k"):
                     c = coder(name, folder)
                     least = min(m for _, m, _ in ls)
-                    # a byte-level token has at least one byte; case folding and composing at most triple them
-                    long = [i for i in range(lo, hi) if len(texts[i]) * (4 if c.blank_joins else 12) > least]
-                    part = [c.prepared(texts[i]) for i in long]
-                    odd = [i for i, t in zip(long, part) if t is None]
-                    long, part = [i for i, t in zip(long, part) if t is not None], [t for t in part if t is not None]
-                    if part:
-                        key = (c.blank_joins, tuple(long))
-                        if key not in shared:
-                            shared[key] = Cuts(part, c.blank_joins)
-                        rows += [(r[0], long[r[1]], *r[2:]) for r in split_texts(part, c, ls, shared[key])]
-                    for i in odd:
-                        rows += [(r[0], i, *r[2:]) for r in split_by_library(texts[i], c, ls)]
+                    if c.blank_joins:
+                        if byte_cuts is None:  # shared by the byte-level tokenizers; a token has at least one byte
+                            long = [i for i in range(lo, hi) if len(texts[i]) * 4 > lowest]
+                            byte_cuts = long, Cuts([texts[i] for i in long], True)
+                        long, cuts = byte_cuts
+                        rows += [(r[0], long[r[1]], *r[2:]) for r in split_texts([texts[i] for i in long], c, ls, cuts)]
+                        continue
+                    # case folding and composing at most triple a character's bytes
+                    ready = {i: c.prepared(texts[i]) for i in range(lo, hi) if len(texts[i]) * 12 > least}
+                    if byte_cuts is not None:
+                        over = {i for i, n in zip(byte_cuts[0], c.counts_from(byte_cuts[1]).tolist()) if n > least}
+                        known = set(byte_cuts[0])
+                        ready = {i: t for i, t in ready.items() if t is None or i in over or i not in known}
+                    fast = [i for i, t in ready.items() if t is not None]
+                    rows += [(r[0], fast[r[1]], *r[2:]) for r in split_texts([ready[i] for i in fast], c, ls)] if fast else []
+                    rows += [(r[0], i, *r[2:]) for i, t in ready.items() if t is None for r in split_by_library(texts[i], c, ls)]
                 if rows:
                     cols = list(zip(*rows))
                     arrays = [pa.array(cols[0], pa.int32()), ids.take(pa.array(cols[1], pa.int64())), *(pa.array(x, pa.int32()) for x in cols[2:])]
