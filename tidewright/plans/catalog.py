@@ -154,7 +154,7 @@ scalar("negation_cues", "segment_results", "result_id", T.negation_count, ["fina
 scalar("hedge_cues", "segment_results", "result_id", T.hedge_count, ["final"], s_cues("final", P.HEDGES))
 scalar("sentence_stops", "segment_results", "result_id", T.sentence_count, ["original"], f"CASE WHEN original IS NOT NULL THEN {s_sentences('original')} END")
 scalar("lost_numbers", "segment_results", "result_id", lambda o, f: F.size(T.multiset_minus(T.numbers(o), T.numbers(f))), OF,
-       f"(SELECT coalesce(sum(greatest(0, coalesce(a.n, 0) - coalesce(b.n, 0))), 0) FROM (SELECT x, count(*) AS n FROM (SELECT unnest({s_numbers('original')}) AS x) GROUP BY x) a LEFT JOIN (SELECT x, count(*) AS n FROM (SELECT unnest({s_numbers('final')}) AS x) GROUP BY x) b USING (x))", BOTH)
+       f"(SELECT CAST(coalesce(sum(greatest(0, coalesce(a.n, 0) - coalesce(b.n, 0))), 0) AS BIGINT) FROM (SELECT x, count(*) AS n FROM (SELECT unnest({s_numbers('original')}) AS x) GROUP BY x) a LEFT JOIN (SELECT x, count(*) AS n FROM (SELECT unnest({s_numbers('final')}) AS x) GROUP BY x) b USING (x))", BOTH)
 scalar("content_overlap", "segment_results", "result_id", lambda o, f: F.round(T.jaccard(T.content_words(o), T.content_words(f)), 9), OF, f"round({s_jaccard(s_content('original'), s_content('final'))}, 9)", BOTH)
 scalar("candidate_terms", "segment_results", "result_id", lambda o: F.array_sort(T.candidate_terms(o)), ["original"], f"list_sort({s_candidates('original')})", "original IS NOT NULL")
 
@@ -304,7 +304,7 @@ SELECT result_id, coalesce(value, upper(original)) AS out FROM r LEFT JOIN c USI
 
 # ---- spans
 add("line_offsets", lambda s, d: spans.line_offsets(table(s, d, "documents")).select("doc_id", "line_no", "start", F.length("line").alias("size")),
-    "SELECT doc_id, i - 1 AS line_no, coalesce(list_sum([length(x) + 1 for x in l[:i - 1]]), 0) AS start, length(l[i]) AS size FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(l) + 1)) AS i FROM documents WHERE text IS NOT NULL)")
+    "SELECT doc_id, i - 1 AS line_no, CAST(coalesce(list_sum([length(x) + 1 for x in l[:i - 1]]), 0) AS BIGINT) AS start, length(l[i]) AS size FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(l) + 1)) AS i FROM documents WHERE text IS NOT NULL)")
 add("paragraphs", lambda s, d: spans.paragraphs(table(s, d, "documents")).select("doc_id", "para_no", F.length("text").alias("size")),
     "SELECT doc_id, i - 1 AS para_no, length(p[i]) AS size FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, [y for y in [regexp_replace(x, '^\\s+|\\s+$', '', 'g') for x in regexp_split_to_array(text, '\\n[ \\t]*\\n')] if y <> ''] AS p FROM documents WHERE text IS NOT NULL))")
 
@@ -411,7 +411,18 @@ add("running_eta", _eta, f"""WITH r AS (SELECT result_id, run_id, span_lo, elaps
 a AS (SELECT *, sum(w) OVER o AS done, sum(CASE WHEN w = 1 THEN elapsed_s ELSE 0 END) OVER o AS spent, sum(w * c) OVER o AS dc, sum(w) OVER p - sum(w) OVER o AS ln, sum(c) OVER p - sum(c) OVER o AS lc FROM r
   WINDOW o AS (PARTITION BY run_id ORDER BY span_lo, result_id ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY run_id))
 SELECT result_id, round(CASE WHEN ln = 0 THEN 0.0 ELSE CASE WHEN done > 0 THEN spent / (done * {P.OVERHEAD_SECONDS} + dc * {P.SECONDS_PER_CHAR}) ELSE 1.0 END * (ln * {P.OVERHEAD_SECONDS} + lc * {P.SECONDS_PER_CHAR}) END, 4) AS remaining_s FROM a""")
-add("run_summaries", lambda s, d: runs(s, d).select("run_id", T.run_summary(F.col("segments_total"), F.col("segments_translated"), F.lit(1), F.col("segments_total") * 100).alias("line")))
+
+
+
+def s_duration(s: str) -> str:
+    n = lambda x: f"CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
+    h, m = f"CAST(CAST(floor({s} / 3600) AS BIGINT) AS VARCHAR)", f"CAST(floor(({s} / 60) % 60) AS BIGINT)"
+    return f"CASE WHEN {s} < 1 THEN 'instant' WHEN {s} < 90 THEN {n(s)} || 's' WHEN {s} / 60 < 90 THEN {n(f'{s} / 60')} || ' min' WHEN {m} > 0 THEN {h} || 'h ' || lpad(CAST({m} AS VARCHAR), 2, '0') || 'm' ELSE {h} || 'h' END"
+
+
+S_ETA = f"(CAST({P.OVERHEAD_SECONDS} AS DOUBLE) * (t - c) + CAST({P.SECONDS_PER_CHAR} AS DOUBLE) * (t * 100))"
+add("run_summaries", lambda s, d: runs(s, d).select("run_id", T.run_summary(F.col("segments_total"), F.col("segments_translated"), F.lit(1), F.col("segments_total") * 100).alias("line")),
+    f"SELECT run_id, CASE WHEN t = 0 THEN 'nothing to translate' WHEN t = c THEN t || ' segments, all cached, this will be instant' WHEN c > 0 THEN t || ' segments, ' || c || ' already cached, ' || (t - c) || ' to translate, ~' || {s_duration(S_ETA)} ELSE t || ' segments, ~' || {s_duration(S_ETA)} END AS line FROM (SELECT run_id, segments_total AS t, segments_translated AS c FROM {RUNS_ONCE})")
 add("unmatched_results", lambda s, d: flags(s, d).join(table(s, d, "runs").select("run_id").distinct(), "run_id", "left_anti").select("result_id"), f"SELECT result_id FROM {ONCE} WHERE run_id IS NULL OR run_id NOT IN (SELECT run_id FROM runs WHERE run_id IS NOT NULL)")
 add("roots_first", lambda s, d: table(s, d, "documents").where("fmt = 'tex'").select("doc_id", F.row_number().over(report.Window.partitionBy("project").orderBy(F.desc(F.coalesce(T.is_standalone(F.col("text")), F.lit(False))), "path")).alias("ordinal")),
     "SELECT doc_id, row_number() OVER (PARTITION BY project ORDER BY coalesce(regexp_matches(regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1', 'g'), '\\\\begin\\s*\\{document\\}'), false) DESC, path) AS ordinal FROM documents WHERE fmt = 'tex'")
