@@ -171,3 +171,12 @@ def test_truncation_on_held_out(spark, corpus, model, tables):
     rates = truncation.rates(s, spark.createDataFrame([(7, "m"), (7, "m")], "run_id bigint, model string"))
     assert {r.model: (r.n_values, r.n_cut) for r in rates.collect()} == {"m": (3, 1), "unknown": (2, 0)}
     assert truncation.scored(d.limit(0), truncation.train([], model, tables)).count() == 0
+
+
+def test_samples_are_bounded_and_the_same(spark):
+    from tidewright.llm.sampling import first_by_hash
+
+    d = spark.range(2000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    a = [r.k for r in first_by_hash(d, "k", 50)]
+    assert len(a) == 50 and a == [r.k for r in first_by_hash(d.repartition(7), "k", 50)]
+    assert len(first_by_hash(d.limit(3), "k", 50)) == 3 and first_by_hash(d.limit(0), "k", 50) == []
