@@ -66,10 +66,10 @@ def test_term_counters_against_brute_force(spark, monkeypatch):
 
 
 def test_glyphs(spark):
-    v = ["Ｔｈｅ ﬁle", "The file", "déja", "déja", "x y", "x y", "x  y", "а​b", "ab", "2⁶", "26", "a–b", "a-b", "“x”", '"x"', "ｶﾞ", "ガ", "", None, "⽐", "比"]
+    v = ["Ｔｈｅ ﬁle", "The file", "déja", "déja", "x y", "x y", "x  y", "а​b", "ab", "2⁶", "26", "a–b", "a-b", "“x”", '"x"', "ｶﾞ", "ガ", "", None, "⽐", "比", "a\r\nb", "a\nb"]
     d = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, v string")
     form = {r._value: r._form for r in glyphs.canonical(d, ["i"], F.col("v")).collect()}
-    same = [("Ｔｈｅ ﬁle", "The file"), ("déja", "déja"), ("x y", "x y"), ("а​b", "ab"), ("ｶﾞ", "ガ"), ("⽐", "比")]
+    same = [("Ｔｈｅ ﬁle", "The file"), ("déja", "déja"), ("x y", "x y"), ("а​b", "ab"), ("ｶﾞ", "ガ"), ("⽐", "比"), ("a\r\nb", "a\nb")]
     assert all(form[a] == form[b] for a, b in same)
     assert all(form[a] != form[b] for a, b in [("x y", "x  y"), ("2⁶", "26"), ("a–b", "a-b"), ("“x”", '"x"')])
     assert form[""] == "" and form[None] is None

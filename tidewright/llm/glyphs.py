@@ -72,6 +72,8 @@ def canonical_sql(column: str) -> str:
     e = column
     for k, v in sorted(more.items()):
         e = f"replace({e}, {_quote(k)}, {_quote(v)})"
+    # a line break is one, whatever code points make it up
+    e = f"regexp_replace({e}, '\\r\\n|[\\r\\x{{0085}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g')"
     e = f"regexp_replace({e}, {_quote(INVISIBLE)}, '', 'g')"
     e = f"nfc_normalize(translate({e}, {pair}))"
     return f"nfc_normalize(translate({e}, {pair}))"
@@ -79,7 +81,7 @@ def canonical_sql(column: str) -> str:
 
 def canonical_query(source: str = "batch") -> str:
     """The query over a batch (k, v): plain ASCII without control characters is its own form."""
-    return f"SELECT k, CASE WHEN v IS NULL THEN NULL WHEN regexp_matches(v, '^[\\n\\r -~]*$') THEN v ELSE {canonical_sql('v')} END AS form FROM {source}"
+    return f"SELECT k, CASE WHEN v IS NULL THEN NULL WHEN regexp_matches(v, '^[\\n -~]*$') THEN v ELSE {canonical_sql('v')} END AS form FROM {source}"
 
 
 def _run(batches):

@@ -102,7 +102,7 @@ _STATS = f"""SELECT term_key, CAST(sum(seen) AS BIGINT) AS seen, CAST(sum(surviv
   CASE WHEN sum(seen) <= 2 THEN 'rare' WHEN count(DISTINCT run_id) > 0.05 * (SELECT count(DISTINCT run_id) FROM runs) THEN 'common' END AS mark
   FROM {_TERMS} GROUP BY term_key"""
 
-_FORMS = f"""SELECT result_id, doc_id, span_lo, field, hop_no, value, CASE WHEN regexp_matches(value, '^[\\n\\r -~]*$') THEN value ELSE {glyphs.canonical_sql("value")} END AS form FROM (
+_FORMS = f"""SELECT result_id, doc_id, span_lo, field, hop_no, value, CASE WHEN regexp_matches(value, '^[\\n -~]*$') THEN value ELSE {glyphs.canonical_sql("value")} END AS form FROM (
   SELECT result_id, doc_id, span_lo, 'final' AS field, -1 AS hop_no, final AS value FROM segment_results
   UNION SELECT result_id, doc_id, span_lo, 'hops', CAST(i - 1 AS INT), hops[i] FROM (SELECT *, unnest(range(1, len(hops) + 1)) AS i FROM segment_results)) WHERE value IS NOT NULL"""
 
