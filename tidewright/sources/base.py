@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..session import spread
 from . import latex, markdown
 
 Parser = Callable[[str, bool], list[markdown.Span]]
@@ -65,7 +66,7 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), format_of(F.col(path_col)).alias("_fmt"), F.col(fragment_col).cast("boolean").alias("_fragment"))
-    out = rows.mapInArrow(run, f"`{id_col}` {kind}, {SEGMENT}" + ", fmt string" * with_format)
+    out = spread(rows).mapInArrow(run, f"`{id_col}` {kind}, {SEGMENT}" + ", fmt string" * with_format)
     if drop_disabled is not None:
         from ..operators.spans import disabled_spans, drop_inside
 
