@@ -91,7 +91,7 @@ def _run(batches):
     sql = canonical_query()
     for b in batches:
         con.register("batch", pa.table({"k": pa.array(range(b.num_rows), pa.int64()), "v": b.column(b.num_columns - 1)}))
-        got = con.execute(sql + " ORDER BY k").to_arrow_table()
+        got = con.sql(sql + " ORDER BY k").to_arrow_table()
         form = got.column("form").combine_chunks().cast(pa.string())
         yield pa.RecordBatch.from_arrays([*b.columns, form], names=[*b.schema.names, "_form"])
 
