@@ -112,6 +112,12 @@ def test_sentences_inside_pairs_and_offsets(model):
     assert sentences.split(text, model) == [0, text.index("The report")]
 
 
+def test_sentences_after_numbers_without_blank(model):
+    a, b = "The ladder keeps the table as of v33.2.", "The report reads the lamp in 4 runs."
+    assert sentences.split(a + b, model) == [0, len(a)]
+    assert sentences.split("The ladder keeps v33.2.b in 3 runs.", model) == [0] and sentences.split("The ladder keeps 33.2.14 in 3 runs.", model) == [0]
+
+
 def test_sentences_table(spark, model):
     r = [(1, 1, 1, 0, "The lamp reads the table in 3 runs.", None, ["a", None, ""], True), (1, 1, 1, 0, "The lamp reads the table in 3 runs.", None, ["a", None, ""], True), (None, 1, 1, 0, "x", "y", [], True), (2, 1, 1, 0, None, None, None, None)]
     d = spark.createDataFrame([(*x, "f", "v", "g") for x in r], RESULT)
