@@ -179,6 +179,23 @@ def test_truncation_on_held_out(spark, corpus, model, tables):
     assert truncation.scored(d.limit(0), truncation.train([], model, tables)).count() == 0
 
 
+def test_truncation_after_inner_stops(corpus, model, tables):
+    m = truncation.train(corpus[:350], model, tables)
+    rnd = random.Random(4)
+    kept = {truncation.cut_somewhere(v, rnd, None, model) for o, f, h in corpus for v in (o, *h)} - {None}
+    assert any(c.endswith("Dr.") for c in kept)
+    n = Counter()
+    for o, f, h in corpus[350:]:
+        if o.startswith("Dr. Velmar") and "." in o[4:]:
+            r = truncation.Row(o, f, h)
+            cut = h[0][: h[0].index("Dr.") + 3]  # the stop ends no sentence, whatever the row's other values show
+            n["hit"] += m.score(r.features("hops", 0, cut, m)) > 0
+            n["cut"] += 1
+            # a sibling's sentence does not end after the abbreviation
+            assert not any(x.startswith("rinsidestop") for x in r.with_values([o, h[0], "Dr."]).features("hops", 1, "Dr.", m))
+    assert n["cut"] > 5 and n["hit"] / n["cut"] > 0.9, n
+
+
 def test_samples_are_bounded_and_the_same(spark):
     from tidewright.llm.sampling import first_by_hash
 

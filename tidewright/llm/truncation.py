@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import align
 from .sampling import first_by_hash
-from .sentences import CJK, CLOSERS, PAIRS, STOPS, Lexicon, _left, _slots, enclosed, fit_logistic, folded, split
+from .sentences import CJK, CLOSERS, PAIRS, STOPS, Lexicon, _bucket, _left, _slots, enclosed, fit_logistic, folded, split
 from .sentences import Model as Splitter
 
 #: Results whose values train the classifier, the first ones by a hash of their id.
@@ -29,6 +29,8 @@ TRAIN_ROWS = 3000
 BITS = 16
 #: Share of cut values that is assumed where the threshold is chosen.
 PRIOR = 0.03
+#: Share of artificial cuts that are put after a stop or colon inside a sentence, where there is one.
+INNER = 0.05
 # Marks that a cut may leave behind.
 CUT_MARK = re.compile(r"\s*(?:\[…\]|\[\.\.\.\]|…|\.\.\.|�+)\s*$")
 _END = re.compile(rf"[{STOPS}]+[\s{re.escape(CLOSERS)}]*[{STOPS}]*$")
@@ -101,6 +103,7 @@ class Row:
         self.values = [("final", -1, final)] if final and final.strip() else []
         self.values += [("hops", i, h) for i, h in enumerate(hops or []) if h and h.strip()]
         self.folded: dict[str, tuple] = {}
+        self.ends: dict[str, set[int]] = {}
         self.words: set[str] | None = None
 
     def with_values(self, texts: list[str]) -> Row:
@@ -121,15 +124,25 @@ class Row:
             got = self.folded[text] = (f, plain(text), _script(text), closing(f))
         return got
 
+    def sentence_ends(self, text: str, model: Model) -> set[int]:
+        """Comparable lengths of a text up to each of its sentences' ends."""
+        got = self.ends.get(text)
+        if got is None:
+            got = self.ends[text] = {len(plain(text[:a]).rstrip(" .")) for a in [*split(text, model.splitter)[1:], len(text)]}
+        return got
+
     def features(self, field: str, no: int, text: str, model: Model) -> list[str]:
         t, p, lang, kind = self.of(text)
         o, op, olang, okind = self.of(self.original) if self.original.strip() else ("", "", "en", "none")
         bare = CUT_MARK.sub("", t).rstrip()
-        body = _END.sub("", bare).rstrip() if kind == "stop" else bare
-        lex, last = model.lex, _last_word(bare)
-        left = _left(bare, len(bare))
+        body = (_END.sub("", bare) if kind == "stop" else bare.rstrip(":：") if kind == "colon" else bare).rstrip()
+        lex, last = model.lex, _last_word(body)
+        left = _left(body, len(body))
         ends = lex.end[left]
         e = "?" if ends + lex.plain[left] < 3 else str(_bin(ends / (ends + lex.plain[left] + 1), (0.02, 0.1, 0.3, 0.6)))
+        # an abbreviation or the whole part of a decimal: a stop after it hardly ever ends anything
+        of = model.splitter.lex
+        doubt = _bucket(of.e(left), of.end[left] + of.stop[left]) + "ab"[of.short(left)] if kind == "stop" else ""
         known = "" if not last else "o" if last in self.own_words() else "k" if last in model.words else "u"
         lens = (len(text), len(text.encode()))
         at = "".join(str(i) for i in (0, 1) if lens[i] in model.limits.get((field, i), ()))
@@ -152,17 +165,17 @@ class Row:
                 rel = "same" if rel != "inside" else rel
             elif len(comparable) > 3 and q.startswith(comparable):
                 after = q[len(comparable) :]
-                rest = "stop" if after[:1] in "..。।…" and (len(after) < 2 or after.lstrip(".。।…)”\"»]")[:1] in " ~" or re.match(f"[{CJK}]", after[1:2])) and kind in ("stop", "dots", "close", "colon") else "mid"
+                rest = "stop" if after[:1] in "..。।…" and (len(after) < 2 or after.lstrip(".。।…)”\"»]")[:1] in " ~" or re.match(f"[{CJK}]", after[1:2])) and kind in ("stop", "dots", "close", "colon") and len(comparable) in self.sentence_ends(v, model) else "mid"
                 rel = "inside"
             elif comparable.startswith(qc) and len(qc) > 3:
                 rel = "longer" if rel == "none" else rel
             elif rel == "none":
                 rel = "other"
-        out = ["b", f"k{kind}", f"k{kind}o{okind}", f"k{kind}o{okind}f{lang}", f"e{e}k{kind}", f"l{left}", f"w{known}k{kind}", f"a{at}", f"a{at}k{kind}", f"p{opened}k{kind}", f"r{rel}{rest}", f"r{rel}{rest}k{kind}", f"r{rel}s{sib_kind}k{kind}", f"c{bare[-1:]}k{kind}", f"d{bare[-2:]}", f"t{bare[-3:]}", f"e{e}w{known}r{rel}", f"x{t[-1:].isspace()}"]
+        out = ["b", f"k{kind}", f"k{kind}o{okind}", f"k{kind}o{okind}f{lang}", f"e{e}k{kind}", f"l{left}{'.' if kind in ('stop', 'colon') else ''}", f"q{doubt}k{kind}", f"q{doubt}r{rel}{rest}", f"w{known}k{kind}", f"a{at}", f"a{at}k{kind}", f"p{opened}k{kind}", f"r{rel}{rest}", f"r{rel}{rest}k{kind}", f"r{rel}s{sib_kind}k{kind}", f"c{bare[-1:]}k{kind}", f"d{bare[-2:]}", f"t{bare[-3:]}", f"e{e}w{known}r{rel}", f"x{t[-1:].isspace()}"]
         r = len(p) / max(len(op), 1) / model.ratio.get(lang, 1.0)
         rb = _bin(r, (0.4, 0.6, 0.75, 0.87, 0.95, 1.1, 1.3))
         out += [f"n{rb}k{kind in ('stop', 'colon')}", f"n{rb}r{rel}k{kind in ('stop', 'colon')}"]
-        if kind not in ("stop", "colon") or kind == "dots":
+        if kind != "stop" or doubt[:1] in "01":
             # how much of the sentence that the last one renders is there
             if op and (lang != "en" or rel in ("none", "other")):
                 h = split(bare, model.splitter)
@@ -183,8 +196,16 @@ class Row:
         return out
 
 
-def cut_somewhere(t: str, rnd: random.Random, limit: int | None) -> str | None:
-    """``t`` cut inside a word or sentence, in one of the ways in which storage and transfer cut; None if too short."""
+def _inner_stops(t: str, starts: list[int]) -> list[int]:
+    """Places after stops and colons of ``t`` where none of its sentences ends: abbreviations, decimals, colons."""
+    ends = {len(t[:a].rstrip()) for a in starts}
+    return [m.end() for m in re.finditer(rf"[{STOPS}:：]", t.rstrip()[:-2]) if m.end() >= 6 and m.end() not in ends]
+
+
+def cut_somewhere(t: str, rnd: random.Random, limit: int | None, splitter: Splitter | None = None) -> str | None:
+    """``t`` cut inside a word or sentence, in one of the ways in which storage and transfer cut; None if too short.
+
+    With a splitter a cut may also leave a stop or colon that ends no sentence."""
     n = len(t.rstrip())
     if n < 14:
         return None
@@ -198,9 +219,15 @@ def cut_somewhere(t: str, rnd: random.Random, limit: int | None) -> str | None:
     if rnd.random() < 0.25:  # between words
         j = t.rfind(" ", 6, k)
         k = j + rnd.randint(0, 1) if j > 0 else k
+    starts = split(t, splitter) if splitter else []
+    if splitter and rnd.random() < INNER and (inner := _inner_stops(t, starts)):
+        k = rnd.choice(inner)
     out = t[:k]
-    if _END.search(out.rstrip()) or out.rstrip()[-1:] in ":：" or len(out.strip()) < 5:
+    ended = bool(_END.search(out.rstrip())) or out.rstrip()[-1:] in ":："
+    if len(out.strip()) < 5 or ended and (not splitter or len(out.rstrip()) in {len(t[:a].rstrip()) for a in starts}):
         return None
+    if ended:
+        return out
     x = rnd.random()
     if x < 0.08:
         return out.rstrip() + rnd.choice(["…", "..."])
@@ -258,7 +285,7 @@ def train(rows: list[tuple], splitter: Splitter, tables: align.Tables, seed: int
             y.append(0.0)
             of.append(k)
             for _ in range(2):
-                cut = cut_somewhere(v, rnd, next(iter(limits.get((f, 0), ())), None))
+                cut = cut_somewhere(v, rnd, next(iter(limits.get((f, 0), ())), None), splitter)
                 if cut:
                     # values that say the same are often made from one another: the cut may be in both
                     both = rnd.random() < 0.4 and [w if r.of(w)[1] != r.of(v)[1] else cut for _, _, w in r.values]
