@@ -196,6 +196,25 @@ def test_truncation_after_inner_stops(corpus, model, tables):
     assert n["cut"] > 5 and n["hit"] / n["cut"] > 0.9, n
 
 
+def test_limits_of_sources(spark, corpus, model, tables):
+    rows = [(i, i % 2, 1, i, "o", None, [("ab " * 20 + f"{i:05d} " + "x" * 90)[: 60 + i % 60]] if i % 2 else ["é" * 10 + f"{i:05d} " + "y" * (60 + i % 90)], True) for i in range(400)]
+    rows += [(1000 + i, 1, 1, i, "o", None, [f"{i:05d} " + "z" * 66], True) for i in range(40)] + [(2000, None, 1, 0, None, None, None, True)]
+    d = spark.createDataFrame([(*x, "f", "v", "g") for x in rows], RESULT)
+    runs = spark.createDataFrame([(0, "a"), (1, "b"), (1, "b")], "run_id bigint, model string")
+    got = truncation.limits_of(d, runs)
+    assert 72 in got["hops", 0, "b"] and 72 in got["hops", 1, "b"] and ("hops", 0, "a") not in got
+    assert truncation.at_limit("é" * 36, set(), {72}) == "1" and truncation.at_limit("é" * 36, set(), {73}) == "2" and truncation.at_limit("é" * 36 + "�", set(), {73}) == "2"
+    assert truncation.at_limit("e" * 70, set(), {72}) == "" and truncation.at_limit("e" * 72, {72}, {72}) == "01"
+    rnd = random.Random(1)
+    assert {truncation.cut_at("é" * 40, 1, 73, rnd) for _ in range(9)} == {"é" * 36, "é" * 36 + "�"} and truncation.cut_at("e" * 9, 0, 9, rnd) is None
+    limits = {("hops", 1, "b"): {40}}
+    m = truncation.train([(*c, "a") for c in corpus[:350]], model, tables, limits=limits)
+    r = truncation.Row(*corpus[351], source="b")
+    cut = corpus[351][2][0].encode()[:40].decode(errors="ignore")
+    assert any(x.startswith("a1") or x.startswith("a2") for x in r.features("hops", 0, cut, m))
+    assert m.weights[sentences._slots(["a1"])][0] > 0
+
+
 def test_samples_are_bounded_and_the_same(spark):
     from tidewright.llm.sampling import first_by_hash
 

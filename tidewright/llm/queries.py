@@ -14,7 +14,10 @@ from . import align, glyphs, mixing, sentences, splitting, termfreq, tokens, tru
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "segment_results")
     splitter = sentences.train(sentences.sample_values(t))
-    return truncation.scored(t, truncation.train(truncation.sample_rows(t), splitter, align.train(align.sample_pairs(t))))
+    runs = table(spark, d, "runs")
+    limits = truncation.limits_of(t, runs)
+    model = truncation.train(truncation.sample_rows(t, runs=runs), splitter, align.train(align.sample_pairs(t)), limits=limits)
+    return truncation.scored(t, model, runs)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import align
@@ -29,6 +29,8 @@ TRAIN_ROWS = 3000
 BITS = 16
 #: Share of cut values that is assumed where the threshold is chosen.
 PRIOR = 0.03
+#: Share of the values longer than a limit that are also cut at one.
+AT_LIMIT = 0.4
 #: Share of artificial cuts that are put after a stop or colon inside a sentence, where there is one.
 INNER = 0.05
 # Marks that a cut may leave behind.
@@ -98,16 +100,16 @@ def _bin(x: float, edges: tuple) -> int:
 class Row:
     """A result's values, with what is computed once for each."""
 
-    def __init__(self, original: str | None, final: str | None, hops: list | None):
-        self.original = original or ""
+    def __init__(self, original: str | None, final: str | None, hops: list | None, source: str | None = None):
+        self.original, self.source = original or "", source
         self.values = [("final", -1, final)] if final and final.strip() else []
         self.values += [("hops", i, h) for i, h in enumerate(hops or []) if h and h.strip()]
         self.folded: dict[str, tuple] = {}
         self.ends: dict[str, set[int]] = {}
         self.words: set[str] | None = None
 
-    def with_values(self, texts: list[str]) -> Row:
-        out = Row(self.original, None, None)
+    def with_values(self, texts: list[str], source: str | None = None) -> Row:
+        out = Row(self.original, None, None, source or self.source)
         out.values = [(f, no, t) for (f, no, _), t in zip(self.values, texts)]
         return out
 
@@ -144,8 +146,7 @@ class Row:
         of = model.splitter.lex
         doubt = _bucket(of.e(left), of.end[left] + of.stop[left]) + "ab"[of.short(left)] if kind == "stop" else ""
         known = "" if not last else "o" if last in self.own_words() else "k" if last in model.words else "u"
-        lens = (len(text), len(text.encode()))
-        at = "".join(str(i) for i in (0, 1) if lens[i] in model.limits.get((field, i), ()))
+        at = at_limit(text, *(model.limits.get((field, i, self.source), set()) for i in (0, 1)))
         spans = enclosed(t)
         opened = sum(t.count(a) for a in PAIRS) - sum(t.count(b) for b in set(PAIRS.values())) > 0 if kind != "stop" else False
         opened = "o" if opened or t.count('"') % 2 else ""
@@ -238,23 +239,59 @@ def cut_somewhere(t: str, rnd: random.Random, limit: int | None, splitter: Split
     return out
 
 
-def limits_of(values: list[tuple[str, str]]) -> dict:
-    """Lengths, in code points and bytes, at which a field's values pile up against their neighbours."""
+def _sources(runs: DataFrame) -> DataFrame:
+    """(run_id, source): the model of each run, once for a run delivered twice."""
+    return runs.where("run_id is not null").groupBy("run_id").agg(F.max("model").alias("source")).where("source is not null")
+
+
+def limits_of(results: DataFrame, runs: DataFrame) -> dict:
+    """(field, unit, source) -> lengths, in code points (unit 0) and bytes (1), at which the field's values of a source
+    pile up against their neighbours. All results are counted, a text once for each field and source; the shuffles
+    carry hashes and lengths, and what comes to the driver are the limits."""
+    size = lambda v: (F.xxhash64(v).alias("h"), F.length(v).alias("n0"), F.octet_length(v).alias("n1"))
+    one = lambda f, v: F.struct(F.lit(f).alias("field"), *size(v))
+    every = results.where("result_id is not null and run_id is not null").select("run_id", F.explode(F.concat(F.array(one("final", F.col("final"))), F.coalesce(F.transform("hops", lambda v: one("hops", v)), F.array()))).alias("v")).select("run_id", "v.*").where("n0 is not null").distinct()
+    texts = every.join(_sources(runs), "run_id").select("source", "field", "h", "n0", "n1").distinct()
+    n = texts.select("source", "field", F.posexplode(F.array("n0", "n1")).alias("unit", "k")).groupBy("source", "field", "unit", "k").agg(F.count("*").alias("c"))
+    near = Window.partitionBy("source", "field", "unit").orderBy("k").rangeBetween(-12, 12)
+    found = n.withColumn("beside", F.sum("c").over(near) - F.col("c")).where("k >= 64 and c >= 6 and c > 4 * beside / 24 + 3")
     out: dict = {}
-    for field in {f for f, _ in values}:
-        for i, size in ((0, len), (1, lambda s: len(s.encode()))):
-            n = Counter(size(v) for f, v in values if f == field)
-            out[field, i] = {k for k, c in n.items() if k >= 64 and c >= 6 and c > 4 * (sum(n[j] for j in range(k - 12, k + 13)) - c) / 24 + 3}
+    for field, unit, source, k in found.select("field", "unit", "source", "k").collect():
+        out.setdefault((field, unit, source), set()).add(k)
+    return out
+
+
+def at_limit(text: str, chars: set, size: set) -> str:
+    """Which limits a value's length meets: "0" in code points, "1" in bytes, "2" one in bytes that backs off to a
+    character's start or leaves a mark of a broken character."""
+    bare = text.rstrip("�")
+    n, broken = len(text.encode()), len(bare) < len(text)
+    out = "0" * (len(text) in chars) + "1" * (n in size)
+    if size and not out and not bare.isascii():
+        # up to three bytes of a character are lost; each mark takes three
+        m = len(bare.encode()) if broken else n
+        out = "2" * any(0 < k - m <= 3 for k in size)
+    elif size and broken and any(0 < k - len(bare.encode()) <= 3 for k in size):
+        out += "2"
     return out
 
 
-def train(rows: list[tuple], splitter: Splitter, tables: align.Tables, seed: int = 0) -> Model:
-    """A model from sampled results (original, final, hops). Without rows nothing is marked."""
+def cut_at(t: str, unit: int, limit: int, rnd: random.Random) -> str | None:
+    """``t`` cut at a limit in code points or bytes; a character that a byte limit breaks is dropped or leaves a mark."""
+    out = t[:limit] if unit == 0 else t.encode()[:limit].decode(errors=rnd.choice(("ignore", "replace")))
+    return out if len(out) < len(t) and len(out.strip()) >= 5 else None
+
+
+def train(rows: list[tuple], splitter: Splitter, tables: align.Tables, seed: int = 0, limits: dict | None = None) -> Model:
+    """A model from sampled results (original, final, hops and, with limits, source). Without rows nothing is marked."""
     rnd = random.Random(seed)
     lex, words = Lexicon(), Counter()
     made = [Row(*r) for r in rows]
     every = [(f, v) for r in made for f, _, v in r.values] + [("original", r.original) for r in made if r.original.strip()]
-    limits = limits_of(every)
+    limits = limits or {}
+    of_field: dict[str, list[tuple[int, int, str]]] = {}
+    for (f, unit, source), ks in sorted(limits.items()):
+        of_field.setdefault(f, []).extend((unit, k, source) for k in sorted(ks))
     ratios: dict[str, list[float]] = {}
     for f, v in every:
         t = folded(v)[0].rstrip()
@@ -284,12 +321,18 @@ def train(rows: list[tuple], splitter: Splitter, tables: align.Tables, seed: int
             x.append(_slots(feats))
             y.append(0.0)
             of.append(k)
-            for _ in range(2):
-                cut = cut_somewhere(v, rnd, next(iter(limits.get((f, 0), ())), None), splitter)
+            # a value longer than a limit is cut there too, as if it came from the limit's source
+            over = [z for z in of_field.get(f, ()) if (len(v) if z[0] == 0 else len(v.encode())) > z[1]]
+            at = [rnd.choice(over)] if over and rnd.random() < AT_LIMIT else []
+            for unit, limit, source in [(0, 0, None)] * 2 + at:
+                cut = cut_at(v, unit, limit, rnd) if source else cut_somewhere(v, rnd, None, splitter)
+                if source and cut and len(cut.rstrip()) in {len(v[:a].rstrip()) for a in split(v, splitter)}:
+                    cut = None  # a whole sentence's end
                 if cut:
                     # values that say the same are often made from one another: the cut may be in both
                     both = rnd.random() < 0.4 and [w if r.of(w)[1] != r.of(v)[1] else cut for _, _, w in r.values]
-                    x.append(_slots((r.with_values(both) if both else r).features(f, no, cut, model)))
+                    row = r.with_values(both or [w for _, _, w in r.values], source) if both or source else r
+                    x.append(_slots(row.features(f, no, cut, model)))
                     y.append(1.0)
                     of.append(k)
     if not x or not any(y):
@@ -316,24 +359,27 @@ def _threshold(held: list[tuple[float, float]]) -> float:
     return float(-best[1])
 
 
-def sample_rows(results: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple]:
-    """At most ``rows`` results, the first by a hash of their id: the bound of what comes to the driver."""
-    got = first_by_hash(results.where("result_id is not null").select("result_id", "original", "final", "hops"), "result_id", rows, seed=1)
-    seen = {r[0]: (r[1], r[2], r[3]) for r in got}
-    return list(seen.values())
+def sample_rows(results: DataFrame, rows: int = TRAIN_ROWS, runs: DataFrame | None = None) -> list[tuple]:
+    """(original, final, hops, source) of at most ``rows`` results, the first by a hash of their id: the bound of what comes to the driver."""
+    got = first_by_hash(results.where("result_id is not null").select("result_id", "original", "final", "hops", "run_id"), "result_id", rows, seed=1)
+    seen = {r[0]: r for r in got}
+    wanted = sorted({r[4] for r in seen.values() if r[4] is not None})
+    source = dict(map(tuple, _sources(runs.where(F.col("run_id").isin(wanted))).collect())) if runs is not None and wanted else {}
+    return [(*r[1:4], source.get(r[4])) for r in seen.values()]
 
 
-def scored(results: DataFrame, model: Model) -> DataFrame:
+def scored(results: DataFrame, model: Model, runs: DataFrame | None = None) -> DataFrame:
     """(result_id, run_id, n_values, cut array<struct<field, hop_no>>) of every result, one row for a row
     delivered twice. n_values counts the values of final and hops that are not null; empty and
     blank ones are never cut. Rows with a null result_id are left out, other columns dropped.
+    With runs a value is held against its source's limits: only the runs of sources that have limits are broadcast.
     """
 
     def run(batches):
         for b in batches:
             n, fields, hops, offsets = [], [], [], [0]
-            for o, f, hs in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
-                r = Row(o, f, hs)
+            for o, f, hs, source in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                r = Row(o, f, hs, source)
                 n.append((f is not None) + sum(h is not None for h in hs or []))
                 for field, no, v in r.values:
                     if model.score(r.features(field, no, v, model)) > 0:
@@ -344,6 +390,11 @@ def scored(results: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), s)], names=["result_id", "run_id", "n_values", "cut"])
 
     rows = results.where("result_id is not null").select("result_id", "run_id", "original", "final", "hops")
+    limited = sorted({source for _, _, source in model.limits})
+    if runs is not None and limited:
+        rows = rows.join(F.broadcast(_sources(runs).where(F.col("source").isin(limited))), "run_id", "left").select(*rows.columns, "source")
+    else:
+        rows = rows.withColumn("source", F.lit(None).cast("string"))
     return rows.mapInArrow(run, "result_id bigint, run_id bigint, n_values int, cut array<struct<field: string, hop_no: int>>").dropDuplicates(["result_id"])
 
 
