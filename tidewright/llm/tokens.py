@@ -114,9 +114,8 @@ def scan_states(symbols: np.ndarray, step: np.ndarray, block: int = 128) -> np.n
 class Cuts:
     """Texts of a chunk and the places of their pieces, as arrays over the joined text.
 
-    piece_start, piece_end: code points; slices: the pieces' bytes; byte_at: byte of each
-    code point; doc_at: first code point of each text; doc_piece: first piece of each
-    text (one more at the end).
+    piece_start, piece_end: code points; piece_ix: each piece's place in ``words``, looked up once
+    for all tokenizers that cut alike; data: the texts' bytes; byte_at: byte of each doc_at: first code point of each text; doc_piece: first piece of each text (one more at the end).
     """
 
     def __init__(self, texts: list[str], blank_joins: bool):
@@ -138,6 +137,7 @@ class Cuts:
             elif two in ("re", "ve", "ll"):
                 sym[i] = A2
         edge = before[sym, scan_states(sym, step)]
+        self.white = white
         keep = np.ones(len(cp), bool)
         if blank_joins:
             # the last of several white-space characters stands apart if text follows
@@ -156,19 +156,51 @@ class Cuts:
             width += cp >= top
         self.byte_at = np.zeros(len(cp) + 1, np.int64)
         np.cumsum(width, out=self.byte_at[1:])
-        data = self.joined.encode()
-        a, b = self.byte_at[self.piece_start].tolist(), self.byte_at[self.piece_end].tolist()
-        self.slices = [data[x:y] for x, y in zip(a, b)]
+        self.data = self.joined.encode()
+        self.words = words_of(blank_joins)
+        # all pieces as one Arrow array over the texts' bytes: equal ones are found there, and each distinct one is looked up once
+        offsets = np.append(self.byte_at[at], self.byte_at[-1])
+        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(self.data)])
+        coded = every.filter(pa.array(keep)).dictionary_encode()
+        place = np.fromiter(map(self.words.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        self.piece_ix = place[coded.indices.to_numpy()] if len(place) else np.zeros(0, np.int64)
         self.doc_piece = np.searchsorted(self.piece_start, np.append(self.doc_at, len(cp) + 1))
 
+    @functools.cached_property
+    def white_from(self) -> np.ndarray:
+        """For each code point of white space, where its run begins; for any other, the next place."""
+        return np.maximum.accumulate(np.where(self.white, 0, np.arange(1, len(self.white) + 1)))
+
+
+class Words(dict):
+    """Places of the distinct pieces met so far, in ``pieces``; the tokenizers keep what they know of each by its place."""
+
+    def __init__(self):
+        super().__init__()
+        self.pieces: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        i = self[piece] = len(self.pieces)
+        self.pieces.append(piece)
+        return i
+
+
+_WORDS: dict[bool, Words] = {}
+
+
+def words_of(blank_joins: bool) -> Words:
+    """The pieces that a pre-tokenizer has met in this worker, or none where they have become too many."""
+    if len(_WORDS.get(blank_joins, ())) > CACHE_PIECES or blank_joins not in _WORDS:
+        _WORDS[blank_joins] = Words()
+    return _WORDS[blank_joins]
+
 
 class Chunk:
-    """The tokens of a chunk by one tokenizer: piece_ix is each piece's place in the cache."""
+    """The tokens of a chunk by one tokenizer."""
 
     def __init__(self, cuts: Cuts, coder: Coder):
-        self.cuts, self.table = cuts, coder.table()
-        self.piece_ix = np.fromiter(map(self.table.__getitem__, cuts.slices), np.int64, len(cuts.slices))
-        self.piece_n = self.table.count[self.piece_ix]
+        self.cuts, self.table = cuts, coder.table(cuts.words)
+        self.piece_n = self.table.count[cuts.piece_ix]
         self.total = np.concatenate([[0], np.cumsum(self.piece_n)])
 
     def counts(self) -> np.ndarray:
@@ -177,42 +209,79 @@ class Chunk:
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, index of each text's first, one more at the end)."""
-        where = np.repeat(self.table.at[self.piece_ix] - self.total[:-1], self.piece_n) + np.arange(self.total[-1])
+        where = np.repeat(self.table.at[self.cuts.piece_ix] - self.total[:-1], self.piece_n) + np.arange(self.total[-1])
         return self.table.flat[where], self.total[self.cuts.doc_piece]
 
 
-class Pieces(dict):
-    """Cache from a piece's bytes to its index; ids lie in ``flat[at[i] : at[i] + count[i]]``."""
+class Pieces:
+    """Merged pieces of ``words``: the ids of piece i lie in ``flat[at[i] : at[i] + count[i]]``."""
 
-    def __init__(self, merge):
-        super().__init__()
-        self.merge = merge
+    def __init__(self, words: Words, merge):
+        self.words, self.merge, self.known = words, merge, 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.at, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def __missing__(self, piece: bytes) -> int:
-        ids, i = self.merge(piece), len(self)
-        if i >= len(self.at):
-            self.at, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.count))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.at[i], self.count[i] = self.used, len(ids)
-        self.used += len(ids)
-        self[piece] = i
-        return i
+    def fill(self) -> Pieces:
+        """Merges the pieces that are new."""
+        new = [self.merge(p) for p in self.words.pieces[self.known :]]
+        if new:
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            last, used = self.known + len(new), self.used + int(sizes.sum())
+            while last > len(self.at):
+                self.at, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.count))
+            while used > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.count[self.known : last] = sizes
+            self.at[self.known : last] = self.used + np.cumsum(sizes) - sizes
+            self.flat[self.used : used] = [i for ids in new for i in ids]
+            self.known, self.used = last, used
+        return self
+
+
+class Alone:
+    """Tokens that the word tokenizer gives to each piece of ``words``, counted when asked for; before that, as many as its
+    bytes, or twice as many where small letters may take more bytes than capitals."""
+
+    def __init__(self, words: Words, count):
+        self.words, self.of, self.known = words, count, 0
+        self.at_most, self.counted = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+
+    def most(self, ix: np.ndarray) -> np.ndarray:
+        new = self.words.pieces[self.known :]
+        last = self.known + len(new)
+        while last > len(self.at_most):
+            self.at_most, self.counted = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at_most, self.counted))
+        self.at_most[self.known : last] = np.fromiter((len(p) if p.isascii() else 2 * len(p) for p in new), np.int64, len(new))
+        self.known = last
+        return self.at_most[ix]
+
+    def count_all(self, ix: np.ndarray) -> None:
+        for i in np.unique(ix[~self.counted[ix]]).tolist():
+            self.at_most[i] = self.of(self.words.pieces[i].decode())
+            self.counted[i] = True
+
+
+class Counts(dict):
+    """Numbers of tokens of pieces that stand alone."""
+
+    def __init__(self, count):
+        super().__init__()
+        self.of = count
 
+    def __missing__(self, piece) -> int:
+        n = self[piece] = self.of(piece)
+        return n
 
-class Alone(dict):
-    """Tokens that the word tokenizer gives to a piece of the byte-level pre-tokenizer."""
 
-    def __init__(self, whole):
-        super().__init__()
-        self.whole = whole
+def _byte_names() -> dict[int, str]:
+    """Names of bytes in a byte-level vocabulary: printable Latin-1 characters stand for themselves, the rest are numbered from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def __missing__(self, piece: bytes) -> int:
-        n = self[piece] = len(self.whole.encode(piece.decode(), add_special_tokens=False).ids)
-        return n
+
+_BYTE_NAMES = _byte_names()
+_WHITE = "".join(map(chr, WHITE))
 
 
 class Coder:
@@ -232,26 +301,57 @@ class Coder:
 
             self.whole = Tokenizer.from_file(os.path.join(folder, f"{name}.json"))
             self.whole.encode_special_tokens = True
-            self.merge = lambda piece: self.whole.encode(piece.decode(), add_special_tokens=False).ids
-        self._pieces = Pieces(self.merge)
-
-    def table(self) -> Pieces:
-        if len(self._pieces) > CACHE_PIECES:
-            self._pieces = Pieces(self.merge)
-        return self._pieces
-
-    def counts_from(self, cuts: Cuts) -> np.ndarray:
-        """Tokens of each text by the word tokenizer, from the pieces of the byte-level pre-tokenizer.
-
-        Both cut prepared texts alike, but for an apostrophe after a blank, which may open a contraction in
-        one only. Texts that have one get the largest number, so that whoever asks counts them exactly."""
-        if not hasattr(self, "_alone") or len(self._alone) > CACHE_PIECES:
-            self._alone = Alone(self.whole)
-        n = np.fromiter(map(self._alone.__getitem__, cuts.slices), np.int64, len(cuts.slices))
-        total = np.concatenate([[0], np.cumsum(n)])
-        out = np.diff(total[cuts.doc_piece])
-        odd = np.flatnonzero((cuts.cp[1:] == 39) & (cuts.sym[:-1] == SP)) + 1
-        out[np.searchsorted(cuts.doc_at, odd, "right") - 1] = np.iinfo(np.int64).max
+            model = self.whole.model
+            # the piece is cut and of plain form already, so its bytes' names go straight to the pair merging
+            self.merge = lambda piece: [t.id for t in model.tokenize(piece.decode() if piece.isalnum() else piece.decode("latin-1").translate(_BYTE_NAMES))]
+        self._pieces: Pieces | None = None
+        self._parts = Counts(lambda piece: len(self.merge(piece)))
+        self._alone: Alone | None = None
+
+    def table(self, words: Words) -> Pieces:
+        """The tokenizer's ids of all pieces that ``words`` holds now."""
+        if self._pieces is None or self._pieces.words is not words:
+            self._pieces = Pieces(words, self.merge)
+        return self._pieces.fill()
+
+    def _count_alone(self, piece: str) -> int:
+        """Tokens by the word tokenizer of a piece of the byte-level pre-tokenizer: case and blanks make no difference, digits stand alone."""
+        t = self.prepared(piece)
+        if t is None:
+            return len(self.whole.encode(piece, add_special_tokens=False).ids)
+        t = t.strip(_WHITE)
+        if not t:
+            return 0
+        digits = symbol_table()[ord(t[-1])] == N
+        return int(self.part_counts([x.encode() for x in (t if digits else [t])]).sum())
+
+    def part_counts(self, parts: list[bytes]) -> np.ndarray:
+        """Tokens of parts of pieces."""
+        if len(self._parts) > CACHE_PIECES:
+            self._parts.clear()
+        return np.fromiter(map(self._parts.__getitem__, parts), np.int64, len(parts))
+
+    def over(self, cuts: Cuts, most: int) -> np.ndarray:
+        """Whether each text has more than ``most`` tokens by the word tokenizer, from the pieces of the byte-level pre-tokenizer.
+
+        Both cut texts alike, but for an apostrophe that opens a contraction in only one of them: after a blank, or
+        before a capital. Texts that have one count as over, so that whoever asks counts them exactly. A piece that has
+        not been counted yet has at most as many tokens as bytes; it is counted where that does not settle a text.
+        Only for texts that ``prepared`` does not refuse."""
+        if self._alone is None or self._alone.words is not cuts.words:
+            self._alone = Alone(cuts.words, self._count_alone)
+        first = cuts.doc_piece
+        sums = lambda: np.diff(np.concatenate([[0], np.cumsum(self._alone.most(cuts.piece_ix))])[first])
+        open_ = np.flatnonzero(sums() > most)
+        inside = np.zeros(len(cuts.piece_ix), bool)
+        for d in open_.tolist():
+            inside[first[d] : first[d + 1]] = True
+        self._alone.count_all(cuts.piece_ix[inside])
+        out = sums() > most
+        marks = np.flatnonzero(cuts.cp == 39)
+        opens = marks[(marks > 0) & (cuts.sym[np.maximum(marks - 1, 0)] == SP)].tolist()
+        capital = [i for i in marks.tolist() if (two := cuts.joined[i + 1 : i + 3]) and two.lower() != two]
+        out[np.searchsorted(cuts.doc_at, np.array(opens + capital, np.int64), "right") - 1] = True
         return out
 
     @functools.cached_property
