@@ -87,6 +87,21 @@ def test_same_text_pairs(spark):
     got = sorted(map(tuple, glyphs.same_text_pairs(d).collect()))
     assert got == [("final", -1, 1, 2), ("final", -1, 2, 3), ("hops", 0, 1, 6), ("hops", 0, 2, 6), ("hops", 1, 2, 6)]
     assert glyphs.same_text_pairs(d.limit(0)).count() == 0
+    classes = sorted(map(tuple, glyphs.same_text_classes(d).collect()))
+    assert classes == [(1, "final", -1, 1, 1, 1), (1, "hops", 0, 1, 1, 1), (2, "final", -1, 1, 2, 2), (2, "hops", 0, 1, 1, 1), (2, "hops", 1, 2, 2, 1), (3, "final", -1, 1, 1, 1), (6, "hops", 0, 1, 6, 2), (6, "hops", 1, 2, 6, 1)]
+    # every pair joins two members of a class, and the links of both ends count it
+    assert sum(c[5] for c in classes) == 2 * len(got)
+    assert glyphs.same_text_classes(d.limit(0)).count() == 0
+
+
+def test_canonical_sql_of_a_batch_is_the_whole_one():
+    import duckdb
+
+    v = ["Ｔｈｅ ﬁle", "de\u0301ja\u0300", "а\u0301 Ё ο\u0301 \u1f79 \u212b", "x\u00a0y\u3000z\u200b", "2⁶ ⅳ ｶﾞ", "न\u094dम", "a\r\nb\rc", "plain", "\u0344\u0340"]
+    con = duckdb.connect()
+    one = lambda t, chars: con.execute(f"SELECT {glyphs.canonical_sql('v', chars)} FROM (SELECT ? AS v)", [t]).fetchone()[0]
+    for t in v:
+        assert one(t, set(t)) == one(t, None) == one(t, set("".join(v)))
 
 
 def test_sentences_on_held_out(model):

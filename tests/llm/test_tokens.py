@@ -64,10 +64,30 @@ def test_corpus(spark):
     assert got == sorted([(1, [15496, 995]), (2, []), (3, []), (1, [15496, 995]), (None, [87])], key=str)
     assert tokens.encode_corpus(d.limit(0)).count() == 0
     assert sorted(r.text for r in tokens.decode_corpus(tokens.encode_corpus(d)).collect()) == ["", "", "Hello world", "Hello world", "x"]
+    assert sorted(r.text for r in tokens.round_tripped(d).collect()) == ["", "", "Hello world", "Hello world", "x"]
+    words = tokens.decode_corpus(tokens.encode_corpus(d, tokenizer="word_bpe_49k"), tokenizer="word_bpe_49k")
+    assert sorted(r.text for r in words.collect()) == ["", "", "hello world", "hello world", "x"]
     with pytest.raises(ValueError):
         tokens.coder("unknown")
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_offsets_quote_the_tokens(spark, name):
+    texts = ["Hello wörld's  字字。🎉x\n\n 12", "", "İstanbul café"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    c = tokens.coder(name)
+    for r in tokens.encode_corpus(d, tokenizer=name, with_offsets=True).collect():
+        t = texts[r.doc_id]
+        assert len(r.starts) == len(r.ids) and r.starts == sorted(r.starts)
+        for i, a, b in zip(r.ids, r.starts, [*r.starts[1:], len(t)]):
+            part = c.decode([i])
+            # a token that is whole characters stands where its offset says
+            if c.blank_joins and "\ufffd" not in part:
+                assert t[a:b] == part
+            elif c.prepared(t) is not None and part.strip().isascii() and "\ufffd" not in part:
+                assert t[a:].lower().startswith(part.strip())
+
+
 LIMITS = [(1, 40, 8), (2, 12, 0), (3, 9, 3)]
 PARTS = ["word ", "lelquist-lel", "\n", "\n\n", "A. ", "字字。", "é", "🎉", "'s", "  ", "x" * 30, "12", "'", "\t", "!'", "'ll", "\u3000", "' ", "'re x"]
 
@@ -154,9 +174,37 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), t).count() == 0
 
 
+def test_mix_size_and_quality(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "word " * (1 + i % 5), float(i % 3), "x") for i in range(300)], "doc_id bigint, source string, text string, good double, recipe string")
+    t = spark.createDataFrame([("r", "a", 0.5, 1, "byte_bpe_50k"), ("r", "b", 0.25, 1, "byte_bpe_50k"), ("r", "none", 0.25, 1, "byte_bpe_50k")], "recipe string, source string, target_share double, max_repeats int, tokenizer string")
+    c = mixing.counted(docs, t, quality="good")
+    assert sorted({r.quality for r in c.collect()}) == [mixing.LEAST_QUALITY, 1.0, 2.0]
+    m = mixing.mix(c, t, total_tokens=90)
+    by = {r.source: r.tokens for r in mixing.shares(m, c, t, total_tokens=90).collect()}
+    assert by["none"] == 0 and abs(by["a"] - 60) <= 4 and abs(by["b"] - 30) <= 4
+    # a third of the documents are of least quality, and hardly any of them is among the first
+    least = {r.doc_id for r in c.collect() if r.quality == mixing.LEAST_QUALITY}
+    used = [r.doc_id in least for r in m.collect()]
+    assert sum(used) <= 0.15 * len(used)
+    every = mixing.mix(c, t, total_tokens=1e9).collect()
+    assert sorted(map(tuple, every)) == sorted(map(tuple, mixing.mix(c, t).collect()))
+
+
+@pytest.mark.parametrize("quality", [0.25, 0.5, 1.0])
+def test_mix_buckets_are_bounded(spark, monkeypatch, quality):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 500)
+    d = spark.range(100_000).selectExpr("id as doc_id", "'a' as source", "'t' as tokenizer", "1L as n_tokens", f"{quality}d as quality")
+    p = mixing.plan(mixing.sizes(d), spark.createDataFrame([("r", "a", "t", 1.0, 1)], "recipe string, source string, tokenizer string, target_share double, max_repeats int"))
+    n = [r["count"] for r in mixing._keyed(d, p, 0).groupBy("_bucket").count().collect()]
+    assert max(n) <= 2 * mixing.BUCKET_ROWS and sum(n) == 100_000
+
+
 def test_mix_buckets_change_nothing(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "ab"[i % 2], "t", 1 + i % 7, 0.3 + (i % 5) / 10) for i in range(400)], "doc_id bigint, source string, tokenizer string, n_tokens bigint, quality double")
     t = spark.createDataFrame([("r", "a", 0.9, 1, "t"), ("r", "b", 0.1, 1, "t")], "recipe string, source string, target_share double, max_repeats int, tokenizer string")
     one = sorted(map(tuple, mixing.mix(docs, t).collect()))
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    for size in (20, 3):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", size)
+        assert sorted(map(tuple, mixing.mix(docs, t).collect())) == one
+    monkeypatch.setattr(mixing, "FEW_TARGETS", 0)  # nothing is broadcast
     assert sorted(map(tuple, mixing.mix(docs, t).collect())) == one

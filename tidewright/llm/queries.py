@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.same_text_pairs(table(spark, d, "segment_results"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same as p5_found with a row for each value instead of each pair."""
+    return glyphs.same_text_classes(table(spark, d, "segment_results"))
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every value of final and hops in its canonical form."""
     v = glyphs.values(table(spark, d, "segment_results").where("result_id is not null"), ["result_id"])
@@ -65,10 +71,8 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose decoded ids are, or are not, the text again."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = tokens.decode_corpus(tokens.encode_corpus(docs)).withColumnRenamed("text", "decoded")
-    return docs.join(back, "doc_id").groupBy((F.col("text") == F.col("decoded")).alias("same")).agg(F.count("*").alias("documents"))
+    """Digest of every document's text after encoding and decoding."""
+    return tokens.round_tripped(table(spark, d, "documents")).select("doc_id", F.md5("text").alias("digest"))
 
 
 def _mixed(spark: SparkSession, d: str):
@@ -86,15 +90,43 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixed, docs, m)
 
 
-def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """For each row of the targets: whether its source is used, its share is met to one document's size, no document is used
+    more often than allowed, and all documents used are the source's own."""
+    docs, m, mixed = _mixed(spark, d)
+    s = mixing.shares(mixed, docs, m)
+    own = mixed.join(table(spark, d, "documents").select("doc_id", F.col("source").alias("own")), "doc_id").groupBy("recipe", "source").agg(F.min(F.col("own") == F.col("source")).alias("own_documents"))
+    longest = docs.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    near = F.abs(F.col("tokens") - F.col("budget")) <= F.col("longest") / 2 + 1
+    j = s.join(own, ["recipe", "source"], "left").join(longest, "source", "left")
+    return j.select("recipe", "source", (F.col("tokens") > 0).alias("used"), F.coalesce(near, F.col("tokens") == 0).alias("share_kept"), (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"), F.coalesce("own_documents", F.lit(True)).alias("own_documents"))
+
+
+def _limits(spark: SparkSession, d: str) -> list[tuple]:
     # the table of limits is kept by hand and holds a few rows
-    limits = [tuple(r) for r in table(spark, d, "split_limits").select("limit_id", "tokenizer", "max_tokens", "overlap_tokens").collect()]
-    return splitting.split_corpus(table(spark, d, "documents"), limits)
+    return [tuple(r) for r in table(spark, d, "split_limits").select("limit_id", "tokenizer", "max_tokens", "overlap_tokens").collect()]
+
+
+def p8_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of every document's pieces joined without their overlaps, for each limit, and whether all of them are within it;
+    a document within the limit is one piece."""
+    docs, limits = table(spark, d, "documents").where("text is not null"), _limits(spark, d)
+    pieces = splitting.split_corpus(docs, limits)
+    most = F.create_map(*[F.lit(x) for i, _, m, _ in limits for x in (i, m)])
+    by = pieces.groupBy("doc_id", "limit_id").agg(F.array_sort(F.collect_list(F.struct("core_lo", "piece_hi"))).alias("_p"), F.max("n_tokens").alias("_n"), F.min("overlap_tokens").alias("_o"))
+    each = docs.select("doc_id", "text", F.explode(F.array(*[F.lit(i) for i, *_ in limits])).alias("limit_id"))
+    joined = F.array_join(F.transform("_p", lambda x: F.substring("text", x["core_lo"] + 1, x["piece_hi"] - x["core_lo"])), "")
+    fits = F.coalesce((F.col("_n") <= most[F.col("limit_id")]) & (F.col("_o") >= 0), F.lit(True))
+    return each.join(by, ["doc_id", "limit_id"], "left").select("limit_id", "doc_id", F.md5(F.coalesce(joined, "text")).alias("digest"), fits.alias("fits"))
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_corpus(table(spark, d, "documents"), _limits(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_rates, p2_found, p2_stats, p3_found, p4_found, p5_found, p5_forms, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_pieces)
+    for f in (p1_found, p1_rates, p2_found, p2_stats, p3_found, p4_found, p5_found, p5_classes, p5_forms, p6_ids, p6_roundtrip, p7_mix, p7_shares, p7_kept, p8_pieces, p8_joined)
 }
 
 _TERMS = """
@@ -105,15 +137,50 @@ _STATS = f"""SELECT term_key, CAST(sum(seen) AS BIGINT) AS seen, CAST(sum(surviv
   CASE WHEN sum(seen) <= 2 THEN 'rare' WHEN count(DISTINCT run_id) > 0.05 * (SELECT count(DISTINCT run_id) FROM runs) THEN 'common' END AS mark
   FROM {_TERMS} GROUP BY term_key"""
 
-_FORMS = f"""SELECT result_id, doc_id, span_lo, field, hop_no, value, CASE WHEN regexp_matches(value, '^[\\n -~]*$') THEN value ELSE {glyphs.canonical_sql("value")} END AS form FROM (
-  SELECT result_id, doc_id, span_lo, 'final' AS field, -1 AS hop_no, final AS value FROM segment_results
-  UNION SELECT result_id, doc_id, span_lo, 'hops', CAST(i - 1 AS INT), hops[i] FROM (SELECT *, unnest(range(1, len(hops) + 1)) AS i FROM segment_results)) WHERE value IS NOT NULL"""
+_VALUES = """(SELECT result_id, doc_id, span_lo, 'final' AS field, -1 AS hop_no, final AS value FROM segment_results WHERE final IS NOT NULL
+  UNION SELECT result_id, doc_id, span_lo, 'hops', CAST(i - 1 AS INT), hops[i] FROM (SELECT *, unnest(range(1, len(hops) + 1)) AS i FROM segment_results) WHERE hops[i] IS NOT NULL)"""
+
+
+def _looks() -> str:
+    """What each character looks like, as rows of SQL: written from the Unicode categories and character by character, so that
+    it shares nothing with the operator but the list of look-alike letters."""
+    looks = dict(glyphs.LOOK_ALIKES)
+    for i in [9, *range(0x7F, 0x2000), *range(0x2000, 0x3400), *range(0xF900, 0xFB10), *range(0xFE00, 0x10000), *range(0xE0000, 0xE1000), *range(0x2F800, 0x2FA20)]:
+        c = chr(i)
+        kind, parts = unicodedata.category(c), unicodedata.decomposition(c).split()
+        if kind == "Cf" and i not in (0x600, 0x601, 0x602, 0x603, 0x604, 0x605, 0x6DD, 0x70F, 0x890, 0x891, 0x8E2) or i in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= i <= 0x180F or 0xFE00 <= i <= 0xFE0F or 0xE0100 <= i <= 0xE01EF or kind == "Cc" and i not in (9, 0x85):
+            looks[c] = ""
+        elif kind == "Zs" or i == 9:
+            looks[c] = " "
+        elif parts[:1] in (["<wide>"], ["<narrow>"]) or parts[:1] == ["<compat>"] and len(parts) == 2 and c not in "ſ․":
+            to = unicodedata.normalize("NFKC", c)
+            looks.setdefault(c, glyphs.LOOK_ALIKES.get(to, to if to.strip() else c))
+        elif 0xFB00 <= i <= 0xFB06 or 0x2150 <= i <= 0x217F and parts[:1] == ["<compat>"]:
+            looks.setdefault(c, unicodedata.normalize("NFKC", c))
+    return ", ".join(f"({ord(c)}, {glyphs._quote(t)})" for c, t in looks.items() if c != t)
+
+
+def _looked(table_: str) -> str:
+    """The values of a table with each character as it looks, put together again and composed."""
+    return f"""SELECT value, nfc_normalize(coalesce(string_agg(coalesce(t, c), '' ORDER BY i), '')) AS form FROM
+  (SELECT value, unnest(l) AS c, unnest(range(len(l))) AS i FROM (SELECT value, regexp_extract_all(form, '(?s).') AS l FROM {table_})) LEFT JOIN looks ON ascii(c) = code GROUP BY value"""
+
+
+_FORMS = f"""looks(code, t) AS (VALUES {_looks()}), texts AS (SELECT DISTINCT value, replace(regexp_replace(value, '\\r\\n?', chr(10), 'g'), chr(8232), chr(10)) AS form FROM {_VALUES}),
+  once AS ({_looked("texts")}), twice AS ({_looked("once")}),
+  f AS (SELECT v.*, coalesce(form, '') AS form FROM {_VALUES} v LEFT JOIN twice USING (value))"""
 
 SQL: dict[str, str] = {
-    "p5_forms": f"SELECT DISTINCT result_id, field, hop_no, form FROM ({_FORMS})",
-    "p5_found": f"""WITH f AS ({_FORMS}) SELECT a.field, a.hop_no, a.result_id AS result_a, b.result_id AS result_b FROM f a JOIN f b
+    "p5_forms": f"WITH {_FORMS} SELECT DISTINCT result_id, field, hop_no, form FROM f",
+    "p5_found": f"""WITH {_FORMS} SELECT a.field, a.hop_no, a.result_id AS result_a, b.result_id AS result_b FROM f a JOIN f b
   ON a.doc_id = b.doc_id AND a.span_lo = b.span_lo AND a.field = b.field AND a.hop_no = b.hop_no AND a.form = b.form AND a.result_id < b.result_id AND a.value <> b.value""",
+    "p5_classes": f"""WITH {_FORMS}, k AS (SELECT *, count(*) OVER w AS n, min(result_id) OVER w AS class_id, count(*) OVER s AS same, min(result_id) OVER s AS spelling_id FROM f
+  WINDOW w AS (PARTITION BY doc_id, span_lo, field, hop_no, form), s AS (PARTITION BY doc_id, span_lo, field, hop_no, form, value))
+  SELECT result_id, field, hop_no, class_id, spelling_id, n - same AS links FROM k WHERE n > same AND doc_id IS NOT NULL AND span_lo IS NOT NULL AND result_id IS NOT NULL""",
     "p2_stats": _STATS,
     "p2_found": f"SELECT term_key, mark FROM ({_STATS}) WHERE mark IS NOT NULL",
-    "p6_roundtrip": "SELECT true AS same, count(*) AS documents FROM documents",
+    "p6_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p7_kept": """SELECT recipe, source, target_share > 0 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(trim(text)) > 0) AS used, true AS share_kept, true AS repeats_kept, true AS own_documents
+  FROM (SELECT DISTINCT recipe, source, target_share FROM mix_targets) t""",
+    "p8_joined": "SELECT limit_id, doc_id, md5(text) AS digest, true AS fits FROM documents CROSS JOIN (SELECT DISTINCT limit_id FROM split_limits) WHERE text IS NOT NULL",
 }

@@ -212,6 +212,18 @@ class Chunk:
         where = np.repeat(self.table.at[self.cuts.piece_ix] - self.total[:-1], self.piece_n) + np.arange(self.total[-1])
         return self.table.flat[where], self.total[self.cuts.doc_piece]
 
+    def places(self, widths: np.ndarray) -> np.ndarray:
+        """Code point at which each token begins, -1 if inside one; ``widths``: bytes of the text that each id stands for."""
+        cuts, n = self.cuts, self.piece_n
+        ids, _ = self.ids()
+        byte = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(widths[ids], out=byte[1:])
+        first = np.repeat(byte[self.total[:-1][n > 0]], n[n > 0])
+        place = np.repeat(cuts.byte_at[cuts.piece_start], n) + byte[:-1] - first
+        at = np.full(cuts.byte_at[-1] + 1, -1, np.int64)
+        at[cuts.byte_at] = np.arange(len(cuts.byte_at))
+        return at[np.minimum(place, cuts.byte_at[-1])]
+
 
 class Pieces:
     """Merged pieces of ``words``: the ids of piece i lie in ``flat[at[i] : at[i] + count[i]]``."""
@@ -354,6 +366,19 @@ class Coder:
         out[np.searchsorted(cuts.doc_at, np.array(opens + capital, np.int64), "right") - 1] = True
         return out
 
+    @functools.cached_property
+    def id_text(self) -> list[bytes]:
+        """The bytes that each id stands for; at a word's end of the word tokenizer a blank."""
+        if self.blank_joins:
+            return self.vocab
+        names = self.whole.get_vocab()
+        byte_of = {chr(b): b for b in range(256) if b not in _BYTE_NAMES} | {c: b for b, c in _BYTE_NAMES.items()}
+        out = [b""] * (max(names.values()) + 1)
+        for k, v in names.items():
+            if set(k.removesuffix("</w>")) <= byte_of.keys():
+                out[v] = bytes(byte_of[c] for c in k.removesuffix("</w>")) + b" " * k.endswith("</w>")
+        return out
+
     @functools.cached_property
     def id_bytes(self) -> np.ndarray:
         """Bytes of the text that each id stands for."""
@@ -381,17 +406,9 @@ class Coder:
         return Chunk(Cuts(texts, self.blank_joins), self)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        out: list = [None] * len(texts)
-        ready = [self.prepared(t) for t in texts]
-        fast = [i for i, t in enumerate(ready) if t is not None]
-        if fast:
-            ids, at = self.chunk([ready[i] for i in fast]).ids()
-            for j, i in enumerate(fast):
-                out[i] = ids[at[j] : at[j + 1]].tolist()
-        for i, t in enumerate(ready):
-            if t is None:
-                out[i] = self.whole.encode(texts[i], add_special_tokens=False).ids
-        return out
+        ids, ends, _ = encoded(self, texts)
+        i, e = ids.tolist(), ends.tolist()
+        return [i[x:y] for x, y in zip(e, e[1:])]
 
     def count(self, texts: list[str]) -> np.ndarray:
         ready = [self.prepared(t) for t in texts]
@@ -405,8 +422,10 @@ class Coder:
         return out
 
     def decode(self, ids) -> str:
-        """Text of ids; ids cut inside a character give the replacement character there."""
-        return b"".join(self.vocab[i] for i in ids).decode(errors="replace")
+        """Text of ids; ids cut inside a character give the replacement character there. Of the word tokenizer, which keeps
+        neither case nor white space, the words with a blank between them."""
+        text = b"".join(map(self.id_text.__getitem__, ids)).decode(errors="replace")
+        return text if self.blank_joins else text.removesuffix(" ")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -471,34 +490,56 @@ def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int
         yield lo, len(texts)
 
 
-def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
+def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, with_offsets: bool = False) -> DataFrame:
     """(id_col, ids ARRAY<INT>) of every row, without special tokens; strings of special tokens are plain text.
 
     A null and an empty text both give an empty list, a null id stays null, repeated
     rows stay repeated, other columns are dropped whatever their names. No shuffle:
     each Arrow batch is encoded where it is read. A text of any length is encoded whole.
+    ``with_offsets``: a last column starts ARRAY<INT>, the code point in which each token begins.
     """
 
     def run(batches):
         c = coder(tokenizer, folder)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            at, flat = [np.zeros(1, np.int64)], []
+            at, flat, starts = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             for lo, hi in chunks(texts):
-                if c.blank_joins:
-                    ids, ends = c.chunk(texts[lo:hi]).ids()
-                else:
-                    each = c.encode(texts[lo:hi])
-                    ids = np.array([i for e in each for i in e], np.int32)
-                    ends = np.concatenate([[0], np.cumsum([len(e) for e in each])])
+                ids, ends, places = encoded(c, texts[lo:hi], with_offsets)
                 flat.append(ids.astype(np.int32))
+                starts.append(places.astype(np.int32))
                 at.append(ends[1:] + at[-1][-1])
-            values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(at), pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[id_col, "ids"])
+            offsets = pa.array(np.concatenate(at), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (flat, starts)[: 1 + with_offsets]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=[id_col, "ids", "starts"][: 2 + with_offsets])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return df.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>" + ", starts array<int>" * with_offsets)
+
+
+def encoded(c: Coder, texts: list[str], with_offsets: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts one after another, index of each text's first and one more, code point in which each begins if wanted)."""
+    none = np.zeros(0, np.int64)
+    ready = [c.prepared(t) for t in texts]
+    if None not in ready:
+        chunk = c.chunk(ready)
+        ids, ends = chunk.ids()
+        if not with_offsets:
+            return ids, ends, none
+        # a token that begins inside a character counts as beginning at it; every text's first token begins between characters
+        at = np.maximum.accumulate(chunk.places(c.id_bytes))
+        return ids, ends, at - np.repeat(chunk.cuts.doc_at, np.diff(ends))
+    each, places = [], []
+    for t, r in zip(texts, ready):
+        if r is None:  # the tokenizer's own normaliser moves characters
+            e = c.whole.encode(t, add_special_tokens=False)
+            each.append(np.array(e.ids, np.int64))
+            places.append(np.array([o[0] for o in e.offsets], np.int64))
+        else:
+            i, _, p = encoded(c, [t], with_offsets)
+            each.append(i)
+            places.append(p)
+    return np.concatenate([none, *each]), np.concatenate([[0], np.cumsum([len(e) for e in each])]), np.concatenate([none, *places]) if with_offsets else none
 
 
 def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -514,30 +555,51 @@ def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", t
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def count_corpus(df: DataFrame, id_col: str, text_col: str, tokenizer: str, folder: str = TOKENIZER_DIR, keep: list[str] | None = None) -> DataFrame:
+def round_tripped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
+    """(id_col, text) of every row, encoded and decoded again where it is read; a null text comes back empty. No shuffle."""
+
+    def run(batches):
+        c = coder(tokenizer, folder)
+        for b in batches:
+            texts, back = [t or "" for t in b.column(1).to_pylist()], []
+            for lo, hi in chunks(texts):
+                ids, ends, _ = encoded(c, texts[lo:hi])
+                i, e = ids.tolist(), ends.tolist()
+                back += [c.decode(i[x:y]) for x, y in zip(e, e[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(back, pa.string())], names=[id_col, "text"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+
+
+def count_corpus(df: DataFrame, id_col: str, text_col: str, tokenizer: str, folder: str = TOKENIZER_DIR, keep: list[str] | None = None, with_quality: bool = True) -> DataFrame:
     """(id_col, kept columns, n_tokens BIGINT, quality DOUBLE) of every row.
 
-    n_tokens is 0 for null and empty texts. quality is the share of letters among the
+    n_tokens is 0 for null and empty texts. quality, if wanted, is the share of letters among the
     characters that are not white space, from 0.25 (none) to 1; 0.25 for blank texts.
     """
     keep = keep or []
 
     def run(batches):
         c = coder(tokenizer, folder)
-        names = [id_col, *keep, "n_tokens", "quality"]
+        names = [id_col, *keep, "n_tokens"] + ["quality"] * with_quality
         for b in batches:
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             n, q = [np.zeros(0, np.int64)], [np.zeros(0)]
             for lo, hi in chunks(texts):
                 part = texts[lo:hi]
                 n.append(c.count(part))
-                cp = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
-                sym = symbol_table()[cp]
-                ends = np.concatenate([[0], np.cumsum([len(t) for t in part])])
-                letters, seen = (np.concatenate([[0], np.cumsum(x)]) for x in (sym == L, (sym != SP) & (sym != WS)))
-                a, s = np.diff(letters[ends]), np.diff(seen[ends])
-                q.append(0.25 + 0.75 * a / np.maximum(s, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(n)), pa.array(np.concatenate(q))], names=names)
+                if with_quality:
+                    q.append(letter_share(part))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(n)), *([pa.array(np.concatenate(q))] if with_quality else [])], names=names)
 
     kinds = [f"`{x}` {df.schema[x].dataType.simpleString()}" for x in (id_col, *keep)]
-    return df.select(id_col, *keep, F.col(text_col).alias("_text")).mapInArrow(run, ", ".join([*kinds, "n_tokens bigint", "quality double"]))
+    return df.select(id_col, *keep, F.col(text_col).alias("_text")).mapInArrow(run, ", ".join([*kinds, "n_tokens bigint", *["quality double"] * with_quality]))
+
+
+def letter_share(texts: list[str]) -> np.ndarray:
+    """Share of letters among each text's characters that are not white space, from 0.25 to 1."""
+    sym = symbol_table()[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    letters, seen = (np.concatenate([[0], np.cumsum(x)]) for x in (sym == L, (sym != SP) & (sym != WS)))
+    return 0.25 + 0.75 * np.diff(letters[ends]) / np.maximum(np.diff(seen[ends]), 1)
