@@ -42,7 +42,7 @@ def model(corpus):
 
 @pytest.fixture(scope="module")
 def tables(corpus):
-    return align.train([(o, h[0]) for o, f, h in corpus])
+    return align.train([(o, h[0], "fr") for o, f, h in corpus])
 
 
 def test_term_counters_against_brute_force(spark, monkeypatch):
@@ -162,6 +162,20 @@ def test_alignment_on_held_out(model, tables):
     assert hit["right"] / (hit["right"] + hit["wrong"]) > 0.93 and hit["right"] / (hit["right"] + hit["missed"]) > 0.93
 
 
+def test_languages_are_learnt_from_labels(spark):
+    few = [("the lamp reads the table", "en"), ("la lampe lit le tableau", "fr"), ("la lampara lee la tabla", "es"), ("ciao mondo bello", "it"), ("Собака бежит", "ru"), ("ランプが表を読む", "ja")] * 3
+    known = align.Languages(few)
+    assert all(known.of(t) == name for t, name in few) and known.of("ciao bello") == "it" and known.of("собака") == "ru"
+    assert known.of("") in known.names and align.Languages([]).of("anything") == ""
+    r = [(i, i % 4, 1, 0, f"the lamp {i}", None, [f"la lampe {i}"], True) for i in range(400)] + [(1000 + i, 9, 1, 0, "o", None, ["x"], True) for i in range(7)] + [(2000, None, 1, 0, "o", None, ["y"], True), (2001, 1, 1, 0, None, None, None, True)]
+    d = spark.createDataFrame([(*x, "f", "v", "g") for x in r] + [(*r[0], "f", "v", "g")], RESULT)
+    runs = spark.createDataFrame([(i, ["FR", "de"]) for i in range(4)] + [(9, ["hi"]), (9, ["hi"]), (5, None)], "run_id bigint, pivot_chain array<string>")
+    got = align.sample_pairs(d, runs, rows=50)
+    # a rare language is not crowded out, a null run is a group of its own
+    assert Counter(p[2] for p in got) == {"fr": 50, "hi": 7, None: 1} and sorted(got, key=str) == sorted(align.sample_pairs(d.repartition(5), runs, rows=50), key=str)
+    assert align.sample_pairs(d.limit(0), runs) == [] and len(align.sample_pairs(d)) == 408
+
+
 def test_aligned_table(spark, model, tables):
     o, h = "The lamp reads the table in 3 runs.", "Le lampe lit le tableau dans 3 essais."
     r = [(1, 1, 1, 0, o, o, [h], True)] * 2 + [(2, 1, 1, 0, o, o, [None], True), (3, 1, 1, 0, None, o, [h], True), (4, 1, 1, 0, o, o, None, True), (None, 1, 1, 0, o, o, [h], True), (5, 1, 1, 0, "", "", [""], True)]

@@ -17,7 +17,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     splitter = sentences.train(sentences.sample_values(t))
     runs = table(spark, d, "runs")
     limits = truncation.limits_of(t, runs)
-    model = truncation.train(truncation.sample_rows(t, runs=runs), splitter, align.train(align.sample_pairs(t)), limits=limits)
+    model = truncation.train(truncation.sample_rows(t, runs=runs), splitter, align.train(align.sample_pairs(t, runs)), limits=limits)
     return truncation.scored(t, model, runs)
 
 
@@ -43,7 +43,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "segment_results")
     model = sentences.train(sentences.sample_values(t))
-    return align.aligned(t, model, align.train(align.sample_pairs(t)))
+    return align.aligned(t, model, align.train(align.sample_pairs(t, table(spark, d, "runs"))))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

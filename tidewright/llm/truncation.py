@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import align
 from .sampling import first_by_hash
-from .sentences import CJK, CLOSERS, PAIRS, STOPS, Lexicon, _bucket, _left, _slots, enclosed, fit_logistic, folded, split
+from .sentences import CJK, CLOSERS, PAIRS, REMEMBERED, STOPS, Lexicon, _bucket, _left, _slots, fit_logistic, folded, split
 from .sentences import Model as Splitter
 
 #: Results whose values train the classifier, the first ones by a hash of their id.
@@ -36,7 +36,22 @@ INNER = 0.05
 # Marks that a cut may leave behind.
 CUT_MARK = re.compile(r"\s*(?:\[…\]|\[\.\.\.\]|…|\.\.\.|�+)\s*$")
 _END = re.compile(rf"[{STOPS}]+[\s{re.escape(CLOSERS)}]*[{STOPS}]*$")
+_TRAIL = STOPS + CLOSERS + " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_COMBINING = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x20000) if unicodedata.combining(chr(c))) + "]+")
 _DIGITS = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹–‐", "0123456789--")
+_DIGIT = re.compile("[⁰¹²³⁴⁵⁶⁷⁸⁹–‐]")
+
+
+def uncut(t: str) -> str:
+    """A text without what marks a cut at its end."""
+    return CUT_MARK.sub("", t) if t.rstrip().endswith(("…", "...", "�", "[...]", "[…]")) else t
+
+
+def ending(t: str) -> int:
+    """Place from which a text consists of stops and closing marks only, a stop first; -1 if it does not end so."""
+    at = len(t.rstrip(_TRAIL))
+    m = _END.search(t, at)
+    return m.start() if m else -1
 
 
 def closing(t: str) -> str:
@@ -46,11 +61,12 @@ def closing(t: str) -> str:
         return "none"
     if t[-1] == "�":
         return "broken"
-    if re.search(r"\[(?:…|\.\.\.)\]$", t):
+    if t.endswith(("[…]", "[...]")):
         return "bracketed"
-    m = _END.search(t)
+    at = ending(t)
+    m = _END.match(t, at) if at >= 0 else None
     if m:
-        return "dots" if re.match(r"\s?(?:…|\.\.)", t[m.start() :]) or "…" in m.group() or ".." in m.group() else "stop"
+        return "dots" if re.match(r"\s?(?:…|\.\.)", t[at:]) or "…" in m.group() or ".." in m.group() else "stop"
     c = t[-1]
     if c in ":：":
         return "colon"
@@ -65,14 +81,68 @@ def closing(t: str) -> str:
 
 def plain(text: str) -> str:
     """Text for comparison with its siblings: no case, accents, layout or fragments."""
-    t = align.FRAGMENT.sub("~", text)
-    t = unicodedata.normalize("NFKD", folded(t)[0].translate(_DIGITS)).lower()
-    t = "".join(c for c in t if not unicodedata.combining(c))
-    return re.sub(r"\s+", " ", t.replace("!", ".").replace("?", ".")).strip()
+    t = folded(align.FRAGMENT.sub("~", text) if align.FRAGMENT_SIGN.search(text) else text)[0]
+    if not t.isascii():
+        t = _COMBINING.sub("", unicodedata.normalize("NFKD", t.translate(_DIGITS) if _DIGIT.search(t) else t))
+    return " ".join(t.lower().replace("!", ".").replace("?", ".").split())
+
+
+class Look:
+    """What is computed once for a text: folded and comparable forms, the latter without a mark of a cut, language, kind of its end."""
+
+    __slots__ = ("folded", "plain", "bare", "lang", "kind")
+
+    def __init__(self, text: str, languages: align.Languages):
+        self.folded = folded(text)[0]
+        self.plain = plain(text)
+        self.bare = uncut(self.plain).rstrip(" .")
+        self.lang, self.kind = languages.of(self.folded), closing(self.folded)
+
+
+class Memory:
+    """What has been computed for texts met lately: their looks, sentences, words. Bounds memory, not results."""
+
+    def __init__(self, model: Model):
+        self.model, self.looks, self.ends, self.words, self.sources, self.tails = model, {}, {}, {}, {}, {}
+
+    def _kept(self, of: dict, text: str, make):
+        got = of.get(text)
+        if got is None:
+            if len(of) > REMEMBERED:
+                of.clear()
+            got = of[text] = make(text)
+        return got
+
+    def look(self, text: str) -> Look:
+        return self._kept(self.looks, text, lambda t: Look(t, self.model.tables.languages))
+
+    def own_words(self, text: str) -> set[str]:
+        return self._kept(self.words, text, lambda t: set(re.findall(r"[\w]+(?:[-'’.]\w+)*", folded(t)[0].lower())))
+
+    def sentence_ends(self, text: str) -> set[int]:
+        """Comparable lengths of a text up to each of its sentences' ends."""
+        return self._kept(self.ends, text, lambda t: {len(plain(t[:a]).rstrip(" .")) for a in [*split(t, self.model.splitter)[1:], len(t)]})
 
+    def source(self, text: str) -> tuple[list[list[str]], list[int], dict]:
+        """(bags of words, lengths, index) of an original's sentences."""
 
-def _script(t: str) -> str:
-    return align.language(t)
+        def make(t: str):
+            at, bags = align.source_bags(t, self.model.splitter)
+            marks = align.numbered(t)
+            sizes = [len(folded(align.with_numbers(t, x, y, marks))[0]) for x, y in zip(at, [*at[1:], len(t)])]
+            return bags, sizes, align.index_of(bags)
+
+        return self._kept(self.sources, text, make)
+
+    def tail(self, bare: str) -> tuple[list[str], int] | None:
+        """(words, length) of a text's last sentence."""
+
+        def make(t: str):
+            h = split(t, self.model.splitter)
+            last = folded(t[h[-1] :])[0] if h else ""
+            return (align.bag(last), len(last)) if h else None
+
+        return self._kept(self.tails, bare, make)
 
 
 class Model:
@@ -82,9 +152,29 @@ class Model:
 
     def score(self, feats: list[str]) -> float:
         """Above 0: cut."""
-        return float(self.weights[_slots(feats)].sum()) - self.least
+        return sum(map(_Weights.of(self).__getitem__, feats)) - self.least
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
+
+class _Weights(dict):
+    """Weights of the features met lately, by their names."""
+
+    @classmethod
+    def of(cls, model: Model) -> _Weights:
+        known = model.__dict__.get("_known")
+        if known is None or known.weights is not model.weights or len(known) > 500_000:
+            known = model._known = cls()
+            known.weights = model.weights
+        return known
+
+    def __missing__(self, feature: str) -> float:
+        w = self[feature] = float(self.weights[_slots([feature])[0]])
+        return w
 
 
+_CLOSING = sorted(set(PAIRS.values()))
 _LAST = re.compile(rf"[^\W{CJK}]+(?:[-'’.][^\W{CJK}]+)*$")
 
 
@@ -98,46 +188,29 @@ def _bin(x: float, edges: tuple) -> int:
 
 
 class Row:
-    """A result's values, with what is computed once for each."""
+    """A result's values."""
 
     def __init__(self, original: str | None, final: str | None, hops: list | None, source: str | None = None):
         self.original, self.source = original or "", source
         self.values = [("final", -1, final)] if final and final.strip() else []
         self.values += [("hops", i, h) for i, h in enumerate(hops or []) if h and h.strip()]
-        self.folded: dict[str, tuple] = {}
-        self.ends: dict[str, set[int]] = {}
-        self.words: set[str] | None = None
 
     def with_values(self, texts: list[str], source: str | None = None) -> Row:
         out = Row(self.original, None, None, source or self.source)
         out.values = [(f, no, t) for (f, no, _), t in zip(self.values, texts)]
         return out
 
-    def own_words(self) -> set[str]:
-        if self.words is None:
-            self.words = set(re.findall(r"[\w]+(?:[-'’.]\w+)*", folded(self.original)[0].lower()))
-        return self.words
-
-    def of(self, text: str) -> tuple[str, str, str, str]:
-        """(folded, comparable, language, kind of end)"""
-        got = self.folded.get(text)
-        if got is None:
-            f = folded(text)[0]
-            got = self.folded[text] = (f, plain(text), _script(text), closing(f))
-        return got
-
-    def sentence_ends(self, text: str, model: Model) -> set[int]:
-        """Comparable lengths of a text up to each of its sentences' ends."""
-        got = self.ends.get(text)
-        if got is None:
-            got = self.ends[text] = {len(plain(text[:a]).rstrip(" .")) for a in [*split(text, model.splitter)[1:], len(text)]}
-        return got
-
-    def features(self, field: str, no: int, text: str, model: Model) -> list[str]:
-        t, p, lang, kind = self.of(text)
-        o, op, olang, okind = self.of(self.original) if self.original.strip() else ("", "", "en", "none")
-        bare = CUT_MARK.sub("", t).rstrip()
-        body = (_END.sub("", bare) if kind == "stop" else bare.rstrip(":：") if kind == "colon" else bare).rstrip()
+    def features(self, field: str, no: int, text: str, model: Model, memory: Memory | None = None) -> list[str]:
+        memory = memory or Memory(model)
+        look = memory.look(text)
+        t, p, lang, kind = look.folded, look.plain, look.lang, look.kind
+        o, op, okind = "", "", "none"
+        if self.original.strip():
+            of_original = memory.look(self.original)
+            o, op, okind = of_original.folded, of_original.plain, of_original.kind
+        bare = uncut(t).rstrip()
+        end = ending(bare) if kind == "stop" else -1
+        body = (bare[:end] if end >= 0 else bare.rstrip(":：") if kind == "colon" else bare).rstrip()
         lex, last = model.lex, _last_word(body)
         left = _left(body, len(body))
         ends = lex.end[left]
@@ -145,28 +218,27 @@ class Row:
         # an abbreviation or the whole part of a decimal: a stop after it hardly ever ends anything
         of = model.splitter.lex
         doubt = _bucket(of.e(left), of.end[left] + of.stop[left]) + "ab"[of.short(left)] if kind == "stop" else ""
-        known = "" if not last else "o" if last in self.own_words() else "k" if last in model.words else "u"
-        at = at_limit(text, *(model.limits.get((field, i, self.source), set()) for i in (0, 1)))
-        spans = enclosed(t)
-        opened = sum(t.count(a) for a in PAIRS) - sum(t.count(b) for b in set(PAIRS.values())) > 0 if kind != "stop" else False
-        opened = "o" if opened or t.count('"') % 2 else ""
+        known = "" if not last else "o" if last in memory.own_words(self.original) else "k" if last in model.words else "u"
+        limits = [model.limits.get((field, i, self.source)) for i in (0, 1)]
+        at = at_limit(text, limits[0] or set(), limits[1] or set()) if any(limits) else ""
+        opened = "o" if t.count('"') % 2 or kind != "stop" and sum(map(t.count, PAIRS)) > sum(map(t.count, _CLOSING)) else ""
         # the other values of the row in the same language, or the original of an untranslated one
         rel, rest = "none", ""
-        comparable = CUT_MARK.sub("", p).rstrip(" .")
+        comparable = look.bare
         sib_kind = "none"
         for f2, n2, v in [*self.values, ("original", -1, self.original)]:
             if (f2, n2) == (field, no) or not v:
                 continue
-            _, q, l2, k2 = self.of(v)
-            if l2 != lang or not q:
+            other = memory.look(v)
+            q, qc = other.plain, other.bare
+            if other.lang != lang or not q:
                 continue
-            sib_kind = k2
-            qc = CUT_MARK.sub("", q).rstrip(" .")
+            sib_kind = other.kind
             if qc == comparable:
                 rel = "same" if rel != "inside" else rel
             elif len(comparable) > 3 and q.startswith(comparable):
                 after = q[len(comparable) :]
-                rest = "stop" if after[:1] in "..。।…" and (len(after) < 2 or after.lstrip(".。।…)”\"»]")[:1] in " ~" or re.match(f"[{CJK}]", after[1:2])) and kind in ("stop", "dots", "close", "colon") and len(comparable) in self.sentence_ends(v, model) else "mid"
+                rest = "stop" if after[:1] in "..。।…" and (len(after) < 2 or after.lstrip(".。।…)”\"»]")[:1] in " ~" or re.match(f"[{CJK}]", after[1:2])) and kind in ("stop", "dots", "close", "colon") and len(comparable) in memory.sentence_ends(v) else "mid"
                 rel = "inside"
             elif comparable.startswith(qc) and len(qc) > 3:
                 rel = "longer" if rel == "none" else rel
@@ -176,24 +248,19 @@ class Row:
         r = len(p) / max(len(op), 1) / model.ratio.get(lang, 1.0)
         rb = _bin(r, (0.4, 0.6, 0.75, 0.87, 0.95, 1.1, 1.3))
         out += [f"n{rb}k{kind in ('stop', 'colon')}", f"n{rb}r{rel}k{kind in ('stop', 'colon')}"]
-        if kind != "stop" or doubt[:1] in "01":
-            # how much of the sentence that the last one renders is there
-            if op and (lang != "en" or rel in ("none", "other")):
-                h = split(bare, model.splitter)
-                if h:
-                    tail = folded(bare[h[-1] :])[0]
-                    marks = align.numbered(self.original)
-                    oa = split(self.original, model.splitter)
-                    src = [folded(align.with_numbers(self.original, a, b, marks))[0] for a, b in zip(oa, [*oa[1:], len(self.original)])]
-                    a, b = [align.words(s) for s in src], [align.words(tail)]
-                    tb = model.tables
-                    there = align._cover(a, b, tb.to.get(lang, {}), tb.weight.get(lang, {}), 4.0)[:, 0]
-                    back = align._cover(b, a, tb.back.get(lang, {}), tb.weight_back.get(lang, {}), 4.0)[0]
-                    i = int((there + back).argmax()) if len(there) else 0
-                    cover, away = (float(there[i]), float(back[i])) if len(there) else (0.0, 0.0)
-                    size = len(tail) / max(1, len(src[i])) / model.ratio.get(lang, 1.0) if src else 1.0
-                    c, s = _bin(cover, (0.2, 0.4, 0.55, 0.7, 0.8, 0.9)), _bin(size, (0.3, 0.5, 0.7, 0.85, 1.0))
-                    out += [f"v{c}k{kind}", f"v{c}z{s}", f"v{c}k{kind}o{okind}", f"y{_bin(away, (0.3, 0.6))}v{c}", f"v{c}z{s}e{e}k{kind}", f"v{c}l{lang}"]
+        # how much of the sentence that the last one renders is there
+        if (kind != "stop" or doubt[:1] in "01") and op and (lang != align.ORIGINALS or rel in ("none", "other")) and (tail := memory.tail(bare)):
+            words, length = tail
+            src, sizes, index = memory.source(self.original)
+            to, back_to = model.tables.sides(lang)
+            single = align.index_of([words])
+            there = [align.cover(s, single, to).get(0, 0.0) for s in src]
+            back = align.cover(words, index, back_to)
+            i = max(range(len(src)), key=lambda k: there[k] + back.get(k, 0.0), default=None)
+            cover, away = (there[i], back.get(i, 0.0)) if i is not None else (0.0, 0.0)
+            size = length / max(1, sizes[i]) / model.ratio.get(lang, 1.0) if i is not None else 1.0
+            c, s = _bin(cover, (0.2, 0.4, 0.55, 0.7, 0.8, 0.9)), _bin(size, (0.3, 0.5, 0.7, 0.85, 1.0))
+            out += [f"v{c}k{kind}", f"v{c}z{s}", f"v{c}k{kind}o{okind}", f"y{_bin(away, (0.3, 0.6))}v{c}", f"v{c}z{s}e{e}k{kind}", f"v{c}l{lang}"]
         return out
 
 
@@ -287,6 +354,7 @@ def train(rows: list[tuple], splitter: Splitter, tables: align.Tables, seed: int
     rnd = random.Random(seed)
     lex, words = Lexicon(), Counter()
     made = [Row(*r) for r in rows]
+    of_lang = lambda v: tables.languages.of(folded(v)[0])
     every = [(f, v) for r in made for f, _, v in r.values] + [("original", r.original) for r in made if r.original.strip()]
     limits = limits or {}
     of_field: dict[str, list[tuple[int, int, str]]] = {}
@@ -295,7 +363,7 @@ def train(rows: list[tuple], splitter: Splitter, tables: align.Tables, seed: int
     ratios: dict[str, list[float]] = {}
     for f, v in every:
         t = folded(v)[0].rstrip()
-        bare = _END.sub("", t).rstrip().rstrip(":：")
+        bare = (t[: ending(t)] if ending(t) >= 0 else t).rstrip().rstrip(":：")
         lex.end[_left(bare, len(bare))] += 1
         toks = t.split()
         for tok in toks[:-1]:
@@ -304,15 +372,15 @@ def train(rows: list[tuple], splitter: Splitter, tables: align.Tables, seed: int
     for r in made:
         if r.original.strip():
             for _, _, v in r.values:
-                ratios.setdefault(_script(v), []).append(len(plain(v)) / max(1, len(plain(r.original))))
+                ratios.setdefault(of_lang(v), []).append(len(plain(v)) / max(1, len(plain(r.original))))
     ratio = {k: float(np.median(v)) for k, v in ratios.items()}
     model = Model(np.zeros(1 << BITS, np.float32), lex, {w for w, n in words.items() if n > 1}, limits, ratio, splitter, tables)
     model.weights[_slots(["b"])] = -1
-    x, y, of = [], [], []
+    x, y, of, memory = [], [], [], Memory(model)
     for k, r in enumerate(made):
         for f, no, v in r.values:
-            feats = r.features(f, no, v, model)
-            kind = r.of(v)[3]
+            feats = r.features(f, no, v, model, memory)
+            kind = memory.look(v).kind
             if any(z.startswith("rinsidemid") for z in feats) or any(z in feats for z in ("kbroken", "kbracketed", "kcomma", "kopen")):
                 continue  # no intact value
             okind = closing(folded(r.original)[0])
@@ -330,9 +398,9 @@ def train(rows: list[tuple], splitter: Splitter, tables: align.Tables, seed: int
                     cut = None  # a whole sentence's end
                 if cut:
                     # values that say the same are often made from one another: the cut may be in both
-                    both = rnd.random() < 0.4 and [w if r.of(w)[1] != r.of(v)[1] else cut for _, _, w in r.values]
+                    both = rnd.random() < 0.4 and [w if memory.look(w).plain != memory.look(v).plain else cut for _, _, w in r.values]
                     row = r.with_values(both or [w for _, _, w in r.values], source) if both or source else r
-                    x.append(_slots(row.features(f, no, cut, model)))
+                    x.append(_slots(row.features(f, no, cut, model, memory)))
                     y.append(1.0)
                     of.append(k)
     if not x or not any(y):
@@ -376,13 +444,14 @@ def scored(results: DataFrame, model: Model, runs: DataFrame | None = None) -> D
     """
 
     def run(batches):
+        memory = Memory(model)
         for b in batches:
             n, fields, hops, offsets = [], [], [], [0]
             for o, f, hs, source in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
                 r = Row(o, f, hs, source)
                 n.append((f is not None) + sum(h is not None for h in hs or []))
                 for field, no, v in r.values:
-                    if model.score(r.features(field, no, v, model)) > 0:
+                    if model.score(r.features(field, no, v, model, memory)) > 0:
                         fields.append(field)
                         hops.append(no)
                 offsets.append(len(fields))
