@@ -254,8 +254,8 @@ class Row:
             src, sizes, index = memory.source(self.original)
             to, back_to = model.tables.sides(lang)
             single = align.index_of([words])
-            there = [align.cover(s, single, to).get(0, 0.0) for s in src]
-            back = align.cover(words, index, back_to)
+            there = [x.get(0, 0.0) for x in align.covers(src, single, to)]
+            (back,) = align.covers([words], index, back_to)
             i = max(range(len(src)), key=lambda k: there[k] + back.get(k, 0.0), default=None)
             cover, away = (there[i], back.get(i, 0.0)) if i is not None else (0.0, 0.0)
             size = length / max(1, sizes[i]) / model.ratio.get(lang, 1.0) if i is not None else 1.0
