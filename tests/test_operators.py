@@ -72,13 +72,58 @@ def test_mask_labels_and_collisions(spark):
     assert masking.mask("the kv CACHE uncached", masking.rules_for("markdown", ["cache", "KV cache"]))[1] == [("[[0]]", "kv CACHE")]
 
 
-def test_repairs():
-    assert repair.restore_spelling("we emphasised it", "We Emphasized it")[0] == "We Emphasised it"
-    assert repair.restore_spelling("nothing here", "the center")[0] == "the center"
-    assert repair.restore_capitals("Related Work", "Related work")[0] == "Related Work"
-    assert repair.enforce("However, it is — so.", [("—", ",")], ["However,"])[0] == "It is, so."
-    assert repair.tighten("note[^1]", "note [[0]]", [("[[0]]", "[^1]")]) == "note[[0]]"
-    assert repair.rewrap("aa [[0]]b c[[1]] dd", 12, [("[[0]]", "["), ("[[1]]", "](x)")], [("[[0]]", "[[1]]")]) == "aa [[0]]b c[[1]]\ndd"
+def fixed(spark, col, **values):
+    """(text, fixed) of a repair over one row of strings, mappings as lists of pairs."""
+    kinds = {str: "string", type(None): "string"}
+    schema = ", ".join(f"{k} {kinds.get(type(v)) or 'array<struct<key:string,frag:string>>' if k != 'groups' else 'array<struct<open:string,close:string>>'}" for k, v in values.items())
+    r = spark.createDataFrame([tuple(values.values())], schema).select(col(*map(F.col, values)).alias("r")).first().r
+    return (r.text, r.fixed) if hasattr(r, "text") else r
+
+
+def test_restored_words(spark):
+    spell = lambda a, b: fixed(spark, repair.restored_spelling, a=a, b=b)
+    assert spell("we emphasised it", "We Emphasized it") == ("We Emphasised it", ["spelling Emphasized -> Emphasised"])
+    assert spell("nothing here", "the center") == ("the center", [])
+    assert spell("colour labelled analyse", "COLOR labeled analyze, color") == ("COLOUR labelled analyse, colour", ["spelling COLOR -> COLOUR", "spelling labeled -> labelled", "spelling analyze -> analyse", "spelling color -> colour"])
+    # a word that the source has itself is no variant, and of two variants the first rule's wins
+    assert spell("center centre", "center")[0] == "center" and spell("", "x") == ("x", []) and spell("a", "") == ("", [])
+    assert fixed(spark, repair.restored_capitals, a="Related Work at NASA", b="Related work at nasa") == ("Related Work at NASA", ["capitalisation work -> Work", "capitalisation nasa -> NASA"])
+
+
+def test_persona_rules(spark):
+    rules = lambda t, f=(), o=(): fixed(spark, lambda c: repair.persona_rules(c, list(f), list(o)), t=t)
+    assert rules("However, it is — so.", [("—", ",")], ["However,"]) == ("It is, so.", ["replaced '—'", "dropped opener 'However,'"])
+    assert rules("It is so. however, not.  then no", (), ["However,"])[0] == "It is so. Not. Then no"
+    assert rules("a  b ,\nc") == ("a b,\nc", []) and rules("x", [("", "y")], [""]) == ("x", [])
+    assert rules("Moreover. it", (), ["However,"]) == ("Moreover. it", [])
+
+
+def test_tightened(spark):
+    tight = lambda o, t, m: fixed(spark, repair.tightened, o=o, t=t, m=m)
+    assert tight("note[^1]", "note [[0]]", [("[[0]]", "[^1]")]) == "note[[0]]"
+    assert tight("a [x] b", "a [[0]] b", [("[[0]]", "[x]")]) == "a [[0]] b"
+    assert tight("- [x] b", "[[0]]  b", [("[[0]]", "[x] ")]) == "[[0]]b"
+    # a gap between two placeholders is cut from whichever side is tight
+    assert tight("a[1][2] b", "a [[0]] [[1]] b", [("[[0]]", "[1]"), ("[[1]]", "[2]")]) == "a[[0]][[1]] b"
+    assert tight("none", "plain", []) == "plain" and tight("x", "[[7]] y", []) == "[[7]] y"
+
+
+def test_wrapped(spark):
+    wrap = lambda t, m, g, w=12: fixed(spark, lambda t, mapping, groups: repair.wrapped(t, F.lit(w), mapping, groups), t=t, mapping=m, groups=g)
+    assert wrap("aa [[0]]b c[[1]] dd", [("[[0]]", "["), ("[[1]]", "](x)")], [("[[0]]", "[[1]]")]) == "aa [[0]]b c[[1]]\ndd"
+    assert wrap("aa [[0]]b c[[1]], dd", [("[[0]]", "["), ("[[1]]", "](long/link)")], [("[[0]]", "[[1]]")]) == "aa\n[[0]]b c[[1]],\ndd"
+    assert wrap("one two three", [], [], 7) == "one two\nthree" and wrap(" ", [], []) == " "
+    assert wrap("a [[0]] b", [("[[0]]", "x")], [("[[0]]", "[[5]]")]) == "a [[0]] b"
+    long = "word " * 12 + "\n" + "word " * 12
+    assert fixed(spark, lambda o, t, mapping, groups: repair.wrapped_as(o, t, mapping, groups), o=long, t="x " * 70, mapping=[], groups=[]).count("\n") == 2
+    assert fixed(spark, lambda o, t, mapping, groups: repair.wrapped_as(o, t, mapping, groups), o="one line", t="x " * 70, mapping=[], groups=[]) == "x " * 70
+
+
+def test_multiset_delta(spark):
+    d = spark.createDataFrame([(["b", "a", "b"], ["b", "c"]), ([], ["x", "x"]), (["q"], ["q"]), ([], []), (None, ["a"])], "a array<string>, b array<string>")
+    got = [r.d and [tuple(x) for x in r.d] for r in d.select(T.multiset_delta(F.array_sort("a"), F.array_sort("b")).alias("d")).collect()]
+    assert got == [[("a", 1), ("b", 1), ("c", -1)], [("x", -2)], [], [], None]
+    assert d.select(T.multiset_minus(F.array_sort("b"), F.array_sort("a")).alias("m")).collect()[1].m == ["x", "x"]
 
 
 def test_round_trip(spark):

@@ -99,10 +99,50 @@ def sentence_count(text: Column) -> Column:
     return F.when(text.isNotNull(), F.greatest(F.lit(1), F.size(_all(strip_space(without_sentinels(text)), P.SENTENCE_END))))
 
 
+def _runs(values: Column, sign: int) -> Column:
+    """(value, signed length) of the runs of equal values of a sorted array."""
+
+    def lengths(z: Column) -> Column:
+        at = lambda k: F.element_at(z["starts"], k)
+        end = lambda i: F.when(i + 1 < F.size(z["starts"]), F.try_element_at(z["starts"], i + 2)).otherwise(F.size(z["v"]) + 1)
+        return F.transform(z["starts"], lambda s, i: F.struct(F.element_at(z["v"], s).alias("x"), (sign * (end(i) - at(i + 1))).cast("int").alias("n")))
+
+    def runs(v: Column) -> Column:
+        places = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 1) | (F.element_at(v, i) != F.element_at(v, F.greatest(i - 1, F.lit(1)))))
+        return let(F.struct(v.alias("v"), starts.alias("starts")), lengths)
+
+    return let(values, runs)
+
+
+def multiset_delta(a: Column, b: Column) -> Column:
+    """(x, n) of the elements whose counts differ in two sorted arrays, n being the count in ``a`` less that in ``b``; sorted by x.
+
+    The runs of both are sorted together and neighbours are added, so that the work grows as a sort does."""
+
+    def summed(c: Column) -> Column:
+        def one(i: Column) -> Column:
+            here, before, after = F.element_at(c, i), F.try_element_at(c, F.greatest(i - 1, F.lit(1))), F.try_element_at(c, i + 1)
+            n = here["n"] + F.when(after["x"] == here["x"], after["n"]).otherwise(0)
+            return F.struct(here["x"].alias("x"), F.when((i > 1) & (before["x"] == here["x"]), 0).otherwise(n).alias("n"))
+
+        every = F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1))), one))
+        return F.filter(F.coalesce(every, F.array().cast("array<struct<x:string,n:int>>")), lambda r: r["n"] != 0)
+
+    merged = lambda z: F.array_sort(F.concat(_runs(z["a"], 1), _runs(z["b"], -1)))
+    none = F.array().cast("array<struct<x:string,n:int>>")
+    both = lambda z: F.when(z["a"] == z["b"], none).when(z["a"].isNotNull() & z["b"].isNotNull(), let(merged(z), summed))
+    return let(F.struct(a.alias("a"), b.alias("b")), both)
+
+
+def surplus(delta: Column, sign: int = 1) -> Column:
+    """Elements of one side of a ``multiset_delta`` beyond their count in the other, with multiplicity."""
+    return F.flatten(F.transform(F.filter(delta, lambda r: sign * r["n"] > 0), lambda r: F.array_repeat(r["x"], sign * r["n"])))
+
+
 def multiset_minus(a: Column, b: Column) -> Column:
     """Elements of the sorted array ``a`` beyond their count in ``b``, with multiplicity."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda z: F.flatten(F.transform(F.array_distinct(z["a"]), lambda x: F.array_repeat(x, F.greatest(F.lit(0), count(z["a"], x) - count(z["b"], x))))))
+    return surplus(multiset_delta(a, b))
 
 
 def content_words(text: Column) -> Column:
@@ -134,7 +174,11 @@ def _listed(a: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
 
 
-def _differs(lost: Column, gained: Column, word: str) -> Column:
+def _differs(a: Column, b: Column, word: str) -> Column:
+    return let(multiset_delta(a, b), lambda d: _shown(surplus(d), surplus(d, -1), word))
+
+
+def _shown(lost: Column, gained: Column, word: str) -> Column:
     part = lambda a, w: F.transform(F.filter(F.array(a), lambda x: F.size(x) > 0), lambda x: F.concat(F.lit(f"{w} "), _listed(x)))
     return F.array_join(F.concat(part(lost, "lost"), part(gained, word)), ", ")
 
@@ -144,7 +188,7 @@ def check_nonempty(src: Column, out: Column) -> Column:
 
 
 def _equal(a: Column, b: Column, name: str, word: str) -> Column:
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda z: _check(z["a"] == z["b"], name, _differs(multiset_minus(z["a"], z["b"]), multiset_minus(z["b"], z["a"]), word)))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda z: _check(z["a"] == z["b"], name, _differs(z["a"], z["b"], word)))
 
 
 def check_sentinels(src: Column, out: Column) -> Column:
@@ -203,7 +247,7 @@ def _issue(kind: str, severity: str, differs: Column, detail: Column) -> Column:
 
 
 def _multiset_issue(kind: str, word: str):
-    return lambda z: _issue(kind, "high", z["a"] != z["b"], _differs(multiset_minus(z["a"], z["b"]), multiset_minus(z["b"], z["a"]), word))
+    return lambda z: _issue(kind, "high", z["a"] != z["b"], _differs(z["a"], z["b"], word))
 
 
 def compare(src: Column, out: Column) -> Column:
@@ -271,9 +315,9 @@ def strip_echoed_markers(original: Column, translated: Column) -> Column:
 
 def vocabulary(text: Column) -> Column:
     """Map from each lower-case word to the form in which it occurs first."""
-    w = F.transform(_all(text, P.WORD), lambda x: F.struct(F.lower(x).alias("k"), x.alias("v")))
-    first = F.aggregate(w, F.array().cast("array<struct<k:string,v:string>>"), lambda acc, x: F.when(F.exists(acc, lambda y: y.k == x.k), acc).otherwise(F.array_append(acc, x)))
-    return F.map_from_entries(first)
+    words = lambda w: F.struct(w.alias("w"), F.transform(w, F.lower).alias("k"))
+    first = lambda z: let(F.array_distinct(z["k"]), lambda d: F.map_from_arrays(d, F.transform(d, lambda k: F.element_at(z["w"], F.array_position(z["k"], k).cast("int")))))
+    return let(let(_all(text, P.WORD), words), first)
 
 
 def spelling_variants(word: Column) -> Column:
@@ -321,13 +365,15 @@ def detect_width(text: Column) -> Column:
     return let(sizes, width)
 
 
-def rewrap(text: Column, width: Column) -> Column:
-    """Greedy wrap of the tokens to ``width``; a token is never split. A blank text stays."""
+def rewrap(text: Column, width: Column, size=F.length) -> Column:
+    """Greedy wrap of the tokens to ``width``; a token is never split. A blank text stays. ``size``: how wide a token is."""
     tokens = F.filter(F.split(text, rf"[{P.SPACE}]+", -1), lambda t: t != "")
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"))
 
-    def step(acc, t):
-        n = F.length(t)
+    tokens = F.transform(tokens, lambda t: F.struct(t.alias("t"), size(t).alias("n")))
+
+    def step(acc, token):
+        t, n = token["t"], token["n"]
         fresh = acc.text == ""
         over = ~fresh & (acc.used + 1 + n > width)
         sep = F.when(fresh, F.lit("")).when(over, F.lit("\n")).otherwise(F.lit(" "))
@@ -398,7 +444,8 @@ def rotate_words(text: Column) -> Column:
         # a word takes the next one's place; its number among the words is the count of words before it
         before = lambda i: F.size(F.filter(F.slice(words, F.lit(1), i), lambda w: ~mark(w)))
         turned = lambda plain: F.transform(words, lambda w, i: F.when(mark(w), w).otherwise(F.try_element_at(plain, F.pmod(before(i) + 1, F.greatest(F.size(plain), F.lit(1))) + 1)))
-        return F.array_join(let(F.filter(words, lambda w: ~mark(w)), turned), " ")
+        simple = F.concat(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), F.slice(words, F.lit(1), F.lit(1)))
+        return F.array_join(F.when(F.exists(words, mark), let(F.filter(words, lambda w: ~mark(w)), turned)).otherwise(simple), " ")
 
     # a placeholder glued to a word is part of the word, one before it stands alone
     apart = F.regexp_replace(text, rf"(?<![^{P.SPACE}])({P.SENTINEL})(?=[^{P.SPACE}])", "$1 ")

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..functions.text import let
+
 # What is hidden in a text of each format, in order of priority. A pattern's named group stays visible.
 RULES = {
     "markdown": [
@@ -42,6 +44,7 @@ RULES = {
         ("brace", r"[{}]"),
     ],
 }
+MARK_PATTERN = r"\[\[\d+\]\]"
 MARK = re.compile(r"\[\[(\d+)\]\]")
 MASKED = StructType([
     StructField("text", StringType()),
@@ -127,8 +130,10 @@ def unmask(text: Column, mapping: Column) -> Column:
     """The text with its placeholders replaced in one pass: a restored fragment is never searched again.
 
     The text is split at its placeholders and each part is looked up, so the order of the mapping doesn't matter."""
-    marks = F.regexp_extract_all(text, F.lit(r"\[\[\d+\]\]"), F.lit(0))
-    gaps = F.split(text, r"\[\[\d+\]\]", -1)
-    back = F.map_from_entries(mapping)
-    parts = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at(back, F.try_element_at(marks, i + 1)), F.try_element_at(marks, i + 1), F.lit(""))))
-    return F.array_join(parts, "")
+    marks, gaps = F.regexp_extract_all(text, F.lit(MARK_PATTERN), F.lit(0)), F.split(text, MARK_PATTERN, -1)
+
+    def filled(z: Column) -> Column:
+        back = lambda mark: F.coalesce(F.try_element_at(z["back"], mark), mark, F.lit(""))
+        return F.array_join(F.transform(z["gaps"], lambda g, i: F.concat(g, back(F.try_element_at(z["marks"], i + 1)))), "")
+
+    return let(F.struct(marks.alias("marks"), gaps.alias("gaps"), F.map_from_entries(mapping).alias("back")), filled)

@@ -8,17 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import repair
 from ..operators.cache import through_cache
-from ..operators.masking import mask, rules_for
+from ..operators.masking import mask, rules_for, unmask
 from ..operators.spans import splice
 from ..session import cut
 from ..sources.base import segments
+from ..sources.markdown import Span, unprefixed
 
 MECHANICS = "Give only the translation. Copy every placeholder of the form [[n]] as it stands. Keep numbers, names, formatting and capitals. Leave nothing out, add nothing."
 
@@ -29,28 +29,24 @@ def system_prompt(src: Column, dst: Column, guidance: str | None = None) -> Colu
     return F.when(dst == "en", F.concat(base, F.lit(f" Style, below these rules: {guidance}"))).otherwise(base) if guidance else base
 
 
-_PAIRS = pa.list_(pa.struct([("key", pa.string()), ("frag", pa.string())]))
-_GROUPS = pa.list_(pa.struct([("open", pa.string()), ("close", pa.string())]))
-MASKED = "doc_id bigint, seg_id int, start int, end int, text string, block string, heading boolean, indent string, fmt string, body string, masked string, mapping array<struct<key: string, frag: string>>, groups array<struct<open: string, close: string>>"
+MASKED = "array<struct<key: string, frag: string>>", "array<struct<open: string, close: string>>"
 
 
-def masked_segments(docs: DataFrame, terms: list[str] | None = None, **options) -> DataFrame:
-    """Segments of the documents (doc_id, text, path, fragment) with body (no container prefix), masked text, mapping and label groups.
+def masked_segments(docs: DataFrame, terms: list[str] | None = None, id_col: str = "doc_id", **options) -> DataFrame:
+    """Segments of the documents (id_col, text, path, fragment) with body (no container prefix), masked text, mapping and label groups.
 
-    ``terms``: a glossary to hide as well. One Arrow pass over the segments; their format comes with them."""
+    ``terms``: a glossary to hide as well. Documents are parsed and their segments masked in one Arrow pass."""
     glossary = list(terms or [])
 
-    def run(batches):
-        rules = {f: rules_for(f, glossary) for f in ("markdown", "latex")}
-        for b in batches:
-            texts, indents, fmts = (b.column(k).to_pylist() for k in (4, 7, 8))
-            bodies = [repair.without_prefix(t, i) for t, i in zip(texts, indents)]
-            made = [mask(t, rules[f]) for t, f in zip(bodies, fmts)]
-            mapping = pa.array([[{"key": k, "frag": v} for k, v in m[1]] for m in made], _PAIRS)
-            groups = pa.array([[{"open": x, "close": y} for x, y in m[2]] for m in made], _GROUPS)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bodies, pa.string()), pa.array([m[0] for m in made], pa.string()), mapping, groups], names=[*b.schema.names, "body", "masked", "mapping", "groups"])
+    def hidden(fmt: str, segment: Span, text: str, rules: dict) -> tuple:
+        if fmt not in rules:
+            rules[fmt] = rules_for(fmt, glossary)
+        body = unprefixed(text, segment.indent)
+        masked, mapping, groups = mask(body, rules[fmt])
+        return body, masked, [{"key": k, "frag": v} for k, v in mapping], [{"open": x, "close": y} for x, y in groups]
 
-    return segments(docs, with_format=True, **options).mapInArrow(run, MASKED)
+    more = [("body", "string"), ("masked", "string"), ("mapping", MASKED[0]), ("groups", MASKED[1])]
+    return segments(docs, id_col=id_col, with_format=True, extra=(more, hidden), **options)
 
 
 def _hop(call: Callable[[Column], Column], src: str, dst: str):
@@ -66,11 +62,13 @@ def _hop(call: Callable[[Column], Column], src: str, dst: str):
 
 
 def hops_in_jvm(masked: DataFrame, pivots: list[str], call: Callable[[Column], Column]) -> DataFrame:
-    """``masked`` with hops, reason, attempts: the chain of hops as one expression; a failing check ends a chain.
+    """``masked`` with hops, reason, attempts: the chain of hops as one expression; a failing check ends a chain, and one of
+    too few words never begins.
 
     Each hop's text is bound once, so neither it nor its checks are computed again by what follows."""
     langs = ["en", *pivots, "en"]
-    acc = F.struct(F.col("masked").alias("cur"), F.array().cast("array<string>").alias("hops"), F.lit("").alias("reason"))
+    why = F.when(T.long_enough(F.col("masked")), "").otherwise(TOO_SHORT)
+    acc = F.struct(F.col("masked").alias("cur"), F.array().cast("array<string>").alias("hops"), why.alias("reason"))
     for src, dst in zip(langs, langs[1:]):
         acc = T.let(acc, _hop(call, src, dst))
     return masked.withColumn("_h", acc).select("*", F.col("_h.cur").alias("_cur"), F.col("_h.hops").alias("hops"), F.col("_h.reason").alias("reason"), F.lit(1).alias("attempts")).drop("_h")
@@ -108,54 +106,30 @@ def hops_through_cache(masked: DataFrame, pivots: list[str], call: Callable[[Dat
     return done, entries
 
 
-RESULTS = (
-    "doc_id bigint, seg_id int, start int, end int, original string, final string, hops array<string>, attempts int, translated boolean, reason string, rules_applied array<string>, masked string, cleaned string"
-)
-
-
-def finish(hopped: DataFrame, forbid: list[tuple[str, str]] | None = None, openers: list[str] | None = None, wrap: bool = True) -> DataFrame:
-    """Repairs in their order and the fragments back in place, in one Arrow pass; then the issues, as expressions."""
-    rules = (forbid or [], openers or [], wrap)
-
-    def run(batches):
-        for b in batches:
-            finals, cleaned, fixed = [], [], []
-            for text, reason, cur, body, masked, mapping, groups, heading, indent in zip(*(b.column(k).to_pylist() for k in ("text", "reason", "_cur", "body", "masked", "mapping", "groups", "heading", "indent"))):
-                if reason:
-                    r = None, text, []
-                else:
-                    r = repair.repair(body, masked, cur, [(x["key"], x["frag"]) for x in mapping], [(x["open"], x["close"]) for x in groups], bool(heading), indent or "", *rules)
-                cleaned.append(r[0])
-                finals.append(r[1])
-                fixed.append(r[2])
-            ok = pa.array([not r for r in b.column("reason").to_pylist()], pa.bool_())
-            columns = [b.column(k) for k in ("doc_id", "seg_id", "start", "end", "text")]
-            columns += [pa.array(finals, pa.string()), b.column("hops"), b.column("attempts"), ok, b.column("reason"), pa.array(fixed, pa.list_(pa.string())), b.column("masked"), pa.array(cleaned, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in RESULTS.split(", ")])
-
-    cols = ("doc_id", "seg_id", "start", "end", "text", "heading", "indent", "body", "masked", "mapping", "groups", "_cur", "hops", "attempts", "reason")
-    d = hopped.select(*cols).mapInArrow(run, RESULTS)
+def finish(hopped: DataFrame, forbid: list[tuple[str, str]] | None = None, openers: list[str] | None = None, wrap: bool = True, id_col: str = "doc_id") -> DataFrame:
+    """Results of hopped segments: repairs in their order, fragments back in place, issues; a row with a reason keeps its text."""
+    done = F.col("reason") == ""
+    fixed = repair.repaired(*map(F.col, ("body", "masked", "_cur", "mapping", "groups", "heading", "indent")), forbid, openers, wrap)
+    r = hopped.withColumn("_r", F.when(done, fixed))
     none = F.array().cast("array<struct<kind:string,detail:string,severity:string>>")
-    return d.withColumn("issues", F.when(F.col("translated"), T.compare(F.col("masked"), F.col("cleaned"))).otherwise(none)).drop("masked", "cleaned")
-
-
-def round_trip(docs: DataFrame, pivots: list[str], call: Callable[[Column], Column] = T.rotate_words, terms: list[str] | None = None, **rules) -> DataFrame:
-    """Results of all segments; one too short to translate keeps its text and says why."""
-    m = masked_segments(docs, terms)
-    short = m.where(~T.long_enough(F.col("masked")))
-    results = finish(hops_in_jvm(m.where(T.long_enough(F.col("masked"))), pivots, call), **rules)
-    empty = "array<string>"
-    kept = short.select(
-        "doc_id", "seg_id", "start", "end", F.col("text").alias("original"), F.col("text").alias("final"), F.array().cast(empty).alias("hops"), F.lit(1).alias("attempts"),
-        F.lit(False).alias("translated"), F.lit(f"under {T.P.MIN_WORDS} words, nothing to round-trip").alias("reason"), F.array().cast(empty).alias("rules_applied"),
-        F.array().cast("array<struct<kind:string,detail:string,severity:string>>").alias("issues"),
+    return r.select(
+        id_col, "seg_id", "start", "end", F.col("text").alias("original"), F.when(done, unmask(F.col("_r.text"), F.col("mapping"))).otherwise(F.col("text")).alias("final"), "hops", "attempts",
+        done.alias("translated"), "reason", F.coalesce("_r.fixed", F.array().cast("array<string>")).alias("rules_applied"),
+        F.when(done, T.compare(F.col("masked"), F.col("_r.text"))).otherwise(none).alias("issues"),
     )
-    return results.unionByName(kept)
 
 
-def rendered(docs: DataFrame, results: DataFrame) -> DataFrame:
-    """(doc_id, text) of every document with its results in place."""
-    return splice(docs, results.select("doc_id", "start", "end", F.col("final").alias("new")))
+TOO_SHORT = f"under {T.P.MIN_WORDS} words, nothing to round-trip"
+
+
+def round_trip(docs: DataFrame, pivots: list[str], call: Callable[[Column], Column] = T.rotate_words, terms: list[str] | None = None, id_col: str = "doc_id", **rules) -> DataFrame:
+    """Results of all segments; one too short to translate keeps its text and says why. One branch: every document is parsed once."""
+    return finish(hops_in_jvm(masked_segments(docs, terms, id_col), pivots, call), id_col=id_col, **rules)
+
+
+def rendered(docs: DataFrame, results: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, text) of every document with its results in place."""
+    return splice(docs, results.select(id_col, "start", "end", F.col("final").alias("new")), id_col)
 
 
 def pending(masked: DataFrame, pivots: list[str], cache: DataFrame, model: str) -> DataFrame:

@@ -31,25 +31,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes for each core up to which a table counts as small: shuffling it costs next to nothing.
+SMALL_BYTES = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files give fewer tasks than there are cores, as a table of one small file does.
+    """``df`` over all cores if it is a small table, whose few row groups would give work to few of them.
 
-    A table of a cluster's size has more tasks than cores and stays as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    The size is the optimizer's own estimate. A table of a cluster's size stays as it is, without a shuffle; the rows are the same either way."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * SMALL_BYTES else df
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where neither the session nor the context names one (unit tests on one
-    machine) a temporary folder is set.
+    Only where neither the session nor the context names one, and all executors are on
+    this machine (unit tests), a temporary folder is set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewright-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions import patterns as P
 from ..session import spread
@@ -41,32 +43,42 @@ def format_of(path: Column, strict: bool = False) -> Column:
 SEGMENT = "seg_id int, start int, end int, text string, block string, heading boolean, indent string"
 
 
-def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", fragment_col: str = "fragment", drop_disabled: str | None = None, with_format: bool = False) -> DataFrame:
+def segments(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", fragment_col: str = "fragment", drop_disabled: str | None = None, with_format: bool = False,
+    extra: tuple[list[tuple[str, str]], Callable[..., tuple]] | None = None,
+) -> DataFrame:
     """(id_col, seg_id, start, end, text, block, heading, indent) of every prose segment.
 
     Documents of an unknown format, and null or empty ones, have none. Each document is scanned
     whole where it is read, without a shuffle. Repeated rows are scanned each. ``drop_disabled``:
     word of the comments that switch regions off and on; segments wholly inside one are left out.
-    ``with_format``: the format's name as a last column fmt.
+    ``with_format``: the format's name as a further column fmt. ``extra``: names and types of more columns,
+    and a function of format, span, text and a dictionary kept for the task that gives their values.
     """
     names = [id_col, "seg_id", "start", "end", "text", "block", "heading", "indent"] + ["fmt"] * with_format
-    kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
+    more, make = extra or ([], None)
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, {SEGMENT}" + ", fmt string" * with_format + "".join(f", {n} {t}" for n, t in more)
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string()] + [pa.string()] * with_format
+    kinds += [to_arrow_type(StructType.fromDDL(f"v {t}")[0].dataType) for _, t in more]
     fmts = {n: p for n, (p, _) in _FORMATS.items()}
 
     def run(batches):
+        memo: dict = {}
         for b in batches:
             rows: list[tuple] = []
             for i, (text, fmt, fragment) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))):
                 if text and fmt in fmts:
-                    rows += [(i, n, s.start, s.end, text[s.start : s.end], s.block, s.heading, s.indent, fmt) for n, s in enumerate(fmts[fmt](text, bool(fragment)))]
+                    for n, s in enumerate(fmts[fmt](text, bool(fragment))):
+                        part = text[s.start : s.end]
+                        rows.append((i, n, s.start, s.end, part, s.block, s.heading, s.indent, *([fmt] * with_format), *(make(fmt, s, part, memo) if make else ())))
             if rows:
                 c = list(zip(*rows))
-                arrays = [b.column(0).take(pa.array(c[0], pa.int64())), *(pa.array(x, pa.int32()) for x in c[1:4]), *(pa.array(x, k) for x, k in zip(c[4:], kinds))]
-                yield pa.RecordBatch.from_arrays(arrays[: len(names)], names=names)
+                arrays = [b.column(0).take(pa.array(c[0], pa.int64())), *(pa.array(x, k) for x, k in zip(c[1:], kinds))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *(n for n, _ in more)])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), format_of(F.col(path_col)).alias("_fmt"), F.col(fragment_col).cast("boolean").alias("_fragment"))
-    out = spread(rows).mapInArrow(run, f"`{id_col}` {kind}, {SEGMENT}" + ", fmt string" * with_format)
+    out = spread(rows).mapInArrow(run, schema)
     if drop_disabled is not None:
         from ..operators.spans import disabled_spans, drop_inside
 

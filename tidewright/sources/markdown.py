@@ -8,12 +8,12 @@ paragraphs and headings become spans; whatever is not recognised stays outside.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from typing import NamedTuple
 
-# Markers that may stand before prose, a footnote's label, a line break that is kept.
+# Markers that may stand before prose, a footnote's label.
 MARKER = re.compile(r"(?:[ \t]*>)*[ \t]*(?:(?:[-*+]|\d{1,9}[.)])[ \t]+)?")
 FOOTNOTE = re.compile(r"\[\^[^\]]*\]:[ \t]*")
-HARD_BREAK = re.compile(r"(?:[ \t]{2,}|\\)\n")
 
 _FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+|$)(.*)")
@@ -43,6 +43,25 @@ class Span:
     indent: str = ""
 
 
+class _Line(NamedTuple):
+    """A line of a paragraph: where it begins, its text begins (past its containers), it ends; how many characters before its
+    first word are blanks and quote marks; where its words end if a hard line break follows, -1 if none does."""
+
+    at: int
+    text: int
+    end: int
+    lead: int
+    stop: int
+
+
+def unprefixed(text: str, prefix: str | None) -> str:
+    """Without the container's prefix on every line but the first; a line without it is left-stripped."""
+    if not prefix or "\n" not in text:
+        return text
+    first, *rest = text.split("\n")
+    return "\n".join([first, *(x[len(prefix) :] if x.startswith(prefix) else x.lstrip("> \t") for x in rest)])
+
+
 @dataclass
 class _Box:
     kind: str  # quote, item or note
@@ -58,49 +77,47 @@ class _Scanner:
         self.source = source
         self.spans: list[Span] = []
         self.boxes: list[_Box] = []
-        self.paragraph: list[tuple[int, int, int]] = []  # start of the line, start of its text, end
+        self.paragraph: list[_Line] = []
         self.fence = self.raw = ""
         self.table = self.math = False
         self.blank = True
 
+    def take(self, at: int, text: int, end: int) -> None:
+        """Adds a line to the paragraph. Two blanks or a backslash at its end break it for good if another line follows."""
+        line = self.source[at:end]
+        words = len(line.rstrip(" \t"))
+        stop = end - 1 if line.endswith("\\") else at + words if len(line) - words >= 2 else -1
+        self.paragraph.append(_Line(at, text, end, len(line) - len(line.lstrip(" \t>")), stop))
+
     def close(self) -> None:
         lines, self.paragraph = self.paragraph, []
-        if not lines:
-            return
-        begin, end = lines[0][0], lines[-1][2]
-        text = self.source[lines[0][1] : end]
-        if _IMAGES.fullmatch(text.strip()):
+        if not lines or _IMAGES.fullmatch(self.source[lines[0].text : lines[-1].end].strip()):
             return
-        first = self.source[begin : lines[0][2]]
-        m = MARKER.match(first)
-        start = begin + m.end()
-        note = FOOTNOTE.match(self.source, start, lines[0][2])
-        if note:
-            start = note.end()
-        block = self.source[start:end]
-        second = block.split("\n")[1] if "\n" in block else ""
-        prefix = re.match(r"[ \t>]*", second).group() or "".join(c if c == ">" else " " for c in self.source[begin:start])
-        for a, b in self.pieces(start, end):
-            self.spans.append(Span(a, b, "paragraph_open", False, prefix))
-
-    def pieces(self, start: int, end: int):
-        """Parts of a block between its hard line breaks; a break and the next line's prefix stay outside."""
-        at = start
-        for m in HARD_BREAK.finditer(self.source, start, end):
-            if self.source[at : m.start()].strip():
-                yield at, m.start()
-            at = m.end()
-            while at < end and self.source[at] in " \t>":
-                at += 1
-        if self.source[at:end].strip():
-            yield at, end
-
-    def heading(self, content: str, lo: int, hi: int) -> None:
+        start = lines[0].at + MARKER.match(self.source[lines[0].at : lines[0].end]).end()
+        note = FOOTNOTE.match(self.source, start, lines[0].end)
+        start = note.end() if note else start
+        # later lines begin as the second one does, or with the first one's marks but for quote marks blanked
+        shown = self.source[lines[1].at : lines[1].at + lines[1].lead] if len(lines) > 1 else ""
+        self.emit(start, lines, Span(0, 0, "paragraph_open", False, shown or re.sub("[^>]", " ", self.source[lines[0].at : start])))
+
+    def emit(self, start: int, lines: list[_Line], like: Span) -> None:
+        """Spans of lines from ``start`` on, one for each stretch without a hard line break."""
+        last = len(lines) - 1
+        for k, line in enumerate(lines):
+            stop = line.end if k == last else line.stop
+            if stop < 0:
+                continue
+            if self.source[start:stop].strip():
+                self.spans.append(replace(like, start=start, end=stop))
+            start = lines[k + 1].at + lines[k + 1].lead if k < last else stop
+
+    def heading(self, content: str, lines: list[_Line]) -> None:
+        """The words of a heading of one or more lines, if they stand in the text as they are."""
         content = content.strip()
-        at = self.source.find(content, lo, hi) if content else -1
+        at = self.source.find(content, lines[0].at, lines[-1].end) if content else -1
         if at >= 0 and not _IMAGES.fullmatch(content):
-            for a, b in self.pieces(at, at + len(content)):
-                self.spans.append(Span(a, b, "heading_open", True, ""))
+            end = at + len(content)
+            self.emit(at, [*(x for x in lines[:-1] if x.end < end), lines[-1]._replace(end=end)], Span(0, 0, "heading_open", True, ""))
 
     def enter(self, line: str) -> tuple[str, int]:
         """(rest of the line after the containers still open, how many of them it continues)"""
@@ -129,7 +146,7 @@ class _Scanner:
         rest, depth = self.enter(line)
         if depth < len(self.boxes):
             if self.paragraph and rest.strip() and not self.starts(rest, any(b.kind == "item" for b in self.boxes[depth:])):  # a lazy line
-                self.paragraph.append((at, end - len(rest), end))
+                self.take(at, end - len(rest), end)
                 return
             self.close()
             self.fence = self.raw = ""
@@ -201,12 +218,12 @@ class _Scanner:
         heading = _HEADING.match(rest)
         if heading:
             self.close()
-            self.heading(re.sub(r"(?:^|[ \t]+)#+[ \t]*$", "", heading.group(2)), at, end)
+            self.heading(re.sub(r"(?:^|[ \t]+)#+[ \t]*$", "", heading.group(2)), [_Line(at, text, end, 0, -1)])
             return
         setext = _SETEXT.match(rest)
         if setext and self.paragraph:
             lines, self.paragraph = self.paragraph, []
-            self.heading("\n".join(self.source[a:b] for _, a, b in lines) if len(lines) > 1 else self.source[lines[0][1] : lines[0][2]], lines[0][0], lines[-1][2])
+            self.heading("\n".join(self.source[x.text : x.end] for x in lines), lines)
             return
         if _RULE.match(rest):
             self.close()
@@ -216,7 +233,7 @@ class _Scanner:
                 return
             self.table = False
         if len(self.paragraph) == 1 and "-" in rest and _TABLE_ROW.match(rest):
-            head = self.source[self.paragraph[0][1] : self.paragraph[0][2]]
+            head = self.source[self.paragraph[0].text : self.paragraph[0].end]
             cells = lambda s: len(re.split(r"(?<!\\)\|", s.strip().strip("|")))
             if "|" in head + rest and cells(head) == cells(rest):
                 self.paragraph, self.table = [], True
@@ -230,7 +247,7 @@ class _Scanner:
                 self.math = False
             if _DEFINITION.match(rest):
                 return
-        self.paragraph.append((at, text, end))
+        self.take(at, text, end)
 
 
 def prose(source: str) -> list[Span]:
