@@ -11,7 +11,7 @@ from tidewright import session
 from tidewright.functions import text as T
 from tidewright.operators import graph, masking, mining, repair, report, spans
 from tidewright.operators.cache import through_cache
-from tidewright.plans import translate
+from tidewright.plans import backends, project, translate
 from tidewright.sources import base, files
 from tidewright.streaming import incremental
 
@@ -164,8 +164,29 @@ def test_include_graph(spark):
     f = spark.createDataFrame([("main.tex", r"\input{sec/a} \include{missing} % \input{sec/b}"), ("sec/a.tex", r"\input{shared} \input{../main} \input{../../etc/passwd}"), ("sec/b.tex", ""), ("sec/shared.tex", "")], "path string, text string")
     e = graph.resolve(graph.include_edges(f), f)
     assert rows(e.select("src", "name", "dst")) == [("main.tex", "missing", None), ("main.tex", "sec/a", "sec/a.tex"), ("sec/a.tex", "../../etc/passwd", None), ("sec/a.tex", "../main", "main.tex"), ("sec/a.tex", "shared", "sec/shared.tex")]
-    got = graph.closure(f.where("path = 'main.tex'").select("path"), e)
+    got, warned = graph.closure(f.where("path = 'main.tex'").select("path"), e)
     assert rows(got) == [("main.tex", "main.tex", 0), ("main.tex", "sec/a.tex", 1), ("main.tex", "sec/shared.tex", 2)]
+    assert rows(warned) == [("main.tex", "main.tex", "missing include", "missing"), ("main.tex", "sec/a.tex", "missing include", "../../etc/passwd")]
+    # depth and number of files are bounded, and what lies beyond is said
+    chain = spark.createDataFrame([(f"f{i:02d}", f"f{i + 1:02d}") for i in range(9)] + [("f09", "f00")], "src string, dst string").withColumn("name", F.col("dst"))
+    one = spark.createDataFrame([("f00",), ("f00",), (None,)], "path string")
+    got, warned = graph.closure(one, chain, max_depth=3)
+    assert [r[1:] for r in rows(got)] == [(f"f{i:02d}", i) for i in range(4)] and rows(warned) == [("f00", "f03", "too deep", "f04")]
+    got, warned = graph.closure(one, chain, max_files=4)
+    assert got.count() == 4 and rows(warned) == [("f00", "f00", "too many files", "10")]
+    got, warned = graph.closure(one.limit(0), chain)
+    assert got.count() == warned.count() == 0
+
+
+def test_planned(spark):
+    doc = r"\begin{document}\input{part}\end{document}"
+    f = spark.createDataFrame([("main.tex", doc), ("zeta.tex", doc), ("part.tex", "p"), ("alone.tex", "q"), ("read.md", "m"), ("read.md", "m"), (None, "x"), ("empty.tex", None)], "path string, text string")
+    plan, warned = graph.planned(f)
+    assert rows(plan.select("path", "fragment", "root", "depth")) == [("alone.tex", False, "alone.tex", 0), ("empty.tex", False, "empty.tex", 0), ("main.tex", False, "main.tex", 0), ("part.tex", True, "main.tex", 1), ("read.md", False, "read.md", 0), ("zeta.tex", False, "zeta.tex", 0)]
+    assert {(r.path, r.problem) for r in warned.collect()} == {("alone.tex", "bare fragment"), ("empty.tex", "bare fragment")}
+    plan, warned = graph.planned(f, follow=False, whole_fragments=True)
+    assert {r.path for r in plan.where("fragment").collect()} == {"part.tex", "alone.tex", "empty.tex"} and warned.count() == 0
+    assert graph.planned(f.limit(0))[0].count() == 0
 
 
 def test_reports(spark):
@@ -184,13 +205,18 @@ def test_files(spark, tmp_path):
     (tmp_path / "in/a.md").write_bytes(b"one\r\ntwo")
     (tmp_path / "in/sub/b.tex").write_text("x")
     (tmp_path / "in/c.png").write_text("x")
+    (tmp_path / "in/sub/bad.md").write_bytes(b"caf\xe9 \xff!")
     d = files.read_documents(spark, str(tmp_path / "in"))
-    assert rows(d.select("relative", "fmt", "text")) == [("a.md", "markdown", "one\r\ntwo"), ("sub/b.tex", "latex", "x")]
+    assert rows(d.select("doc_id", "fmt", "text", "fragment")) == [("a.md", "markdown", "one\r\ntwo", False), ("sub/b.tex", "latex", "x", True), ("sub/bad.md", "markdown", "caf\ufffd \ufffd!", False)]
+    assert [r.relative for r in files.read_documents(spark, str(tmp_path / "in"), str(tmp_path / "in/sub")).select("relative").distinct().orderBy("relative").collect()] == ["a.md", "sub/b.tex", "sub/bad.md"]
     files.write_documents(d, str(tmp_path / "out"))
     assert (tmp_path / "out/a.md").read_bytes() == b"one\r\ntwo"
     (tmp_path / "out/a.md.report.json").write_text(json.dumps({"path": "a.md", "segments": [{"original": "a", "final": "b", "translated": True}, {"original": "a", "final": "a", "translated": True}]}))
     r = files.read_reports(spark, str(tmp_path / "out"))
     assert rows(files.changed_pairs(r)) == [("a", "b")]
+    (tmp_path / "out/b.tex.report.json").write_text(json.dumps({"path": "b.tex", "segments_total": 3, "segments_fallback": 1, "interrupted": True}))
+    assert rows(files.report_totals(files.read_reports(spark, str(tmp_path / "out")))) == [(2, 3, 0, 1, 0, 1)]
+    assert rows(files.report_totals(files.read_reports(spark, str(tmp_path / "out/b.tex.report.json")))) == [(1, 3, 0, 1, 0, 1)]
     (tmp_path / "g.txt").write_text("# head\nKV cache  # why\n\nfoo\n")
     assert [x.term for x in files.read_glossary(spark, str(tmp_path / "g.txt")).collect()] == ["KV cache", "foo"]
     a = spark.createDataFrame([("refs.bib",), (".git/x",), ("a.aux",), ("main.tex",), ("figures/p.pdf",), ("done.sty",)], "relative string")
@@ -210,6 +236,79 @@ def test_frontmatter_and_settings(tmp_path):
         files.load_settings(str(tmp_path / "bad.toml"))
 
 
+def test_personas_and_glossaries(spark, tmp_path):
+    (tmp_path / "dry.md").write_text('---\nname: Dry\nforbid:\n  "—": ","\nbanned_openers:\n  - However,\n---\nBe <|x|>plain.\n')
+    (tmp_path / "README.md").write_text("x")
+    (tmp_path / "long.md").write_text("x" * 70_000)
+    p = files.find_persona(spark, "dry", str(tmp_path))
+    assert p == files.Persona("Dry", "Be plain.", "", (("—", ","),), ("However,",)) and p.rules() == {"forbid": [("—", ",")], "openers": ["However,"]}
+    for none in (None, "", "off", "Neutral"):
+        assert files.find_persona(spark, none, str(tmp_path)) == files.Persona()
+    assert files.find_persona(spark, "gone", str(tmp_path), required=False) == files.Persona() == files.find_persona(spark, None, str(tmp_path), default="gone")
+    for name, error in (("gone", FileNotFoundError), ("../dry", ValueError), ("long", ValueError)):
+        with pytest.raises(error):
+            files.find_persona(spark, name, str(tmp_path))
+    assert files.find_glossary(folder=str(tmp_path)) is None
+    (tmp_path / "glossary.txt").write_text("a # b\n")
+    assert files.find_glossary(folder=str(tmp_path)) == str(tmp_path / "glossary.txt") == files.find_glossary(str(tmp_path / "glossary.txt"))
+    with pytest.raises(FileNotFoundError):
+        files.find_glossary(str(tmp_path / "no.txt"))
+
+
+def test_project_from_folder_to_folder(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    (src / "sections").mkdir(parents=True)
+    line = "The first sentence of this section has — surely — enough words in it"
+    (src / "main.tex").write_text(f"\\documentclass{{x}}\n\\begin{{document}}\n{line}.\n\\input{{sections/a}}\\input{{gone}}\n\\end{{document}}\n")
+    (src / "sections/a.tex").write_text(f"{line} too.\n")
+    (src / "bare.tex").write_text(f"{line} as well.\n")
+    (src / "refs.bib").write_bytes(b"@x\xff")
+    (src / "note.md").write_bytes(f"{line}.\r\n\r\n<!-- tidewright: off -->\n{line} frozen.\n".encode())
+    got = project.translate_folder(spark, str(src), str(out), ["fr"], persona=files.Persona("p", forbid=(("—", ","),)), rounds=2)
+    assert {(r.path, r.problem) for r in got.warnings.collect()} == {("main.tex", "missing include"), ("bare.tex", "bare fragment")} and got.assets == ["refs.bib"]
+    assert (out / "refs.bib").read_bytes() == b"@x\xff" and (out / "bare.tex").read_text() == (src / "bare.tex").read_text()
+    main = (out / "main.tex").read_text()
+    assert main.startswith("\\documentclass{x}\n\\begin{document}\nsentence of this section has, surely, enough words in it. The first\n\\input") or "—" not in main
+    assert "—" not in (out / "sections/a.tex").read_text() and (out / "sections/a.tex").read_text() != (src / "sections/a.tex").read_text()
+    assert (out / "note.md").read_bytes().endswith(f"<!-- tidewright: off -->\n{line} frozen.\n".encode())
+    r = {x.path: x for x in files.read_reports(spark, str(out)).collect()}
+    assert set(r) == {"main.tex", "sections/a.tex", "bare.tex", "note.md"} and r["sections/a.tex"].segments_translated == 1 and r["bare.tex"].segments_total == 0
+    # stopped after the first of many rounds: what is done is there and says so
+    n = iter([False] + [True] * 99)
+    seen = []
+    part = project.translate_folder(spark, str(src), str(tmp_path / "part"), ["fr"], rounds=8, should_stop=lambda: next(n), on_round=lambda x: seen.append(x.count()), limit=1)
+    assert part.interrupted and part.assets == [] and len(seen) == 1
+    empty = tmp_path / "none"
+    empty.mkdir()
+    (empty / "x.png").write_text("x")
+    assert project.translate_folder(spark, str(empty), str(tmp_path / "e"), ["fr"]).results.count() == 0
+
+
+def test_backends(spark):
+    assert {"mock", "client"} <= set(backends.available())
+    with pytest.raises(KeyError, match="mock"):
+        backends.get("unknown")
+    d = spark.createDataFrame([("a [[0]] b c",)], "t string")
+    assert d.select(backends.get("mock")(F.col("t")), backends.get("mock", lose_marks=True)(F.col("t"))).first()[:] == ("b [[0]] c a", "b c a")
+    docs = spark.createDataFrame([(1, PROSE, "a.md", False), (2, "# Short\n", "b.md", False)], DOC)
+    m = session.cut(translate.masked_segments(docs))
+    ask = backends.get("client", connect=lambda: lambda system, text, temperature: text if "into English" in system and temperature == 0.0 else text)
+    done, fresh = translate.hops_through_cache(m, ["de"], ask, spark.createDataFrame([], "key string, value string"), "mock", guidance="Be plain.")
+    assert sorted(r.reason for r in done.collect()) == ["", "", "under 7 words, nothing to round-trip"] and fresh.count() == 4
+
+
+def test_subset_and_judge(spark):
+    s = spark.range(6).selectExpr("id % 2 as doc_id", "cast(id div 2 as int) as seg_id")
+    assert rows(spans.subset(s, [0, 2, 2])) == [(0, 0), (0, 2), (1, 0), (1, 2)]
+    assert rows(spans.subset(s, spark.createDataFrame([(1, 1)], "doc_id bigint, seg_id int"))) == [(1, 1)] and spans.subset(s, []).count() == 0
+    p = spark.createDataFrame([(1, "long text", "b"), (2, "longer text", "c"), (3, "same", "same"), (4, "x", None), (5, "tiny", "d")], "result_id int, original string, final string")
+    said, tally = report.judged(p, lambda d: d.withColumn("reply", F.when(F.col("result_id") == 1, "I say weaker.").otherwise("hm")), limit=2)
+    assert rows(said) == [(1, "WEAKER"), (2, "UNCLEAR")] and dict(rows(tally)) == {"SAME": 0, "WEAKER": 1, "CHANGED": 0, "UNCLEAR": 1}
+    a = spark.createDataFrame([("a", r"\x{1} 2"), ("b", "t"), ("c", None)], "relative string, text string")
+    b = spark.createDataFrame([("a", r"\y{1} 2 3"), ("d", "t")], "relative string, text string")
+    assert rows(report.compared_files(a, b)) == [("a", "macros", True, 1, 1), ("a", "numbers", False, 0, 1), ("b", "missing", True, 1, 0), ("d", "missing", True, 0, 1)]
+
+
 def test_streams(spark, tmp_path):
     d = spark.createDataFrame([(1, PROSE, "a.md", False)], DOC)
     d.write.parquet(str(tmp_path / "in"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -48,19 +46,61 @@ def resolve(edges: DataFrame, files: DataFrame, root_folder: str = "") -> DataFr
     return hit.groupBy("src", "ordinal", "name").agg(F.min_by(F.when(F.col("_hit"), F.col("_c")), F.when(F.col("_hit"), F.col("rank"))).alias("dst"))
 
 
-def closure(roots: DataFrame, edges: DataFrame, max_depth: int = P.MAX_INCLUDE_DEPTH) -> DataFrame:
-    """(root, path, depth) of all files that a root reaches, with the least depth; cycles end.
+REACHED = "root string, path string, depth int"
+WARNING = "root string, path string, problem string, detail string"
+
 
-    One round per level over the frontier of all roots at once: the new files are what the edges lead to less what is
-    known. Each round's frontier is cut from its lineage in the shared folder."""
-    known = cut(roots.select(F.col("path").alias("root"), "path", F.lit(0).alias("depth")).distinct())
+def closure(roots: DataFrame, edges: DataFrame, max_depth: int = P.MAX_INCLUDE_DEPTH, max_files: int = P.MAX_INCLUDE_FILES) -> tuple[DataFrame, DataFrame]:
+    """((root, path, depth), warnings): all files that each root reaches, with the least depth; cycles end.
+
+    One round per level over the frontier of all roots at once: new files are what the edges lead to less what is known. Frontier
+    and known files are cut from their lineage in the shared folder. A root keeps its first ``max_files`` files by depth and path.
+    Warnings (root, path, problem, detail), one a row: an include that no file answers, files deeper than ``max_depth`` (the path is
+    the file whose includes were not followed), a root with more files than it keeps."""
+    known = cut(roots.where("path is not null").select(F.col("path").alias("root"), "path", F.lit(0).alias("depth")).distinct())
     e = edges.where("dst is not null").select("src", "dst").distinct()
-    frontier, parts = known, [known]
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(e, frontier["path"] == e["src"]).select("root", F.col("dst").alias("path"), F.lit(depth).alias("depth")).distinct()
-        seen = reduce(DataFrame.unionByName, parts)
-        frontier = cut(step.join(seen.select("root", "path"), ["root", "path"], "left_anti").select("root", "path", "depth"))
+    frontier, depth = known, 0
+    deeper = None
+    while True:
+        step = frontier.join(e, frontier["path"] == e["src"]).select("root", F.col("src"), F.col("dst").alias("path"))
+        new = step.join(known.select("root", "path"), ["root", "path"], "left_anti")
+        depth += 1
+        if depth > max_depth:
+            deeper = new.select("root", F.col("src").alias("path"), F.lit("too deep").alias("problem"), F.col("path").alias("detail")).distinct()
+            break
+        frontier = cut(new.select("root", "path", F.lit(depth).alias("depth")).distinct())
         if frontier.isEmpty():
             break
-        parts.append(frontier)
-    return reduce(DataFrame.unionByName, parts)
+        known = cut(known.unionByName(frontier))
+    w = Window.partitionBy("root").orderBy("depth", "path")
+    ranked = known.withColumn("_k", F.row_number().over(w))
+    kept = ranked.where(F.col("_k") <= max_files).drop("_k")
+    many = ranked.groupBy("root").agg(F.max("_k").alias("_n")).where(F.col("_n") > max_files)
+    warnings = kept.join(edges.where("dst is null").select(F.col("src").alias("path"), "name"), "path").select("root", "path", F.lit("missing include").alias("problem"), F.col("name").alias("detail")).distinct()
+    warnings = warnings.unionByName(many.select("root", F.col("root").alias("path"), F.lit("too many files").alias("problem"), F.col("_n").cast("string").alias("detail")))
+    return kept, warnings.unionByName(deeper) if deeper is not None else warnings
+
+
+def planned(files: DataFrame, follow: bool = True, whole_fragments: bool = False, max_depth: int = P.MAX_INCLUDE_DEPTH, max_files: int = P.MAX_INCLUDE_FILES) -> tuple[DataFrame, DataFrame]:
+    """((path, text, fragment, root, depth), warnings) of the files (path, text) to work on, each once.
+
+    Standalone LaTeX files and files of other formats are roots. Files that a root includes are fragments of the first root, by path,
+    that reaches them. A LaTeX file without a document that no root includes is warned of ("bare fragment") and, unless
+    ``whole_fragments``, has no prose. Without ``follow`` every file is a root of its own."""
+    once = files.where("path is not null").groupBy("path").agg(F.max("text").alias("text"))
+    tex = F.lower("path").rlike(r"\.(tex|latex)$")
+    alone = ~tex | F.coalesce(T.is_standalone(F.col("text")), F.lit(False))
+    marked = once.withColumn("_root", alone)
+    reached, warnings = None, None
+    if follow:
+        edges = cut(resolve(include_edges(once), once))
+        reached, warnings = closure(marked.where("_root").select("path"), edges, max_depth, max_files)
+        owner = reached.where("depth > 0").groupBy("path").agg(F.min(F.struct("root", "depth")).alias("_o"))
+    else:
+        owner = marked.limit(0).select("path", F.lit(None).cast("struct<root:string,depth:int>").alias("_o"))
+    plan = marked.join(owner, "path", "left")
+    bare = ~F.col("_root") & F.col("_o").isNull()
+    fragment = ~F.col("_root") & (F.col("_o").isNotNull() | F.lit(whole_fragments))
+    out = plan.select("path", "text", fragment.alias("fragment"), F.when(F.col("_root"), F.col("path")).otherwise(F.coalesce("_o.root", "path")).alias("root"), F.when(F.col("_root"), 0).otherwise(F.coalesce("_o.depth", F.lit(0))).alias("depth"))
+    alone_ = plan.where(bare & ~F.lit(whole_fragments)).select(F.col("path").alias("root"), "path", F.lit("bare fragment").alias("problem"), F.lit(None).cast("string").alias("detail"))
+    return out, alone_ if warnings is None else warnings.unionByName(alone_)

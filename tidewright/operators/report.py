@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..session import cut
 
 
 def latest(rows: DataFrame, key: str) -> DataFrame:
@@ -64,17 +65,24 @@ def overlaps(results: DataFrame) -> DataFrame:
 
 
 def overlap_statistics(sims: DataFrame) -> DataFrame:
-    """One row: number, mean, upper median and least of the similarities.
-
-    The median is the value at place n div 2 of the order; it is found from counts per distinct value, which are as many
-    as there are ratios of small whole numbers, so no list of all similarities is ever gathered."""
-    c = sims.groupBy("similarity").agg(F.count("*").alias("n"))
-    agg = F.array_sort(F.collect_list(F.struct("similarity", "n")))
-    one = c.agg(agg.alias("a"), F.sum("n").alias("n"), F.sum(F.col("similarity") * F.col("n")).alias("s"))
-    walk = F.aggregate("a", F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("at")), lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["at"].isNull() & (acc["seen"] + x["n"] > F.floor(F.col("n") / 2)), x["similarity"]).otherwise(acc["at"]).alias("at")))
-    return one.select(F.col("n").alias("changed"), (F.col("s") / F.col("n")).alias("mean"), walk["at"].alias("median"), F.expr("a[0].similarity").alias("least"))
-
-
+    """One row: number, mean, upper median and least of the similarities; null without any.
+
+    Similarities are first counted by value. The median is the value at place n div 2 of the order: the counts of values in
+    BINS equal stretches say in which it lies, and only the values of that stretch are put in order."""
+    c = sims.groupBy("similarity").agg(F.count("*").alias("n")).withColumn("_bin", F.floor(F.col("similarity") * BINS))
+    bins = c.groupBy("_bin").agg(F.sum("n").alias("_m"), F.sum(F.col("similarity") * F.col("n")).alias("_s"), F.min("similarity").alias("_least"))
+    all_ = Window.partitionBy()  # of at most BINS + 1 rows
+    half = F.floor(F.sum("_m").over(all_) / 2)
+    run = bins.withColumn("_to", F.sum("_m").over(all_.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_skip", half - F.col("_to") + F.col("_m"))
+    # the stretch in which the median lies, and how many similarities of it come before the median
+    at = run.where((F.col("_skip") >= 0) & (F.col("_skip") < F.col("_m"))).select("_bin", "_skip")
+    inside = c.join(F.broadcast(at), "_bin").withColumn("_upto", F.sum("n").over(Window.partitionBy("_bin").orderBy("similarity").rowsBetween(Window.unboundedPreceding, 0)))
+    median = inside.where("_upto > _skip").agg(F.min("similarity"))
+    return bins.agg(F.sum("_m").alias("changed"), (F.sum("_s") / F.sum("_m")).alias("mean"), F.min("_least").alias("least")).select("changed", "mean", median.scalar().alias("median"), "least")
+
+
+#: Stretches of the similarities from 0 to 1 in which the median is looked for.
+BINS = 10_000
 BUCKETS = [(0.9, 1.01, "0.90+"), (0.8, 0.9, "0.80-0.90"), (0.7, 0.8, "0.70-0.80"), (0.6, 0.7, "0.60-0.70"), (0.0, 0.6, "below 0.60")]
 
 
@@ -101,11 +109,23 @@ STRUCTURE = {
 }
 
 
+def compared_files(originals: DataFrame, others: DataFrame, key: str = "relative", text: str = "text") -> DataFrame:
+    """(key, check, fatal, lost, gained) of every difference in structure between files of the same key; a file that has no
+    counterpart is a fatal difference of the check "missing", lost or gained by 1. A null text counts as missing."""
+    a = originals.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_a"))
+    b = others.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_b"))
+    both = a.join(b, key, "full")
+    alone = both.where("_a is null or _b is null").select(key, F.lit("missing").alias("check"), F.lit(True).alias("fatal"), F.col("_b").isNull().cast("int").alias("lost"), F.col("_a").isNull().cast("int").alias("gained"))
+    return structure(both, key, "_a", "_b").unionByName(alone)
+
+
 def structure(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, check, fatal, lost, gained) of every structural check in which two texts differ.
 
     Each check compares two multisets inside the row: no token is shuffled. Rows with a null side are left out."""
-    made = [F.struct(F.lit(n).alias("check"), F.lit(fatal).alias("fatal"), F.size(T.multiset_minus(x, y)).alias("lost"), F.size(T.multiset_minus(y, x)).alias("gained")) for n, (f, fatal) in STRUCTURE.items() for x, y in ((f(F.col(a)), f(F.col(b))),)]
+    count = lambda d, sign: F.aggregate(d, F.lit(0), lambda acc, r: acc + F.greatest(sign * r["n"], F.lit(0)))
+    row = lambda n, fatal: lambda d: F.struct(F.lit(n).alias("check"), F.lit(fatal).alias("fatal"), count(d, 1).alias("lost"), count(d, -1).alias("gained"))
+    made = [T.let(T.multiset_delta(F.array_sort(f(F.col(a))), F.array_sort(f(F.col(b)))), row(n, fatal)) for n, (f, fatal) in STRUCTURE.items()]
     rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, F.filter(F.array(*made), lambda x: (x["lost"] > 0) | (x["gained"] > 0)).alias("_d"))
     return once(rows.where("size(_d) > 0"), key).select(key, F.inline("_d"))
 
@@ -140,6 +160,21 @@ def verdict_word(reply: Column) -> Column:
     return F.coalesce(F.nullif(F.upper(F.regexp_extract(reply, r"(?i)\b(SAME|WEAKER|CHANGED)\b", 1)), F.lit("")), F.lit("UNCLEAR"))
 
 
+def judged(pairs: DataFrame, ask, limit: int = 25, key: str = "result_id") -> tuple[DataFrame, DataFrame]:
+    """((key, verdict), (verdict, n)): what a judge says of the changed pairs (key, original, final) with the longest originals, and
+    how often each verdict was given, those of no known word as UNCLEAR; a verdict never given has 0.
+
+    ``ask`` gets the chosen pairs and gives them with a column ``reply``; it is asked once and its replies are kept. Ties by key."""
+    chosen = pairs.where("final <> original").orderBy(F.desc(F.length("original")), key).limit(limit)
+    said = cut(ask(chosen).select(key, verdict_word(F.col("reply")).alias("verdict")))
+    counts = said.agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])
+    return said, counts.select(F.inline(F.array(*[F.struct(F.lit(v).alias("verdict"), F.col(v).alias("n")) for v in VERDICTS])))
+
+
+# What a judge may say.
+VERDICTS = ("SAME", "WEAKER", "CHANGED", "UNCLEAR")
+
+
 def running_eta(results: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Each result with the seconds that its group's rest will take at the pace so far.
 

@@ -5,19 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.base import format_of
+from ..functions import text as T
+from ..sources.base import format_of, marker_pattern
 
 
-def line_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line_no, start, line) of every line; lines end at line feeds only. A null text has no line, an empty one a single empty line.
+def running_starts(sizes: Column) -> Column:
+    """For each of an array's sizes the sum of those before it. Sums run over blocks of about the root of their number, so that no
+    array is copied once for each element of a long one."""
+    zero = F.lit(0).cast("bigint")
+    sums = lambda values, first: F.aggregate(values, F.array(first), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+    total = lambda values: F.aggregate(values, zero, lambda acc, x: acc + x)
 
-    Offsets come from a fold over the text's own lines, so there is no shuffle and no window."""
-    lines = F.split(text_col, "\n", -1)
-    zero = F.array().cast("array<int>")
-    # running starts: the last start plus the length of the line and its line feed
-    starts = F.aggregate(lines, zero, lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x) + 1))
-    at = F.concat(F.array(F.lit(0)), F.slice(starts, F.lit(1), F.greatest(F.size(starts) - 1, F.lit(0))))
-    return docs.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.arrays_zip(at.alias("start"), lines.alias("line"))).alias("line_no", "x")).select(id_col, "line_no", "x.start", "x.line")
+    def blocks(z: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(z))).cast("int")
+
+        def parts(w: Column) -> Column:
+            cut = F.transform(F.sequence(F.lit(1), F.size(z), w), lambda i: F.slice(z, i, w))
+            return T.let(cut, lambda p: T.let(sums(F.transform(p, total), zero), lambda at: F.flatten(F.transform(p, lambda x, i: F.slice(sums(x, F.element_at(at, i + 1)), F.lit(1), F.size(x))))))
+
+        return F.when(F.size(z) > 0, T.let(F.greatest(width, F.lit(1)), parts)).otherwise(F.array().cast("array<bigint>"))
+
+    return T.let(F.transform(sizes, lambda x: x.cast("bigint")), blocks)
+
+
+def line_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(id, kept columns, line_no, start, line) of every line; lines end at line feeds only. A null text has no line, an empty one a
+    single empty line.
+
+    Offsets come from the text's own lines, so there is no shuffle and no window."""
+    keep = keep or []
+    made = T.let(F.split(text_col, "\n", -1), lambda lines: F.arrays_zip(running_starts(F.transform(lines, lambda x: F.length(x) + 1)).alias("start"), lines.alias("line")))
+    return docs.where(F.col(text_col).isNotNull()).select(id_col, *keep, F.posexplode(made).alias("line_no", "x")).select(id_col, *keep, "line_no", "x.start", "x.line")
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,11 +44,6 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, F.posexplode(parts).alias("para_no", "text"))
 
 
-def marker_pattern(fmt: str, word: str) -> str:
-    """Pattern of the comment lines that switch regions off and on: ``word: off`` or ``word: on``."""
-    return rf"(?im)^[ \t]*%+[ \t]*{word}:[ \t]*(off|on)\b.*$" if fmt == "latex" else rf"(?im)^[ \t]*<!--[ \t]*{word}:[ \t]*(off|on)[ \t]*-->[ \t]*$"
-
-
 def disabled_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", word: str = "tidewright") -> DataFrame:
     """(id, lo, hi) of regions switched off: the first ``off`` opens, the next ``on`` closes, an open one runs to the end.
 
@@ -38,7 +51,7 @@ def disabled_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fmt = format_of(F.col(path_col))
     d = docs.select(id_col, F.col(text_col).alias("_t"), fmt.alias("_f")).where(F.col("_f").isNotNull() & F.lower("_t").contains(f"{word.lower()}:"))
     state = F.lower(F.when(F.col("_f") == "latex", F.regexp_extract("line", marker_pattern("latex", word), 1)).otherwise(F.regexp_extract("line", marker_pattern("markdown", word), 1)))
-    marks = line_offsets(d, id_col, "_t").join(d.select(id_col, "_f", F.length("_t").alias("_n")), id_col).withColumn("state", state).where("state <> ''")
+    marks = line_offsets(d.withColumn("_n", F.length("_t")), id_col, "_t", ["_f", "_n"]).withColumn("state", state).where("state <> ''")
     w = Window.partitionBy(id_col).orderBy("start")
     turns = marks.withColumn("_was", F.lag("state", 1, "on").over(w)).where("state <> _was")
     pairs = turns.withColumn("_next", F.lead(F.col("start") + F.length("line")).over(w))
@@ -72,6 +85,13 @@ def complement(spans: DataFrame, lengths: DataFrame, id_col: str = "doc_id") ->
     return gaps.where("start > _from").select(id_col, F.col("_from").alias("start"), F.col("start").alias("end"))
 
 
+def unquoted(spans: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", quoted: str = "original") -> DataFrame:
+    """Spans (id, start, end, quoted) that do not quote their document; a null quotation is none, an unknown document is quoted by nothing."""
+    j = spans.where(F.col(quoted).isNotNull()).join(docs.select(id_col, F.col(text_col).alias("_t")), id_col, "left")
+    own = F.substring(F.col("_t"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    return j.where(F.col("_t").isNull() | (own != F.col(quoted))).select(id_col, "start", "end")
+
+
 def violations(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, start, end, problem) of spans that overlap the one before or are inverted."""
     w = Window.partitionBy(id_col).orderBy("start", "end")
@@ -85,23 +105,31 @@ def contained(spans: DataFrame, outer: DataFrame, id_col: str = "doc_id") -> Dat
     return s.join(o, (F.col(f"s.{id_col}") == F.col(f"o.{id_col}")) & (F.col("o.start") >= F.col("s.start")) & (F.col("o.end") <= F.col("s.end")), "left_semi")
 
 
+def subset(segments: DataFrame, ordinals: list[int] | DataFrame, ordinal_col: str = "seg_id") -> DataFrame:
+    """Segments of the given ordinals: a list, or rows (ordinal_col and any keys they share with the segments)."""
+    if isinstance(ordinals, DataFrame):
+        return segments.join(ordinals, [c for c in ordinals.columns if c in segments.columns], "left_semi")
+    return segments.where(F.col(ordinal_col).isin(sorted(set(ordinals))))
+
+
 def splice(docs: DataFrame, replacements: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) of the documents with their spans replaced: (id, start, end, new). A null replacement keeps the original.
 
-    A document's replacements meet its text in one row, as an array sorted by start, and a fold copies what lies between. Repeated
+    A document's replacements meet its text in one row, as an array sorted by start; each takes what lies before it along. Repeated
     spans count once. Documents without replacements stay; the text crosses the network once, in a join on the document."""
     per = replacements.groupBy(id_col, "start", "end").agg(F.max("new").alias("new")).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("_r"))
     d = docs.select(id_col, F.col(text_col).alias("_t")).join(per, id_col, "left")
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("at"))
+    at = lambda k: F.coalesce(F.try_element_at(F.col("_r"), k)["end"], F.lit(0))
 
-    def step(acc, r):
-        gap = F.substring(F.col("_t"), (acc["at"] + 1).cast("int"), (r["start"] - acc["at"]).cast("int"))
+    def piece(r, i):
+        # what stands between the span before and this one, then what takes this one's place
+        from_ = F.when(i == 0, F.lit(0)).otherwise(at(F.greatest(i, F.lit(1))))
+        gap = F.substring(F.col("_t"), (from_ + 1).cast("int"), (r["start"] - from_).cast("int"))
         own = F.substring(F.col("_t"), (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))
-        return F.struct(F.concat(acc["parts"], F.array(gap, F.coalesce(r["new"], own))).alias("parts"), r["end"].cast("bigint").alias("at"))
+        return F.concat(gap, F.coalesce(r["new"], own))
 
-    folded = F.aggregate(F.coalesce("_r", F.array().cast(per.schema["_r"].dataType)), start, step)
-    tail = F.substring(F.col("_t"), (folded["at"] + 1).cast("int"), F.length("_t"))
-    return d.select(id_col, F.when(F.col("_r").isNull(), F.col("_t")).otherwise(F.concat(F.array_join(folded["parts"], ""), tail)).alias("text"))
+    tail = F.substring(F.col("_t"), (at(F.size("_r")) + 1).cast("int"), F.length("_t"))
+    return d.select(id_col, F.when(F.col("_r").isNull(), F.col("_t")).otherwise(F.concat(F.array_join(F.transform("_r", piece), ""), tail)).alias("text"))
 
 
 def even_sample(rows: DataFrame, group: str, order: list[str], sample: int = 0, limit: int = 0) -> DataFrame:

@@ -74,24 +74,25 @@ def hops_in_jvm(masked: DataFrame, pivots: list[str], call: Callable[[Column], C
     return masked.withColumn("_h", acc).select("*", F.col("_h.cur").alias("_cur"), F.col("_h.hops").alias("hops"), F.col("_h.reason").alias("reason"), F.lit(1).alias("attempts")).drop("_h")
 
 
-def hops_through_cache(masked: DataFrame, pivots: list[str], call: Callable[[DataFrame], DataFrame], cache: DataFrame, model: str, attempts: int = 2) -> tuple[DataFrame, DataFrame]:
-    """As ``hops_in_jvm`` with an external call, which gets (text, src, dst, temperature) and gives ``out``.
+def hops_through_cache(masked: DataFrame, pivots: list[str], call: Callable[[DataFrame], DataFrame], cache: DataFrame, model: str, attempts: int = 2, guidance: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``hops_in_jvm`` with an external call, which gets (text, system, src, dst, temperature) and gives ``out``.
 
     The first attempt is greedy and goes through the cache; what fails a check is called again at 0.3, uncached. Every
     hop's results are cut from their lineage, so a call is made once. Returns the results and the new cache entries."""
     if attempts < 1:
         raise ValueError("at least one attempt is needed")
     langs = ["en", *pivots, "en"]
-    todo, done, entries = masked, None, cache.limit(0).select("key", "value")
+    short = masked.where(~T.long_enough(F.col("masked"))).select("*", F.array().cast("array<string>").alias("hops"), F.lit(TOO_SHORT).alias("reason"), F.col("masked").alias("_cur"), F.lit(1).alias("attempts"))
+    todo, done, entries = masked.where(T.long_enough(F.col("masked"))), None, cache.limit(0).select("key", "value")
     for attempt in range(1, attempts + 1):
         temperature = 0.0 if attempt == 1 else 0.3
         d = todo.withColumn("hops", F.array().cast("array<string>")).withColumn("reason", F.lit("")).withColumn("_cur", F.col("masked"))
         for src, dst in zip(langs, langs[1:]):
             live = F.col("reason") == ""
-            prompt = system_prompt(F.lit(src), F.lit(dst))
+            prompt = system_prompt(F.lit(src), F.lit(dst), guidance)
             key = F.when(live, T.cache_key(F.lit(model), F.lit(src), F.lit(dst), prompt, F.lit(str(temperature)), F.col("_cur")))
             store = cache.unionByName(entries) if attempt == 1 else cache.limit(0)
-            ask = lambda r, src=src, dst=dst: call(r.withColumn("text", F.col("_cur")).withColumn("src", F.lit(src)).withColumn("dst", F.lit(dst)).withColumn("temperature", F.lit(temperature))).withColumnRenamed("out", "_out")
+            ask = lambda r, src=src, dst=dst, prompt=prompt: call(r.withColumn("text", F.col("_cur")).withColumn("system", prompt).withColumn("src", F.lit(src)).withColumn("dst", F.lit(dst)).withColumn("temperature", F.lit(temperature))).withColumnRenamed("out", "_out")
             d, fresh = through_cache(d, key, store, ask, "_out")
             if attempt == 1:
                 entries = entries.unionByName(fresh)
@@ -103,7 +104,7 @@ def hops_through_cache(masked: DataFrame, pivots: list[str], call: Callable[[Dat
         ok = d.where("reason = ''") if attempt < attempts else d
         done = ok if done is None else done.unionByName(ok)
         todo = d.where("reason <> ''").select(*masked.columns)
-    return done, entries
+    return done.unionByName(short.select(*done.columns)), entries
 
 
 def finish(hopped: DataFrame, forbid: list[tuple[str, str]] | None = None, openers: list[str] | None = None, wrap: bool = True, id_col: str = "doc_id") -> DataFrame:
@@ -122,9 +123,15 @@ def finish(hopped: DataFrame, forbid: list[tuple[str, str]] | None = None, opene
 TOO_SHORT = f"under {T.P.MIN_WORDS} words, nothing to round-trip"
 
 
-def round_trip(docs: DataFrame, pivots: list[str], call: Callable[[Column], Column] = T.rotate_words, terms: list[str] | None = None, id_col: str = "doc_id", **rules) -> DataFrame:
-    """Results of all segments; one too short to translate keeps its text and says why. One branch: every document is parsed once."""
-    return finish(hops_in_jvm(masked_segments(docs, terms, id_col), pivots, call), id_col=id_col, **rules)
+#: Word of the comments that switch regions off and on.
+REGIONS = "tidewright"
+
+
+def round_trip(docs: DataFrame, pivots: list[str], call: Callable[[Column], Column] = T.rotate_words, terms: list[str] | None = None, id_col: str = "doc_id", regions: str | None = REGIONS, **rules) -> DataFrame:
+    """Results of all segments outside the regions switched off; one too short to translate keeps its text and says why.
+
+    One branch: every document is parsed once."""
+    return finish(hops_in_jvm(masked_segments(docs, terms, id_col, drop_disabled=regions), pivots, call), id_col=id_col, **rules)
 
 
 def rendered(docs: DataFrame, results: DataFrame, id_col: str = "doc_id") -> DataFrame:

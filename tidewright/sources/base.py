@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -40,6 +41,20 @@ def format_of(path: Column, strict: bool = False) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("no format handles "), ext))) if strict else out
 
 
+def marker_pattern(fmt: str, word: str) -> str:
+    """Pattern of the comment lines that switch regions off and on: ``word: off`` or ``word: on``."""
+    return rf"(?im)^[ \t]*%+[ \t]*{word}:[ \t]*(off|on)\b.*$" if fmt == "latex" else rf"(?im)^[ \t]*<!--[ \t]*{word}:[ \t]*(off|on)[ \t]*-->[ \t]*$"
+
+
+def switched_off(text: str, fmt: str, word: str) -> list[tuple[int, int]]:
+    """Regions of a text that are switched off: the first ``off`` opens one, the next ``on`` closes it, an open one runs to the end."""
+    if f"{word.lower()}:" not in text.lower():
+        return []
+    marks = [(m.start(), m.end(), m.group(1).lower()) for m in re.finditer(marker_pattern(fmt, word), text)]
+    turns = [m for m, before in zip(marks, ["on", *(x[2] for x in marks)]) if m[2] != before]
+    return [(lo, end) for (lo, _, state), end in zip(turns, [*(x[1] for x in turns[1:]), len(text)]) if state == "off"]
+
+
 SEGMENT = "seg_id int, start int, end int, text string, block string, heading boolean, indent string"
 
 
@@ -69,7 +84,9 @@ def segments(
             rows: list[tuple] = []
             for i, (text, fmt, fragment) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))):
                 if text and fmt in fmts:
-                    for n, s in enumerate(fmts[fmt](text, bool(fragment))):
+                    found = fmts[fmt](text, bool(fragment))
+                    off = switched_off(text, fmt, drop_disabled) if drop_disabled else []
+                    for n, s in enumerate(x for x in found if not any(lo <= x.start and x.end <= hi for lo, hi in off)):
                         part = text[s.start : s.end]
                         rows.append((i, n, s.start, s.end, part, s.block, s.heading, s.indent, *([fmt] * with_format), *(make(fmt, s, part, memo) if make else ())))
             if rows:
@@ -78,9 +95,4 @@ def segments(
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, *(n for n, _ in more)])
 
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), format_of(F.col(path_col)).alias("_fmt"), F.col(fragment_col).cast("boolean").alias("_fragment"))
-    out = spread(rows).mapInArrow(run, schema)
-    if drop_disabled is not None:
-        from ..operators.spans import disabled_spans, drop_inside
-
-        out = drop_inside(out, disabled_spans(docs, id_col, text_col, path_col, drop_disabled), id_col)
-    return out
+    return spread(rows).mapInArrow(run, schema)
