@@ -67,7 +67,7 @@ def test_mask_restores(text):
 def test_mask_labels_and_collisions(spark):
     m, mapping, groups = masking.mask(r"see \href{https://example.com/x}{example} and \emph{e} [[0]]", masking.rules_for("latex"))
     assert m == "see [[1]]example[[2]] and [[3]]e[[4]] [[0]]" and groups == [("[[1]]", "[[2]]"), ("[[3]]", "[[4]]")]
-    d = spark.createDataFrame([("a `b` [[0]]",), (None,), ("",)], "t string").withColumn("m", masking.masker("markdown", ["KV cache"])("t"))
+    d = spark.createDataFrame([("a `b` [[0]]",), (None,), ("",)], "t string").withColumn("m", masking.masker(["KV cache"])("t", F.lit("markdown")))
     assert [r.v for r in d.select(masking.unmask(F.col("m.text"), F.col("m.mapping")).alias("v")).collect()] == ["a `b` [[0]]", None, ""]
     assert masking.mask("the kv CACHE uncached", masking.rules_for("markdown", ["cache", "KV cache"]))[1] == [("[[0]]", "kv CACHE")]
 
@@ -306,7 +306,7 @@ def test_subset_and_judge(spark):
     assert rows(said) == [(1, "WEAKER"), (2, "UNCLEAR")] and dict(rows(tally)) == {"SAME": 0, "WEAKER": 1, "CHANGED": 0, "UNCLEAR": 1}
     a = spark.createDataFrame([("a", r"\x{1} 2"), ("b", "t"), ("c", None)], "relative string, text string")
     b = spark.createDataFrame([("a", r"\y{1} 2 3"), ("d", "t")], "relative string, text string")
-    assert rows(report.compared_files(a, b)) == [("a", "macros", True, 1, 1), ("a", "numbers", False, 0, 1), ("b", "missing", True, 1, 0), ("d", "missing", True, 0, 1)]
+    assert rows(report.compared_files(a, b)) == [("a", "macros", True, 1, 1), ("a", "numbers", False, 1, 1), ("b", "missing", True, 1, 0), ("d", "missing", True, 0, 1)]
 
 
 def test_streams(spark, tmp_path):

@@ -447,10 +447,9 @@ def rotate_words(text: Column) -> Column:
         simple = F.concat(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), F.slice(words, F.lit(1), F.lit(1)))
         return F.array_join(F.when(F.exists(words, mark), let(F.filter(words, lambda w: ~mark(w)), turned)).otherwise(simple), " ")
 
-    # a placeholder glued to a word is part of the word, one before it stands alone
-    apart = F.regexp_replace(text, rf"(?<![^{P.SPACE}])({P.SENTINEL})(?=[^{P.SPACE}])", "$1 ")
-    split_line = lambda x: F.filter(F.split(x, rf"[{P.SPACE}]+", -1), lambda w: w != "")
-    return F.array_join(F.transform(F.split(apart, "\n", -1), lambda x: let(split_line(x), line)), "\n")
+    # a placeholder at a word's start stands alone, one glued behind a word is part of it
+    words = lambda x: _all(x, rf"{P.SENTINEL}|[^{P.SPACE}]+")
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda x: let(words(x), line)), "\n")
 
 
 def render_prompt(system: Column, user: Column, effort: str = "low", bos: bool = True) -> Column:

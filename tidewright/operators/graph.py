@@ -15,6 +15,20 @@ def include_edges(files: DataFrame, path: str = "path", text: str = "text") -> D
     return files.select(F.col(path).alias("src"), F.posexplode(T.includes(F.col(text))).alias("ordinal", "name"))
 
 
+def roots_first(files: DataFrame, group: str) -> DataFrame:
+    """Files (group, path, text, ...) without their texts, with the ordinal of each in its group: standalone ones first, then by path.
+
+    A group of any size is ordered over all tasks: rows are range-partitioned by group and order, numbered inside their partition, and
+    begin where the partitions before them end. Only counts by partition and group come together in one place."""
+    order = files.select(*[c for c in files.columns if c != "text"], F.when(F.coalesce(T.is_standalone(F.col("text")), F.lit(False)), 0).otherwise(1).alias("_o"))
+    placed = cut(order.repartitionByRange(F.col(group).asc_nulls_first(), "_o", "path").withColumn("_p", F.spark_partition_id()))
+    inside = placed.withColumn("_k", F.row_number().over(Window.partitionBy("_p", group).orderBy("_o", "path")))
+    sizes = placed.groupBy("_p", group).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_p").alias("_q"), F.col(group).alias("_g"), "_before")
+    j = inside.join(before, (F.col("_p") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_g")))
+    return j.withColumn("ordinal", (F.col("_before") + F.col("_k")).cast("int")).drop("_p", "_k", "_o", "_q", "_g", "_before")
+
+
 def _folder(path):
     return F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
 

@@ -108,24 +108,37 @@ def mask(text: str, rules: list[re.Pattern]) -> tuple[str, list[tuple[str, str]]
     return "".join(out), mapping, groups
 
 
-def masker(fmt: str, terms: list[str] | None = None):
-    """Column function: a text's masked form, placeholders and label groups; null for null."""
+def _masker(rules_of):
+    """Column function of a text and, if the rules depend on it, its format: a struct of MASKED; null for null."""
 
     @F.pandas_udf(MASKED)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rules = rules_for(fmt, terms)
+    def run(texts: pd.Series, fmts: pd.Series) -> pd.DataFrame:
+        known: dict = {}
         rows = []
-        for t in texts:
-            if t is None:
+        for t, f in zip(texts, fmts):
+            if f not in known:
+                known[f] = rules_of(f)
+            if t is None or known[f] is None:
                 rows.append((None, None, None))
-            else:
-                m, mapping, groups = mask(t, rules)
-                rows.append((m, [{"key": k, "frag": f} for k, f in mapping], [{"open": a, "close": b} for a, b in groups]))
+                continue
+            m, mapping, groups = mask(t, known[f])
+            rows.append((m, [{"key": k, "frag": x} for k, x in mapping], [{"open": a, "close": b} for a, b in groups]))
         return pd.DataFrame(rows, columns=["text", "mapping", "groups"])
 
     return run
 
 
+def masker(terms: list[str] | None = None):
+    """Column function of a text and its format: the text's masked form, placeholders and label groups; null for null or an unknown format."""
+    return _masker(lambda f: rules_for(f, terms) if f in RULES else None)
+
+
+def masker_of(patterns: list[str]):
+    """Column function: a text masked by the given patterns alone, in their order."""
+    run = _masker(lambda _: [re.compile(p) for p in patterns])
+    return lambda text: run(text, F.lit(""))
+
+
 def unmask(text: Column, mapping: Column) -> Column:
     """The text with its placeholders replaced in one pass: a restored fragment is never searched again.
 

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import graph, masking, mining, report, spans
 from ..operators.cache import through_cache
 from ..session import table
-from ..sources import base
+from ..sources import base, files
 from . import translate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,44 @@ def s_candidates(t: str) -> str:
     return f"(SELECT [t for t in c if len([o for o in c if o <> t AND contains(o, t)]) = 0] FROM (SELECT {c} AS c))"
 
 
+def s_minus(a: str, b: str) -> str:
+    """Elements of list a beyond their count in b, sorted."""
+    return f"(SELECT flatten([[x for j in range(greatest(0, len([y for y in p if y = x]) - len([y for y in q if y = x])))] for x in list_sort(list_distinct(p))]) FROM (SELECT {a} AS p, {b} AS q))"
+
+
+def s_listed(a: str) -> str:
+    return f"('[' || array_to_string([chr(39) || x || chr(39) for x in {a}], ', ') || ']')"
+
+
+def s_differs(a: str, b: str, word: str) -> str:
+    """What check and comparison say of two multisets: what was lost, and gained or invented."""
+    return f"(SELECT array_to_string(list_concat(CASE WHEN len(l) > 0 THEN ['lost ' || {s_listed('l')}] ELSE [] END, CASE WHEN len(g) > 0 THEN ['{word} ' || {s_listed('g')}] ELSE [] END), ', ') FROM (SELECT {s_minus(a, b)} AS l, {s_minus(b, a)} AS g))"
+
+
+def s_macros(t: str) -> str:
+    return f"list_sort({s_all(t, P.MACRO)})"
+
+
+def s_math(t: str) -> str:
+    # an escaped dollar is read as a piece of its own, so that it opens nothing
+    p = r"\\\$|\$[^$]*\$|\\\[(?s:.)*?\\\]"
+    return f"list_sort([x for x in {s_all(t, p)} if x <> '\\$'])"
+
+
+def s_keys(t: str) -> str:
+    return f"list_sort([regexp_extract(x, {q(P.KEYED)}, 1) || '|' || regexp_extract(x, {q(P.KEYED)}, 2) for x in {s_all(t, P.KEYED)}])"
+
+
+def s_structure(a: str, b: str, key: str, rows: str) -> str:
+    """Rows (key, check, fatal, lost, gained) of all structural checks over a table's columns a and b."""
+    checks = [
+        ("macros", "true", s_macros), ("environments", "true", lambda t: f"list_sort({s_all(t, P.ENVIRONMENT, 1)})"), ("escapes", "true", s_escapes), ("math spans", "true", s_math),
+        ("reference keys", "false", s_keys), ("numbers", "false", s_numbers), ("identifiers", "false", s_identifiers),
+    ]
+    one = lambda n, fatal, f: f'SELECT {key}, \'{n}\' AS "check", {fatal} AS fatal, CAST(len({s_minus(f(a), f(b))}) AS INT) AS lost, CAST(len({s_minus(f(b), f(a))}) AS INT) AS gained FROM {rows} WHERE {f(a)} <> {f(b)}'
+    return " UNION ALL ".join(one(*c) for c in checks)
+
+
 def s_high(i: str) -> str:
     return f"coalesce(len([x for x in {i} if x.severity = 'high']), 0)"
 
@@ -141,10 +179,10 @@ scalar("worth_translating", "segment_results", "result_id", T.long_enough, ["ori
 scalar("has_words", "segment_results", "result_id", T.has_words, ["final"], f"regexp_matches(regexp_replace(final, {q(P.SENTINEL)}, '', 'g'), '\\p{{L}}')")
 scalar("changed", "segment_results", "result_id", lambda o, f: f != o, OF, "final <> original")
 scalar("standalone_latex", "documents", "doc_id", T.is_standalone, ["text"], "regexp_matches(regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1', 'g'), '\\\\begin\\s*\\{document\\}')")
-scalar("strip_comments", "documents", "doc_id", lambda t: F.length(T.strip_comments(t)), ["text"], "length(regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1', 'g'))")
+scalar("strip_comments", "documents", "doc_id", T.strip_comments, ["text"], "regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1', 'g')")
 scalar("format_of_path", "documents", "doc_id", base.format_of, ["path"], "CASE WHEN regexp_matches(lower(path), '\\.(md|markdown|mdown)$') THEN 'markdown' WHEN regexp_matches(lower(path), '\\.(tex|latex)$') THEN 'latex' END")
 scalar("control_tokens", "segment_results", "result_id", T.strip_control_tokens, ["final"], f"regexp_replace(final, {q(P.CONTROL_TOKEN)}, '', 'g')")
-scalar("sentinel_ids", "segment_results", "result_id", lambda h: T.sentinels(F.try_element_at(h, F.lit(1))), ["hops"], s_sentinels("hops[1]"))
+scalar("sentinel_ids", "segment_results", "result_id", lambda h: F.transform(h, T.sentinels), ["hops"], f"[{s_sentinels('h')} for h in hops]")
 
 # ---- multisets, counts, checks, comparison
 scalar("number_multiset", "segment_results", "result_id", T.numbers, ["original"], s_numbers("original"))
@@ -153,8 +191,7 @@ scalar("escape_multiset", "documents", "doc_id", T.escapes, ["text"], s_escapes(
 scalar("negation_cues", "segment_results", "result_id", T.negation_count, ["final"], s_cues("final", P.NEGATIONS))
 scalar("hedge_cues", "segment_results", "result_id", T.hedge_count, ["final"], s_cues("final", P.HEDGES))
 scalar("sentence_stops", "segment_results", "result_id", T.sentence_count, ["original"], f"CASE WHEN original IS NOT NULL THEN {s_sentences('original')} END")
-scalar("lost_numbers", "segment_results", "result_id", lambda o, f: F.size(T.multiset_minus(T.numbers(o), T.numbers(f))), OF,
-       f"(SELECT CAST(coalesce(sum(greatest(0, coalesce(a.n, 0) - coalesce(b.n, 0))), 0) AS BIGINT) FROM (SELECT x, count(*) AS n FROM (SELECT unnest({s_numbers('original')}) AS x) GROUP BY x) a LEFT JOIN (SELECT x, count(*) AS n FROM (SELECT unnest({s_numbers('final')}) AS x) GROUP BY x) b USING (x))", BOTH)
+scalar("lost_numbers", "segment_results", "result_id", lambda o, f: T.multiset_minus(T.numbers(o), T.numbers(f)), OF, s_minus(s_numbers("original"), s_numbers("final")), BOTH)
 scalar("content_overlap", "segment_results", "result_id", lambda o, f: F.round(T.jaccard(T.content_words(o), T.content_words(f)), 9), OF, f"round({s_jaccard(s_content('original'), s_content('final'))}, 9)", BOTH)
 scalar("candidate_terms", "segment_results", "result_id", lambda o: F.array_sort(T.candidate_terms(o)), ["original"], f"list_sort({s_candidates('original')})", "original IS NOT NULL")
 
@@ -190,21 +227,39 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
     return raw(spark, d).where(BOTH).select("result_id", T.summary(T.verdict(F.col("original"), F.col("final"))).alias("summary")).dropDuplicates(["result_id"])
 
 
-add("verdict_summary", _summary)
+def s_summary() -> str:
+    o, f = "original", "final"
+    n = lambda t: s_cues(t, P.NEGATIONS)
+    leaked = f"list_sort(list_distinct({s_all(f, P.CONTROL_LEAK)}))"
+    ratio = f"length({f}) / CAST(greatest(length({o}), 1) AS DOUBLE)"
+    sent = lambda t: f"list_sort({s_sentinels(t)})"
+    bad = [
+        (f"{s_strip(f)} = ''", "'nonempty: model returned nothing'"), (f"{sent(o)} <> {sent(f)}", f"'sentinels: ' || {s_differs(sent(o), sent(f), 'invented')}"),
+        (f"len({leaked}) > 0", f"'control_tokens: leaked ' || {s_listed(leaked)}"),
+        (f"regexp_matches({f}, {q(P.CHATTER)}) AND NOT regexp_matches({o}, {q(P.CHATTER)})", f"'chatter: conversational opener ' || chr(39) || {s_strip(f'regexp_extract({f}, {q(P.CHATTER)})')} || chr(39)"),
+        (f"length({o}) >= 40 AND NOT ({ratio} BETWEEN 0.5 AND 2.0)", f"'length: ratio ' || printf('%.2f', {ratio}) || ' outside [0.5, 2.0]'"),
+        (f"{s_numbers(o)} <> {s_numbers(f)}", f"'numbers: ' || {s_differs(s_numbers(o), s_numbers(f), 'gained')}"),
+        (f"{s_escapes(o)} <> {s_escapes(f)}", f"'escapes: ' || {s_differs(s_escapes(o), s_escapes(f), 'invented')}"),
+        (f"{n(o)} <> {n(f)}", f"'negation: ' || {n(o)} || ' negation cue(s) became ' || {n(f)}"),
+    ]
+    said = ", ".join(f"CASE WHEN {c} THEN {d} END" for c, d in bad)
+    return f"SELECT DISTINCT result_id, array_to_string([x for x in [{said}] if x IS NOT NULL], '; ') AS summary FROM segment_results WHERE {BOTH}"
+
+
+add("verdict_summary", _summary, s_summary())
 
 
 def _issues(spark: SparkSession, d: str) -> DataFrame:
     t = raw(spark, d).where(BOTH).select("result_id", T.compare(F.col("original"), F.col("final")).alias("i")).dropDuplicates(["result_id"])
-    i = t.select("result_id", F.inline("i"))
-    return i.select("result_id", "kind", "severity", F.when(F.col("kind").isin("negation", "hedging", "structure"), F.col("detail")).alias("detail"))
+    return t.select("result_id", F.inline("i"))
 
 
 def s_issues() -> str:
     o, f = "original", "final"
     n, h, s = (lambda t: s_cues(t, P.NEGATIONS)), (lambda t: s_cues(t, P.HEDGES)), s_sentences
     parts = [
-        ("numbers", "high", f"{s_numbers(o)} <> {s_numbers(f)}", "NULL"), ("identifiers", "high", f"{s_identifiers(o)} <> {s_identifiers(f)}", "NULL"),
-        ("escapes", "high", f"{s_escapes(s_bare(o))} <> {s_escapes(s_bare(f))}", "NULL"), ("negation", "high", f"{n(o)} <> {n(f)}", f"{n(o)} || ' negation cue(s) became ' || {n(f)}"),
+        ("numbers", "high", f"{s_numbers(o)} <> {s_numbers(f)}", s_differs(s_numbers(o), s_numbers(f), "gained")), ("identifiers", "high", f"{s_identifiers(o)} <> {s_identifiers(f)}", s_differs(s_identifiers(o), s_identifiers(f), "gained")),
+        ("escapes", "high", f"{s_escapes(s_bare(o))} <> {s_escapes(s_bare(f))}", s_differs(s_escapes(s_bare(o)), s_escapes(s_bare(f)), "invented")), ("negation", "high", f"{n(o)} <> {n(f)}", f"{n(o)} || ' negation cue(s) became ' || {n(f)}"),
         ("hedging", "low", f"{h(o)} <> {h(f)}", f"{h(o)} || ' hedge(s) became ' || {h(f)} || CASE WHEN {h(f)} < {h(o)} THEN ', firmed up' ELSE ', softened' END"),
         ("structure", "low", f"abs({s(o)} - {s(f)}) > greatest(1, {s(o)} // 3)", f"{s(o)} || ' sentence(s) became ' || {s(f)}"),
     ]
@@ -217,12 +272,9 @@ add("fidelity_issues", _issues, s_issues())
 
 def _differences(spark: SparkSession, d: str) -> DataFrame:
     """Words that each final lost or gained, with multiplicity: two multisets compared inside the row, so no word is shuffled."""
-    words = lambda c: F.filter(F.split(F.lower(c), rf"[{SP}]+", -1), lambda w: w != "")
-    count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    each = lambda z: F.transform(F.array_union(z["a"], z["b"]), lambda w: F.struct(w.alias("word"), (count(z["a"], w) - count(z["b"], w)).alias("n")))
-    differ = F.filter(T.let(F.struct(words(F.col("original")).alias("a"), words(F.col("final")).alias("b")), each), lambda x: x["n"] != 0)
-    r = raw(spark, d).where(BOTH).select("result_id", differ.alias("w")).dropDuplicates(["result_id"]).select("result_id", F.inline("w"))
-    return r.select("result_id", "word", F.greatest("n", F.lit(0)).alias("lost"), F.greatest(-F.col("n"), F.lit(0)).alias("gained"))
+    words = lambda c: F.array_sort(F.filter(F.split(F.lower(c), rf"[{SP}]+", -1), lambda w: w != ""))
+    r = raw(spark, d).where(BOTH).select("result_id", T.multiset_delta(words("original"), words("final")).alias("w")).dropDuplicates(["result_id"]).select("result_id", F.inline("w"))
+    return r.select("result_id", F.col("x").alias("word"), F.greatest("n", F.lit(0)).cast("bigint").alias("lost"), F.greatest(-F.col("n"), F.lit(0)).cast("bigint").alias("gained"))
 
 
 def s_side(c: str) -> str:
@@ -252,7 +304,8 @@ S_TOKENS = f"[x for x in regexp_split_to_array(final, {q(f'[{SP}]+')}) if x <> '
 scalar("greedy_wrap", "segment_results", "result_id", lambda f: T.rewrap(f, F.lit(60)), ["final"],
        f"CASE WHEN len({S_TOKENS}) = 0 THEN final ELSE list_reduce({S_TOKENS}, lambda a, t: a || CASE WHEN length(regexp_extract(a, '[^\\n]*$')) + 1 + length(t) > 60 THEN chr(10) ELSE ' ' END || t) END")
 scalar("apply_continuation", "segment_results", "result_id", lambda o: T.apply_continuation(o, F.lit("> ")), ["original"], "replace(original, chr(10), chr(10) || '> ')")
-scalar("strip_continuation", "segment_results", "result_id", lambda o: T.strip_continuation(T.apply_continuation(o, F.lit("  ")), F.lit("  ")), ["original"], "original")
+scalar("strip_continuation", "segment_results", "result_id", lambda o: T.strip_continuation(F.regexp_replace(o, " the ", "\n  the > "), F.lit("  ")), ["original"],
+       "(SELECT array_to_string([CASE WHEN i = 1 THEN l[i] WHEN starts_with(l[i], '  ') THEN l[i][3:] ELSE regexp_replace(l[i], '^[> \\t]+', '') END for i in range(1, len(l) + 1)], chr(10)) FROM (SELECT string_split(replace(original, ' the ', chr(10) || '  the > '), chr(10)) AS l))", "original IS NOT NULL")
 scalar("human_duration", "segment_results", "result_id", lambda e: T.human_duration(e * 60), ["elapsed_s"],
        "(SELECT CASE WHEN s < 1 THEN 'instant' WHEN s < 90 THEN CAST(CAST(round_even(s, 0) AS BIGINT) AS VARCHAR) || 's' WHEN s / 60 < 90 THEN CAST(CAST(round_even(s / 60, 0) AS BIGINT) AS VARCHAR) || ' min' WHEN floor((s / 60) % 60) > 0 THEN CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR) || 'h ' || lpad(CAST(CAST(floor((s / 60) % 60) AS BIGINT) AS VARCHAR), 2, '0') || 'm' WHEN s IS NOT NULL THEN CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR) || 'h' END FROM (SELECT greatest(elapsed_s * 60, 0.0) AS s))", "elapsed_s IS NOT NULL")
 scalar("cost_model", "segment_results", "result_id", lambda o: F.round(T.predict(F.length(o), F.lit(1)), 6), ["original"], f"round(CAST({P.OVERHEAD_SECONDS} AS DOUBLE) + length(original) * CAST({P.SECONDS_PER_CHAR} AS DOUBLE), 6)")
@@ -276,37 +329,42 @@ UNION SELECT word, regexp_replace(word, 'l{tail}', 'll\\1') FROM w WHERE regexp_
 add("spelling_variants", _variants, s_variants())
 
 # ---- model boundary
-scalar("rotated_words", "segment_results", "result_id", T.rotate_words, ["original"],
-       f"array_to_string([CASE WHEN len(w) < 2 THEN array_to_string(w, ' ') ELSE array_to_string(list_concat(w[2:], w[:1]), ' ') END for w in [[x for x in regexp_split_to_array(l, {q(f'[{SP}]+')}) if x <> ''] for l in string_split(original, chr(10))]], chr(10))", "original IS NOT NULL AND NOT contains(original, '[[')")
+S_MARK = f"regexp_matches(x, {q('^' + P.SENTINEL + '$')})"
+scalar("rotated_words", "segment_results", "result_id", lambda o, h: T.rotate_words(F.concat_ws("\n", o, F.try_element_at(h, F.lit(1)))), ["original", "hops"], "NULL")
+SQL["rotated_words"] = f"""WITH l AS (SELECT result_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS n FROM (SELECT DISTINCT result_id, concat_ws(chr(10), original, hops[1]) AS t FROM segment_results)),
+w AS (SELECT *, {s_all("line", P.SENTINEL + "|[^" + SP + "]+")} AS w FROM l), p AS (SELECT *, [x for x in w if NOT {S_MARK}] AS p FROM w), r AS (SELECT *, list_concat(p[2:], p[1:1]) AS r FROM p),
+o AS (SELECT result_id, n, array_to_string([CASE WHEN regexp_matches(w[i], {q('^' + P.SENTINEL + '$')}) THEN w[i] ELSE r[len([x for x in w[1:i] if NOT {S_MARK}])] END for i in range(1, len(w) + 1)], ' ') AS line FROM r)
+SELECT result_id, string_agg(line, chr(10) ORDER BY n) AS v FROM o GROUP BY result_id"""
 scalar("cache_keys", "segment_results", "result_id", lambda o: T.cache_key(F.lit("model"), F.lit("en"), F.lit("fr"), o), ["original"], "left(sha256('model' || chr(0) || 'en' || chr(0) || 'fr' || chr(0) || original || chr(0)), 32)")
 scalar("hop_chain", "runs", "run_id", lambda p: F.transform(T.hop_chain(p), lambda x: F.concat(x["src"], F.lit(">"), x["dst"])), ["pivot_chain"],
        "(SELECT [l[i] || '>' || l[i + 1] for i in range(1, len(l))] FROM (SELECT list_concat(['en'], pivot_chain, ['en']) AS l))")
-scalar("language_names", "runs", "run_id", lambda p: T.language_name(F.try_element_at(p, F.lit(1))), ["pivot_chain"], "coalesce(CASE lower(pivot_chain[1]) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.LANGUAGES.items()) + " END, pivot_chain[1])")
-scalar("rendered_prompts", "segment_results", "result_id", lambda o: F.length(T.render_prompt(F.lit("Translate."), o)), ["original"],
-       f"length('<|begin_of_text|><|start|>system<|message|>Translate.' || chr(10) || chr(10) || 'Reasoning strength: low.' || chr(10) || chr(10) || '# Valid recipients: \"self\", \"user\".<|eot|><|start|>user<|message|>' || regexp_replace(original, {q(P.CONTROL_TOKEN)}, '', 'g') || '<|eot|><|start|>assistant')")
+scalar("language_names", "runs", "run_id", lambda p: F.transform(p, T.language_name), ["pivot_chain"], "[coalesce(CASE lower(p) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.LANGUAGES.items()) + " END, p) for p in pivot_chain]")
+scalar("rendered_prompts", "segment_results", "result_id", lambda o: T.render_prompt(F.lit("Translate."), o), ["original"],
+       f"'<|begin_of_text|><|start|>system<|message|>Translate.' || chr(10) || chr(10) || 'Reasoning strength: low.' || chr(10) || chr(10) || '# Valid recipients: \"self\", \"user\".<|eot|><|start|>user<|message|>' || regexp_replace(original, {q(P.CONTROL_TOKEN)}, '', 'g') || '<|eot|><|start|>assistant'")
 scalar("parsed_responses", "segment_results", "result_id", lambda f: T.parse_response(F.concat(F.lit(" to=self<|message|>thinking<|eom|><|start|>assistant<|message|>"), f, F.lit("<|eot|>"))), ["final"], s_strip("final"))
 scalar("persona_names", "runs", "run_id", lambda p: p.rlike(P.SAFE_NAME), ["persona"], f"regexp_matches(persona, {q(P.SAFE_NAME)})")
-scalar("settings_precedence", "runs", "run_id", lambda m, p: F.when(~m.eqNullSafe(F.lit("tern-3b")), m).otherwise(F.coalesce(F.nullif(p, F.lit("")), F.lit("tern-3b"))), ["model", "persona"], "CASE WHEN model IS DISTINCT FROM 'tern-3b' THEN model ELSE coalesce(nullif(persona, ''), 'tern-3b') END")
+scalar("settings_precedence", "runs", "run_id", lambda m, p: files.setting(m, F.lit("tern-3b"), F.nullif(p, F.lit(""))), ["model", "persona"], "CASE WHEN model IS DISTINCT FROM 'tern-3b' THEN model ELSE coalesce(nullif(persona, ''), 'tern-3b') END")
 
 
 def _cached(spark: SparkSession, d: str) -> DataFrame:
-    """Originals that other runs have already sent take their hop from the cache; the rest are called."""
-    r = results(spark, d).where("original is not null").select("result_id", "original", "hops", "run_id")
-    key = T.cache_key(F.lit("en"), F.col("original"))
-    old = r.where("run_id % 2 = 0").select(key.alias("key"), F.try_element_at("hops", F.lit(1)).alias("value")).where("value is not null")
-    new = r.where("run_id % 2 = 1").select("result_id", "original")
-    out, _ = through_cache(new, key, old, lambda x: x.withColumn("out", F.upper("original")))
+    """Every original's first hop, from what had been stored by a given day or else by a call."""
+    r = raw(spark, d).where("original is not null").select("result_id", "original", F.try_element_at("hops", F.lit(1)).alias("hop"), "loaded_at")
+    keyed = r.withColumn("key", T.cache_key(F.lit("en"), F.col("original")))
+    old = keyed.where(F.col("loaded_at") < F.lit(STORED).cast("timestamp")).where("hop is not null").groupBy("key").agg(F.max("hop").alias("value"))
+    out, _ = through_cache(report.once(r.select("result_id", "original"), "result_id"), T.cache_key(F.lit("en"), F.col("original")), old, lambda x: x.withColumn("out", F.upper("original")))
     return out.select("result_id", "out")
 
 
-add("hop_cache", _cached, f"""WITH r AS (SELECT result_id, original, hops[1] AS hop, run_id FROM {ONCE} WHERE original IS NOT NULL), c AS (SELECT original, max(hop) AS value FROM r WHERE run_id % 2 = 0 AND hop IS NOT NULL GROUP BY original)
-SELECT result_id, coalesce(value, upper(original)) AS out FROM r LEFT JOIN c USING (original) WHERE run_id % 2 = 1""")
+STORED = "2025-05-01 00:00:00"
+add("hop_cache", _cached, f"""WITH r AS (SELECT DISTINCT result_id, original FROM segment_results WHERE original IS NOT NULL),
+c AS (SELECT original, max(hops[1]) AS value FROM segment_results WHERE original IS NOT NULL AND hops[1] IS NOT NULL AND loaded_at < TIMESTAMPTZ '{STORED}+00' GROUP BY original)
+SELECT result_id, coalesce(value, upper(original)) AS out FROM r LEFT JOIN c USING (original)""")
 
 # ---- spans
-add("line_offsets", lambda s, d: spans.line_offsets(table(s, d, "documents")).select("doc_id", "line_no", "start", F.length("line").alias("size")),
-    "SELECT doc_id, i - 1 AS line_no, CAST(coalesce(list_sum([length(x) + 1 for x in l[:i - 1]]), 0) AS BIGINT) AS start, length(l[i]) AS size FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(l) + 1)) AS i FROM documents WHERE text IS NOT NULL)")
-add("paragraphs", lambda s, d: spans.paragraphs(table(s, d, "documents")).select("doc_id", "para_no", F.length("text").alias("size")),
-    "SELECT doc_id, i - 1 AS para_no, length(p[i]) AS size FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, [y for y in [regexp_replace(x, '^\\s+|\\s+$', '', 'g') for x in regexp_split_to_array(text, '\\n[ \\t]*\\n')] if y <> ''] AS p FROM documents WHERE text IS NOT NULL))")
+add("line_offsets", lambda s, d: spans.line_offsets(table(s, d, "documents")).select("doc_id", "line_no", "start", "line"),
+    "SELECT doc_id, i - 1 AS line_no, CAST(coalesce(list_sum([length(x) + 1 for x in l[:i - 1]]), 0) AS BIGINT) AS start, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(l) + 1)) AS i FROM documents WHERE text IS NOT NULL)")
+add("paragraphs", lambda s, d: spans.paragraphs(table(s, d, "documents")),
+    "SELECT doc_id, i - 1 AS para_no, p[i] AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, [y for y in [regexp_replace(x, '^\\s+|\\s+$', '', 'g') for x in regexp_split_to_array(text, '\\n[ \\t]*\\n')] if y <> ''] AS p FROM documents WHERE text IS NOT NULL))")
 
 
 def _span_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -326,8 +384,18 @@ FROM (SELECT x.* FROM {S_SPANS} x SEMI JOIN documents USING (doc_id) UNION ALL S
 add("merged_islands", lambda s, d: spans.merge_islands(_span_rows(s, d), F.col("start") <= F.col("reach") + 2, keep={"n": F.count("*")}),
     f"""SELECT doc_id, min(s) AS start, max(e) AS "end", count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM
 (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 0 ELSE 1 END AS b FROM {"(SELECT DISTINCT doc_id, span_lo AS s, span_hi AS e, translated FROM segment_results WHERE span_lo IS NOT NULL AND span_hi IS NOT NULL)"})) GROUP BY doc_id, island""")
-add("span_violations", lambda s, d: spans.violations(_span_rows(s, d).select("doc_id", "start", "end").distinct()),
-    f"""SELECT doc_id, s AS start, e AS "end", p AS problem FROM (SELECT *, CASE WHEN s > e THEN 'inverted' WHEN s < lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) THEN 'overlapping' END AS p FROM {S_SPANS}) WHERE p IS NOT NULL""")
+def _shifted(spark: SparkSession, d: str) -> DataFrame:
+    """The spans, and each of them once more from the middle on and the other way round, so that there is something to find."""
+    r = _span_rows(spark, d).select("doc_id", "start", "end").distinct()
+    half = F.floor((F.col("start") + F.col("end")) / 2)
+    return r.unionByName(r.select("doc_id", half.alias("start"), (F.col("end") + 3).alias("end"))).unionByName(r.select("doc_id", F.col("end").alias("start"), F.col("start").alias("end"))).distinct()
+
+
+add("span_violations", lambda s, d: spans.violations(_shifted(s, d)),
+    f"""WITH x AS (SELECT doc_id, s, e FROM {S_SPANS} UNION SELECT doc_id, CAST(floor((s + e) / 2) AS BIGINT), e + 3 FROM {S_SPANS} UNION SELECT doc_id, e, s FROM {S_SPANS})
+SELECT doc_id, s AS start, e AS "end", p AS problem FROM (SELECT *, CASE WHEN s > e THEN 'inverted' WHEN s < lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) THEN 'overlapping' END AS p FROM x) WHERE p IS NOT NULL""")
+add("unquoted_spans", lambda s, d: spans.unquoted(raw(s, d).select("doc_id", (F.col("span_lo") + F.when(F.col("translated"), 0).otherwise(1)).alias("start"), F.col("span_hi").alias("end"), "original").distinct(), table(s, d, "documents")),
+    """SELECT doc_id, s AS start, e AS "end" FROM (SELECT DISTINCT doc_id, span_lo + CASE WHEN translated THEN 0 ELSE 1 END AS s, span_hi AS e, original FROM segment_results WHERE original IS NOT NULL) LEFT JOIN documents USING (doc_id) WHERE text IS NULL OR substring(text, s + 1, e - s) <> original""")
 add("frozen_regions", lambda s, d: spans.drop_inside(_span_rows(s, d).select("doc_id", "start", "end").distinct(), results(s, d).where("not translated").select("doc_id", F.col("span_lo").alias("lo"), F.col("span_hi").alias("hi")).distinct()),
     f"""SELECT doc_id, s AS start, e AS "end" FROM {S_SPANS} x WHERE NOT EXISTS (SELECT 1 FROM segment_results r WHERE NOT r.translated AND r.doc_id = x.doc_id AND r.span_lo <= x.s AND x.e <= r.span_hi)""")
 add("contained_spans", lambda s, d: spans.contained(_span_rows(s, d).select("doc_id", "start", "end").distinct(), _span_rows(s, d).where("not translated")),
@@ -352,27 +420,16 @@ add("prose_coverage", lambda s, d: report.coverage(base.segments(table(s, d, "do
 
 
 def _mask(spark: SparkSession, d: str) -> DataFrame:
+    """Every document masked by its own format's rules, and restored."""
     docs = table(spark, d, "documents").where("text is not null")
-    m = docs.withColumn("m", masking.masker("markdown")("text"))
-    return m.select("doc_id", F.size("m.mapping").alias("hidden"), (masking.unmask(F.col("m.text"), F.col("m.mapping")) == F.col("text")).alias("back"))
+    m = docs.select("doc_id", masking.masker()("text", F.coalesce(base.format_of(F.col("path")), F.lit("markdown"))).alias("m"))
+    return m.select("doc_id", F.md5(masking.unmask(F.col("m.text"), F.col("m.mapping"))).alias("digest"), (F.size("m.mapping") == F.size(F.array_distinct(T.sentinels(F.col("m.text"))))).alias("placed"))
 
 
-add("mask_and_restore", _mask)
+add("mask_and_restore", _mask, "SELECT doc_id, md5(text) AS digest, true AS placed FROM documents WHERE text IS NOT NULL")
 add("round_trip", lambda s, d: translate.round_trip(table(s, d, "documents"), ["fr"]).select("doc_id", "seg_id", "translated", "final", "reason"))
 
 
-def _includes(spark: SparkSession, d: str) -> DataFrame:
-    """Include closure over a graph of documents: each document names the next two of its project."""
-    docs = table(spark, d, "documents").where("path is not null").select("path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[a-z]+$", "").alias("stem"), "project", "doc_id")
-    e = docs.select(F.col("path").alias("src"), F.col("doc_id")).join(docs.select(F.col("path").alias("dst"), (F.col("doc_id") - 1).alias("doc_id")), "doc_id").select("src", "dst")
-    roots = docs.where("doc_id % 100 = 0").select("path")
-    return graph.closure(roots, e, max_depth=5)
-
-
-add("include_closure", _includes, """WITH RECURSIVE e AS (SELECT a.path AS src, b.path AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.path IS NOT NULL AND b.path IS NOT NULL),
-c(root, path, depth) AS (SELECT path, path, 0 FROM documents WHERE doc_id % 100 = 0 AND path IS NOT NULL UNION SELECT c.root, e.dst, c.depth + 1 FROM c JOIN e ON e.src = c.path WHERE c.depth < 5)
-SELECT root, path, CAST(min(depth) AS INT) AS depth FROM c GROUP BY ALL""")
-
 # ---- aggregates
 add("run_totals", lambda s, d: report.totals(flags(s, d), ["project"]),
     f"SELECT project, count(*) AS segments, count_if(translated) AS translated, count_if(NOT translated) AS fallback, count_if(translated AND coalesce(len(issues), 0) > 0) AS flagged, count_if(final <> original) AS changed FROM {ONCE} GROUP BY project")
@@ -395,11 +452,9 @@ add("fallback_reasons", lambda s, d: report.reasons(flags(s, d)), f"SELECT left(
 add("scores", lambda s, d: report.scores(flags(s, d)).select("segments", "fallback", "changed", "severe", F.round("meaning", 6).alias("meaning"), F.round("completion", 6).alias("completion")),
     f"SELECT count(*) AS segments, count_if(NOT translated) AS fallback, count_if(translated AND final <> original) AS changed, CAST(coalesce(sum({s_high('issues')}), 0) AS BIGINT) AS severe, round(100.0 * (1 - coalesce(sum({s_high('issues')}), 0) / CAST(greatest(count_if(translated AND final <> original), 1) AS DOUBLE)), 6) AS meaning, round(100.0 * (count(*) - count_if(NOT translated)) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS completion FROM {ONCE}")
 add("longest_changed", lambda s, d: report.longest_changed(flags(s, d)), f"SELECT result_id, length(original) AS chars FROM {ONCE} WHERE translated AND final <> original ORDER BY chars DESC, result_id LIMIT 25")
-add("structure_differences", lambda s, d: report.structure(raw(s, d), "result_id", "original", "final").where("check in ('numbers', 'identifiers', 'macros', 'escapes')").select("result_id", "check", "fatal"),
-    " UNION ALL ".join(f'SELECT result_id, \'{n}\' AS "check", {fatal} AS fatal FROM {ONCE} WHERE {BOTH} AND {a} <> {b}' for n, fatal, a, b in (
-        ("numbers", "false", s_numbers("original"), s_numbers("final")), ("identifiers", "false", s_identifiers("original"), s_identifiers("final")),
-        ("macros", "true", f"list_sort({s_all('original', P.MACRO)})", f"list_sort({s_all('final', P.MACRO)})"), ("escapes", "true", s_escapes("original"), s_escapes("final")))))
-add("structure_of_files", lambda s, d: report.structure(table(s, d, "documents").withColumn("other", F.regexp_replace("text", r"\$[^$]*\$", "")), "doc_id", "text", "other"))
+add("structure_differences", lambda s, d: report.structure(raw(s, d), "result_id", "original", "final"), s_structure("original", "final", "result_id", f"(SELECT DISTINCT result_id, original, final FROM segment_results WHERE {BOTH})"))
+add("structure_of_files", lambda s, d: report.structure(table(s, d, "documents").withColumn("other", F.regexp_replace(F.regexp_replace("text", r"\$[^$]*\$", ""), "e", "e1")), "doc_id", "text", "other"),
+    s_structure("text", "other", "doc_id", "(SELECT doc_id, text, replace(regexp_replace(text, '\\$[^$]*\\$', '', 'g'), 'e', 'e1') AS other FROM documents WHERE text IS NOT NULL)"))
 
 
 def _eta(spark: SparkSession, d: str) -> DataFrame:
@@ -424,7 +479,7 @@ S_ETA = f"(CAST({P.OVERHEAD_SECONDS} AS DOUBLE) * (t - c) + CAST({P.SECONDS_PER_
 add("run_summaries", lambda s, d: runs(s, d).select("run_id", T.run_summary(F.col("segments_total"), F.col("segments_translated"), F.lit(1), F.col("segments_total") * 100).alias("line")),
     f"SELECT run_id, CASE WHEN t = 0 THEN 'nothing to translate' WHEN t = c THEN t || ' segments, all cached, this will be instant' WHEN c > 0 THEN t || ' segments, ' || c || ' already cached, ' || (t - c) || ' to translate, ~' || {s_duration(S_ETA)} ELSE t || ' segments, ~' || {s_duration(S_ETA)} END AS line FROM (SELECT run_id, segments_total AS t, segments_translated AS c FROM {RUNS_ONCE})")
 add("unmatched_results", lambda s, d: flags(s, d).join(table(s, d, "runs").select("run_id").distinct(), "run_id", "left_anti").select("result_id"), f"SELECT result_id FROM {ONCE} WHERE run_id IS NULL OR run_id NOT IN (SELECT run_id FROM runs WHERE run_id IS NOT NULL)")
-add("roots_first", lambda s, d: table(s, d, "documents").where("fmt = 'tex'").select("doc_id", F.row_number().over(report.Window.partitionBy("project").orderBy(F.desc(F.coalesce(T.is_standalone(F.col("text")), F.lit(False))), "path")).alias("ordinal")),
+add("roots_first", lambda s, d: graph.roots_first(table(s, d, "documents").where("fmt = 'tex'").select("doc_id", "project", "path", "text"), "project").select("doc_id", "ordinal"),
     "SELECT doc_id, row_number() OVER (PARTITION BY project ORDER BY coalesce(regexp_matches(regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1', 'g'), '\\\\begin\\s*\\{document\\}'), false) DESC, path) AS ordinal FROM documents WHERE fmt = 'tex'")
 
 FLAGSHIP: Query = QUERIES["mined_terms"]
