@@ -91,7 +91,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_kept(spark: SparkSession, d: str) -> DataFrame:
-    """For each row of the targets: whether its source is used, its share is met to one document's size, no document is used
+    """For each row of the targets: whether its source has documents, its share is met to one document's size, no document is used
     more often than allowed, and all documents used are the source's own."""
     docs, m, mixed = _mixed(spark, d)
     s = mixing.shares(mixed, docs, m)
@@ -99,7 +99,7 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     longest = docs.groupBy("source").agg(F.max("n_tokens").alias("longest"))
     near = F.abs(F.col("tokens") - F.col("budget")) <= F.col("longest") / 2 + 1
     j = s.join(own, ["recipe", "source"], "left").join(longest, "source", "left")
-    return j.select("recipe", "source", (F.col("tokens") > 0).alias("used"), F.coalesce(near, F.col("tokens") == 0).alias("share_kept"), (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"), F.coalesce("own_documents", F.lit(True)).alias("own_documents"))
+    return j.select("recipe", "source", (F.col("have_docs") > 0).alias("has_documents"), F.coalesce(near, F.col("tokens") == 0).alias("share_kept"), (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"), F.coalesce("own_documents", F.lit(True)).alias("own_documents"))
 
 
 def _limits(spark: SparkSession, d: str) -> list[tuple]:
@@ -180,7 +180,7 @@ SQL: dict[str, str] = {
     "p2_stats": _STATS,
     "p2_found": f"SELECT term_key, mark FROM ({_STATS}) WHERE mark IS NOT NULL",
     "p6_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
-    "p7_kept": """SELECT recipe, source, target_share > 0 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(trim(text)) > 0) AS used, true AS share_kept, true AS repeats_kept, true AS own_documents
+    "p7_kept": """SELECT recipe, source, target_share > 0 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(trim(text)) > 0) AS has_documents, true AS share_kept, true AS repeats_kept, true AS own_documents
   FROM (SELECT DISTINCT recipe, source, target_share FROM mix_targets) t""",
     "p8_joined": "SELECT limit_id, doc_id, md5(text) AS digest, true AS fits FROM documents CROSS JOIN (SELECT DISTINCT limit_id FROM split_limits) WHERE text IS NOT NULL",
 }
