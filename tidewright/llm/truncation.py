@@ -9,6 +9,7 @@ end learns to tell cut from intact ones. Every value is then scored.
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 import unicodedata
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import align
 from .sampling import first_by_hash
-from .sentences import CJK, CLOSERS, PAIRS, REMEMBERED, STOPS, Lexicon, _bucket, _left, _slots, fit_logistic, folded, split
+from .sentences import _MARKS, CJK, CLOSERS, PAIRS, REMEMBERED, STOPS, Lexicon, _bucket, _left, _slots, fit_logistic, folded, split
 from .sentences import Model as Splitter
 
 #: Results whose values train the classifier, the first ones by a hash of their id.
@@ -38,6 +39,8 @@ CUT_MARK = re.compile(r"\s*(?:\[…\]|\[\.\.\.\]|…|\.\.\.|�+)\s*$")
 _END = re.compile(rf"[{STOPS}]+[\s{re.escape(CLOSERS)}]*[{STOPS}]*$")
 _TRAIL = STOPS + CLOSERS + " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _COMBINING = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x20000) if unicodedata.combining(chr(c))) + "]+")
+# accents of the Latin script are sought apart, as they are the most frequent
+_ACCENTS, _BEYOND_LATIN = re.compile("[\u0300-\u036f]+"), re.compile("[\u0483-\u1fff\u2c00-\uffff\U00010000-\U0001ffff]")
 _DIGITS = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹–‐", "0123456789--")
 _DIGIT = re.compile("[⁰¹²³⁴⁵⁶⁷⁸⁹–‐]")
 
@@ -83,7 +86,8 @@ def plain(text: str) -> str:
     """Text for comparison with its siblings: no case, accents, layout or fragments."""
     t = folded(align.FRAGMENT.sub("~", text) if align.FRAGMENT_SIGN.search(text) else text)[0]
     if not t.isascii():
-        t = _COMBINING.sub("", unicodedata.normalize("NFKD", t.translate(_DIGITS) if _DIGIT.search(t) else t))
+        t = _ACCENTS.sub("", unicodedata.normalize("NFKD", t.translate(_DIGITS) if _DIGIT.search(t) else t))
+        t = _COMBINING.sub("", t) if _BEYOND_LATIN.search(t) else t
     return " ".join(t.lower().replace("!", ".").replace("?", ".").split())
 
 
@@ -179,12 +183,15 @@ _LAST = re.compile(rf"[^\W{CJK}]+(?:[-'’.][^\W{CJK}]+)*$")
 
 
 def _last_word(t: str) -> str:
-    m = _LAST.search(t[-80:])
+    """The word in lower case that a text ends with, or nothing."""
+    if not t or not (t[-1].isalnum() or t[-1] == "_"):
+        return ""
+    m = _LAST.search(t[-80:].split()[-1])
     return m.group().lower() if m else ""
 
 
 def _bin(x: float, edges: tuple) -> int:
-    return sum(x >= e for e in edges)
+    return bisect.bisect_right(edges, x)
 
 
 class Row:
@@ -202,7 +209,7 @@ class Row:
 
     def features(self, field: str, no: int, text: str, model: Model, memory: Memory | None = None) -> list[str]:
         memory = memory or Memory(model)
-        look = memory.look(text)
+        look = memory.looks.get(text) or memory.look(text)
         t, p, lang, kind = look.folded, look.plain, look.lang, look.kind
         o, op, okind = "", "", "none"
         if self.original.strip():
@@ -221,7 +228,7 @@ class Row:
         known = "" if not last else "o" if last in memory.own_words(self.original) else "k" if last in model.words else "u"
         limits = [model.limits.get((field, i, self.source)) for i in (0, 1)]
         at = at_limit(text, limits[0] or set(), limits[1] or set()) if any(limits) else ""
-        opened = "o" if t.count('"') % 2 or kind != "stop" and sum(map(t.count, PAIRS)) > sum(map(t.count, _CLOSING)) else ""
+        opened = "o" if _MARKS.search(t) and (t.count('"') % 2 or kind != "stop" and sum(map(t.count, PAIRS)) > sum(map(t.count, _CLOSING))) else ""
         # the other values of the row in the same language, or the original of an untranslated one
         rel, rest = "none", ""
         comparable = look.bare
@@ -229,7 +236,7 @@ class Row:
         for f2, n2, v in [*self.values, ("original", -1, self.original)]:
             if (f2, n2) == (field, no) or not v:
                 continue
-            other = memory.look(v)
+            other = memory.looks.get(v) or memory.look(v)
             q, qc = other.plain, other.bare
             if other.lang != lang or not q:
                 continue
