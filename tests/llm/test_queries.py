@@ -5,7 +5,7 @@ import os
 import pytest
 from agreement import FOLDER, disagreement
 
-from tidewright.llm import queries
+from tidewright.llm import models, queries, truncation
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -23,3 +23,14 @@ def test_found_columns(spark):
     }
     for name, columns in want.items():
         assert queries.QUERIES[name](spark, FOLDER).dtypes == columns
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_models_are_fitted_once(spark, tmp_path, monkeypatch):
+    found = lambda folder: sorted(map(repr, queries._scored(spark, FOLDER, folder).collect()))
+    first = found(str(tmp_path))
+    assert {p.name for p in tmp_path.iterdir()} == {"splitter", "tables", "truncation"}
+    monkeypatch.setattr(truncation, "train", None)  # nothing is fitted again
+    assert found(str(tmp_path)) == first
+    with pytest.raises(ValueError, match="no model"):
+        models.load(spark, str(tmp_path / "tables"), "sentences")

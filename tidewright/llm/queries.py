@@ -9,15 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import align, glyphs, mixing, sentences, splitting, termfreq, tokens, truncation
+from . import align, glyphs, mixing, models, sentences, splitting, termfreq, tokens, truncation
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "segment_results")
-    splitter = sentences.train(sentences.sample_values(t))
-    runs = table(spark, d, "runs")
+def _splitter(spark: SparkSession, d: str, folder: str | None = None) -> sentences.Model:
+    return models.kept(spark, folder and f"{folder}/splitter", "sentences", lambda: sentences.train(sentences.sample_values(table(spark, d, "segment_results"))))
+
+
+def _tables(spark: SparkSession, d: str, folder: str | None = None) -> align.Tables:
+    return models.kept(spark, folder and f"{folder}/tables", "align", lambda: align.train(align.sample_pairs(table(spark, d, "segment_results"), table(spark, d, "runs"))))
+
+
+def _scored(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
+    """Every result with its cut values. ``folder``: where fitted models are, or are left; limits are counted afresh in any case."""
+    t, runs = table(spark, d, "segment_results"), table(spark, d, "runs")
     limits = truncation.limits_of(t, runs)
-    model = truncation.train(truncation.sample_rows(t, runs=runs), splitter, align.train(align.sample_pairs(t, runs)), limits=limits)
+    fit = lambda: truncation.train(truncation.sample_rows(t, runs=runs), _splitter(spark, d, folder), _tables(spark, d, folder), limits=limits)
+    model = models.kept(spark, folder and f"{folder}/truncation", "truncation", fit)
+    model.limits = limits
     return truncation.scored(t, model, runs)
 
 
@@ -41,14 +50,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "segment_results")
-    model = sentences.train(sentences.sample_values(t))
-    return align.aligned(t, model, align.train(align.sample_pairs(t, table(spark, d, "runs"))))
+    return align.aligned(table(spark, d, "segment_results"), _splitter(spark, d), _tables(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "segment_results")
-    return sentences.sentences(t, sentences.train(sentences.sample_values(t)))
+    return sentences.sentences(table(spark, d, "segment_results"), _splitter(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -112,12 +118,14 @@ def p8_joined(spark: SparkSession, d: str) -> DataFrame:
     a document within the limit is one piece."""
     docs, limits = table(spark, d, "documents").where("text is not null"), _limits(spark, d)
     pieces = splitting.split_corpus(docs, limits)
-    most = F.create_map(*[F.lit(x) for i, _, m, _ in limits for x in (i, m)])
-    by = pieces.groupBy("doc_id", "limit_id").agg(F.array_sort(F.collect_list(F.struct("core_lo", "piece_hi"))).alias("_p"), F.max("n_tokens").alias("_n"), F.min("overlap_tokens").alias("_o"))
-    each = docs.select("doc_id", "text", F.explode(F.array(*[F.lit(i) for i, *_ in limits])).alias("limit_id"))
-    joined = F.array_join(F.transform("_p", lambda x: F.substring("text", x["core_lo"] + 1, x["piece_hi"] - x["core_lo"])), "")
-    fits = F.coalesce((F.col("_n") <= most[F.col("limit_id")]) & (F.col("_o") >= 0), F.lit(True))
-    return each.join(by, ["doc_id", "limit_id"], "left").select("limit_id", "doc_id", F.md5(F.coalesce(joined, "text")).alias("digest"), fits.alias("fits"))
+    by = pieces.groupBy("doc_id", "limit_id").agg(F.array_sort(F.collect_list(F.struct("core_lo", "piece_hi"))).alias("p"), F.max("n_tokens").alias("n"))
+    # all limits of a document meet its text in one row, so that texts are shuffled once
+    lists = by.groupBy("doc_id").agg(F.collect_list(F.struct("limit_id", "p", "n")).alias("_l"))
+    each = docs.select("doc_id", "text").join(lists, "doc_id", "left")
+    of = lambda i: F.try_element_at(F.filter("_l", lambda x: x["limit_id"] == i), F.lit(1))
+    joined = lambda x: F.array_join(F.transform(x["p"], lambda y: F.substring("text", y["core_lo"] + 1, y["piece_hi"] - y["core_lo"])), "")
+    rows = [F.struct(F.lit(i).alias("limit_id"), F.md5(F.coalesce(joined(of(i)), "text")).alias("digest"), F.coalesce(of(i)["n"] <= m, F.lit(True)).alias("fits")) for i, _, m, _ in limits]
+    return each.select("doc_id", F.inline(F.array(*rows)))
 
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -68,17 +68,17 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3))], names=["term_key", "seen", "survived", "records"])
 
 
-def term_frequency(df: DataFrame, key: Column, record: Column, seen: Column, survived: Column) -> DataFrame:
+def term_frequency(df: DataFrame, key: Column, record: Column, seen: Column, survived: Column, salts: int = SALTS) -> DataFrame:
     """(term_key, seen, survived, records) of every distinct key, exact.
 
     Rows with a null key are left out. A null count adds nothing; a null record adds to
     the counts but is no record. Repeated rows count each time; deduplicate before.
     Columns of ``df`` clash with nothing, only the four expressions are read. Each key's
-    records are spread over SALTS tasks by the record's hash, so the record counts of the
+    records are spread over ``salts`` tasks by the record's hash, so the record counts of the
     parts add up and a hot key meets no single task; the parts are summed at the end.
     """
     rows = df.select(key.alias("k"), record.cast("bigint").alias("r"), F.coalesce(seen.cast("bigint"), F.lit(0)).alias("s"), F.coalesce(survived.cast("bigint"), F.lit(0)).alias("v")).where("k is not null")
-    parts = rows.repartition(F.col("k"), F.pmod(F.xxhash64("r"), F.lit(SALTS))).sortWithinPartitions("k", "r")
+    parts = rows.repartition(F.col("k"), F.pmod(F.xxhash64("r"), F.lit(salts))).sortWithinPartitions("k", "r")
     each = parts.mapInArrow(_last_seen, "term_key string, seen bigint, survived bigint, records bigint")
     return each.groupBy("term_key").agg(F.sum("seen").alias("seen"), F.sum("survived").alias("survived"), F.sum("records").alias("records"))
 
