@@ -5,9 +5,10 @@ from __future__ import annotations
 import bisect
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import let
@@ -109,21 +110,22 @@ def mask(text: str, rules: list[re.Pattern]) -> tuple[str, list[tuple[str, str]]
 
 
 def _masker(rules_of):
-    """Column function of a text and, if the rules depend on it, its format: a struct of MASKED; null for null."""
+    """Column function of a text and its format: a struct of MASKED; null for null or a format without rules. One Arrow pass."""
+    kind = to_arrow_type(MASKED)
 
-    @F.pandas_udf(MASKED)
-    def run(texts: pd.Series, fmts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(MASKED)
+    def run(texts: pa.Array, fmts: pa.Array) -> pa.Array:
         known: dict = {}
-        rows = []
-        for t, f in zip(texts, fmts):
+        rows: list[dict | None] = []
+        for t, f in zip(texts.to_pylist(), fmts.to_pylist()):
             if f not in known:
                 known[f] = rules_of(f)
             if t is None or known[f] is None:
-                rows.append((None, None, None))
+                rows.append(None)
                 continue
             m, mapping, groups = mask(t, known[f])
-            rows.append((m, [{"key": k, "frag": x} for k, x in mapping], [{"open": a, "close": b} for a, b in groups]))
-        return pd.DataFrame(rows, columns=["text", "mapping", "groups"])
+            rows.append({"text": m, "mapping": [{"key": k, "frag": x} for k, x in mapping], "groups": [{"open": a, "close": b} for a, b in groups]})
+        return pa.array(rows, kind)
 
     return run
 

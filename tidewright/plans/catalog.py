@@ -423,7 +423,7 @@ def _mask(spark: SparkSession, d: str) -> DataFrame:
     """Every document masked by its own format's rules, and restored."""
     docs = table(spark, d, "documents").where("text is not null")
     m = docs.select("doc_id", masking.masker()("text", F.coalesce(base.format_of(F.col("path")), F.lit("markdown"))).alias("m"))
-    return m.select("doc_id", F.md5(masking.unmask(F.col("m.text"), F.col("m.mapping"))).alias("digest"), (F.size("m.mapping") == F.size(F.array_distinct(T.sentinels(F.col("m.text"))))).alias("placed"))
+    return m.select("doc_id", F.md5(masking.unmask(F.col("m.text"), F.col("m.mapping"))).alias("digest"), F.forall("m.mapping", lambda x: F.contains(F.col("m.text"), x["key"])).alias("placed"))
 
 
 add("mask_and_restore", _mask, "SELECT doc_id, md5(text) AS digest, true AS placed FROM documents WHERE text IS NOT NULL")
