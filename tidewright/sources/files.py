@@ -114,8 +114,9 @@ def frontmatter(raw: str) -> tuple[dict, str]:
             continue
         k, v = scalar(pair.group(1)), pair.group(2).strip()
         if line[0] in " \t" and key:
-            out[key] = out.get(key) if isinstance(out.get(key), dict) else {}
-            out[key][k] = scalar(v)
+            if not isinstance(out.get(key), str):  # what has a value of its own holds no others
+                out[key] = out.get(key) if isinstance(out.get(key), dict) else {}
+                out[key][k] = scalar(v)
         else:
             key, out[k] = k, scalar(v) if v else None
     return out, m.group(2).strip()
@@ -147,8 +148,9 @@ def parsed_persona(name: str, raw: str) -> Persona:
     """A persona from a file's text: settings before the guidance, or guidance alone."""
     meta, body = frontmatter(raw)
     forbid, openers = meta.get("forbid"), meta.get("banned_openers")
+    said = lambda key: v if isinstance(v := meta.get(key), str) else ""
     return Persona(
-        meta.get("name") or name, body or None, meta.get("description") or "",
+        said("name") or name, body or None, said("description"),
         tuple(forbid.items()) if isinstance(forbid, dict) else (), tuple(openers) if isinstance(openers, list) else (),
     )
 
