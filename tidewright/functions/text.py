@@ -69,16 +69,16 @@ def strip_control_tokens(text: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """Sorted multiset of digit sequences; separators inside a number don't count."""
-    return F.array_sort(F.transform(_all(without_sentinels(text), P.NUMBER), lambda x: F.regexp_replace(x, r"[^\p{Nd}]", "")))
+    return F.sort_array(F.transform(_all(without_sentinels(text), P.NUMBER), lambda x: F.regexp_replace(x, r"[^\p{Nd}]", "")))
 
 
 def identifiers(text: Column) -> Column:
     """Sorted multiset of tokens that begin with a letter and hold a digit."""
-    return F.array_sort(F.transform(_all(without_sentinels(text), P.IDENTIFIER), lambda x: F.regexp_replace(x, r"[.-]+\z", "")))
+    return F.sort_array(F.transform(_all(without_sentinels(text), P.IDENTIFIER), lambda x: F.regexp_replace(x, r"[.-]+\z", "")))
 
 
 def escapes(text: Column) -> Column:
-    return F.array_sort(_all(without_sentinels(text), P.ESCAPE))
+    return F.sort_array(_all(without_sentinels(text), P.ESCAPE))
 
 
 def _cues(text: Column, words: list[str]) -> Column:
@@ -129,7 +129,7 @@ def multiset_delta(a: Column, b: Column) -> Column:
         every = F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1))), one))
         return F.filter(F.coalesce(every, F.array().cast("array<struct<x:string,n:int>>")), lambda r: r["n"] != 0)
 
-    merged = lambda z: F.array_sort(F.concat(_runs(z["a"], 1), _runs(z["b"], -1)))
+    merged = lambda z: F.sort_array(F.concat(_runs(z["a"], 1), _runs(z["b"], -1)))
     none = F.array().cast("array<struct<x:string,n:int>>")
     both = lambda z: F.when(z["a"] == z["b"], none).when(z["a"].isNotNull() & z["b"].isNotNull(), let(merged(z), summed))
     return let(F.struct(a.alias("a"), b.alias("b")), both)
@@ -192,11 +192,11 @@ def _equal(a: Column, b: Column, name: str, word: str) -> Column:
 
 
 def check_sentinels(src: Column, out: Column) -> Column:
-    return _equal(F.array_sort(sentinels(src)), F.array_sort(sentinels(out)), "sentinels", "invented")
+    return _equal(F.sort_array(sentinels(src)), F.sort_array(sentinels(out)), "sentinels", "invented")
 
 
 def check_control_tokens(src: Column, out: Column) -> Column:
-    return let(F.array_sort(F.array_distinct(_all(out, P.CONTROL_LEAK))), lambda x: _check(F.size(x) == 0, "control_tokens", F.concat(F.lit("leaked "), _listed(x))))
+    return let(F.sort_array(F.array_distinct(_all(out, P.CONTROL_LEAK))), lambda x: _check(F.size(x) == 0, "control_tokens", F.concat(F.lit("leaked "), _listed(x))))
 
 
 def check_chatter(src: Column, out: Column) -> Column:
@@ -214,7 +214,7 @@ def check_numbers(src: Column, out: Column) -> Column:
 
 
 def check_escapes(src: Column, out: Column) -> Column:
-    return _equal(F.array_sort(_all(src, P.ESCAPE)), F.array_sort(_all(out, P.ESCAPE)), "escapes", "invented")
+    return _equal(F.sort_array(_all(src, P.ESCAPE)), F.sort_array(_all(out, P.ESCAPE)), "escapes", "invented")
 
 
 def check_negation(src: Column, out: Column) -> Column:

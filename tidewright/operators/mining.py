@@ -18,7 +18,7 @@ def measure(pairs: DataFrame, original: str = "original", final: str = "final",
     p = pairs.where(F.col(original).isNotNull() & F.col(final).isNotNull())
     out = F.lower(final)
     found = T.let(F.struct(T.candidate_terms(F.col(original)).alias("t"), out.alias("o")), lambda z: F.transform(z["t"], lambda x: F.struct(x.alias("term"), F.contains(z["o"], F.lower(x)).alias("kept"))))
-    t = p.select(*([key] if key else []), found.alias("_f")).where("size(_f) > 0")
+    t = p.select(*([key] if key else []), found.alias("_f"))
     t = (once(t, key) if key else t).select(F.inline("_f"))
     g = t.groupBy("term").agg(F.count("*").alias("seen"), F.count_if("kept").alias("survived"))
     return g.withColumn("survival", T.survival(F.col("seen"), F.col("survived")))

@@ -117,7 +117,7 @@ def splice(docs: DataFrame, replacements: DataFrame, id_col: str = "doc_id", tex
 
     A document's replacements meet its text in one row, as an array sorted by start; each takes what lies before it along. Repeated
     spans count once. Documents without replacements stay; the text crosses the network once, in a join on the document."""
-    per = replacements.groupBy(id_col, "start", "end").agg(F.max("new").alias("new")).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("_r"))
+    per = replacements.groupBy(id_col, "start", "end").agg(F.max("new").alias("new")).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end", "new"))).alias("_r"))
     d = docs.select(id_col, F.col(text_col).alias("_t")).join(per, id_col, "left")
     at = lambda k: F.coalesce(F.try_element_at(F.col("_r"), k)["end"], F.lit(0))
 

@@ -11,7 +11,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import graph, masking, mining, report, spans
 from ..operators.cache import through_cache
-from ..session import table
+from ..session import spread, table
 from ..sources import base, files
 from . import translate
 
@@ -193,7 +193,7 @@ scalar("hedge_cues", "segment_results", "result_id", T.hedge_count, ["final"], s
 scalar("sentence_stops", "segment_results", "result_id", T.sentence_count, ["original"], f"CASE WHEN original IS NOT NULL THEN {s_sentences('original')} END")
 scalar("lost_numbers", "segment_results", "result_id", lambda o, f: T.multiset_minus(T.numbers(o), T.numbers(f)), OF, s_minus(s_numbers("original"), s_numbers("final")), BOTH)
 scalar("content_overlap", "segment_results", "result_id", lambda o, f: F.round(T.jaccard(T.content_words(o), T.content_words(f)), 9), OF, f"round({s_jaccard(s_content('original'), s_content('final'))}, 9)", BOTH)
-scalar("candidate_terms", "segment_results", "result_id", lambda o: F.array_sort(T.candidate_terms(o)), ["original"], f"list_sort({s_candidates('original')})", "original IS NOT NULL")
+scalar("candidate_terms", "segment_results", "result_id", lambda o: F.sort_array(T.candidate_terms(o)), ["original"], f"list_sort({s_candidates('original')})", "original IS NOT NULL")
 
 
 def _verdict(same: bool) -> Query:
@@ -272,7 +272,7 @@ add("fidelity_issues", _issues, s_issues())
 
 def _differences(spark: SparkSession, d: str) -> DataFrame:
     """Words that each final lost or gained, with multiplicity: two multisets compared inside the row, so no word is shuffled."""
-    words = lambda c: F.array_sort(F.filter(F.split(F.lower(c), rf"[{SP}]+", -1), lambda w: w != ""))
+    words = lambda c: F.sort_array(F.filter(F.split(F.lower(c), rf"[{SP}]+", -1), lambda w: w != ""))
     r = raw(spark, d).where(BOTH).select("result_id", T.multiset_delta(words("original"), words("final")).alias("w")).dropDuplicates(["result_id"]).select("result_id", F.inline("w"))
     return r.select("result_id", F.col("x").alias("word"), F.greatest("n", F.lit(0)).cast("bigint").alias("lost"), F.greatest(-F.col("n"), F.lit(0)).cast("bigint").alias("gained"))
 
@@ -453,7 +453,7 @@ add("scores", lambda s, d: report.scores(flags(s, d)).select("segments", "fallba
     f"SELECT count(*) AS segments, count_if(NOT translated) AS fallback, count_if(translated AND final <> original) AS changed, CAST(coalesce(sum({s_high('issues')}), 0) AS BIGINT) AS severe, round(100.0 * (1 - coalesce(sum({s_high('issues')}), 0) / CAST(greatest(count_if(translated AND final <> original), 1) AS DOUBLE)), 6) AS meaning, round(100.0 * (count(*) - count_if(NOT translated)) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS completion FROM {ONCE}")
 add("longest_changed", lambda s, d: report.longest_changed(flags(s, d)), f"SELECT result_id, length(original) AS chars FROM {ONCE} WHERE translated AND final <> original ORDER BY chars DESC, result_id LIMIT 25")
 add("structure_differences", lambda s, d: report.structure(raw(s, d), "result_id", "original", "final"), s_structure("original", "final", "result_id", f"(SELECT DISTINCT result_id, original, final FROM segment_results WHERE {BOTH})"))
-add("structure_of_files", lambda s, d: report.structure(table(s, d, "documents").withColumn("other", F.regexp_replace(F.regexp_replace("text", r"\$[^$]*\$", ""), "e", "e1")), "doc_id", "text", "other"),
+add("structure_of_files", lambda s, d: report.structure(spread(table(s, d, "documents").select("doc_id", "text")).withColumn("other", F.regexp_replace(F.regexp_replace("text", r"\$[^$]*\$", ""), "e", "e1")), "doc_id", "text", "other"),
     s_structure("text", "other", "doc_id", "(SELECT doc_id, text, replace(regexp_replace(text, '\\$[^$]*\\$', '', 'g'), 'e', 'e1') AS other FROM documents WHERE text IS NOT NULL)"))
 
 

@@ -21,7 +21,7 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
     """(path, text) of the LaTeX files: file n of its project, by path, includes files 2n and 2n + 1; the first is a document."""
     docs = table(spark, d, "documents").where("fmt = 'tex' and path is not null").select(F.coalesce("project", F.lit("")).alias("project"), "path", F.lit("").alias("text"))
     n = cut(graph.roots_first(docs, "project").select("project", "path", "ordinal"))
-    child = n.select("project", (F.floor(F.col("ordinal") / 2)).cast("int").alias("ordinal"), F.struct("ordinal", F.regexp_replace("path", r"\.tex$", "").alias("stem")).alias("c")).groupBy("project", "ordinal").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    child = n.select("project", (F.floor(F.col("ordinal") / 2)).cast("int").alias("ordinal"), F.struct("ordinal", F.regexp_replace("path", r"\.tex$", "").alias("stem")).alias("c")).groupBy("project", "ordinal").agg(F.sort_array(F.collect_list("c")).alias("c"))
     j = n.join(child, ["project", "ordinal"], "left")
     named = F.array_join(F.transform(F.coalesce("c", F.array().cast(child.schema["c"].dataType)), lambda c: F.concat(F.lit("\\input{"), c["stem"], F.lit("}"))), "\n")
     text = F.concat(F.when(F.col("ordinal") == 1, F.lit("\\begin{document}\n")).otherwise(""), named, F.lit("\n% \\input{commented}\n\\include{missing-"), F.col("ordinal").cast("string"), F.lit("} \\subfile{"), F.element_at(F.split("path", "/"), -1), F.lit("}\n"))

@@ -44,7 +44,7 @@ def _american(f: Column) -> Column:
 scalar("restored_spelling", "segment_results", "result_id", lambda o, f: repair.restored_spelling(o, _american(f))["text"], OF, s_reworded(S_AMERICAN, S_SPELLED), BOTH)
 scalar("restored_capitals", "segment_results", "result_id", lambda o, f: repair.restored_capitals(o, F.lower(f))["text"], OF, s_reworded("lower(final)", f"coalesce({_FIRST.format(_LOW)}, w)"), BOTH)
 scalar("matched_case", "segment_results", "result_id", lambda f: T.match_case(F.lit("colour"), F.regexp_extract(f, P.WORD, 0)), ["final"], s_cased("'colour'", f"regexp_extract(final, {q(P.WORD)})"))
-scalar("vocabularies", "segment_results", "result_id", lambda o: F.array_sort(F.transform(F.map_entries(T.vocabulary(o)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ["original"],
+scalar("vocabularies", "segment_results", "result_id", lambda o: F.sort_array(F.transform(F.map_entries(T.vocabulary(o)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ["original"],
        f"(SELECT list_sort([k || '=' || sw[list_position(sk, k)] for k in list_distinct(sk)]) FROM (SELECT {s_all('original', P.WORD)} AS sw, [lower(x) for x in {s_all('original', P.WORD)}] AS sk))", "original IS NOT NULL")
 
 # ---- personas

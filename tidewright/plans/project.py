@@ -30,7 +30,7 @@ def reports(docs: DataFrame, results: DataFrame, pivots: list[str], model: str,
     """(relative, text) of a report for each document: its counts and its segments in order, as JSON. Documents without segments have one too."""
     segment = F.struct(F.array("start", "end").alias("span"), "original", "final", "hops", "attempts", "translated", "reason", "rules_applied", "issues")
     by = results.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.count_if("translated").alias("t"), F.count_if(F.col("translated") & (F.size("issues") > 0)).alias("i"), F.array_sort(F.collect_list(segment)).alias("s")
+        F.count("*").alias("n"), F.count_if("translated").alias("t"), F.count_if(F.col("translated") & (F.size("issues") > 0)).alias("i"), F.sort_array(F.collect_list(segment)).alias("s")
     )
     j = docs.select("doc_id", "fmt").join(by, "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
