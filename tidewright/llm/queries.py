@@ -118,7 +118,7 @@ def p8_joined(spark: SparkSession, d: str) -> DataFrame:
     a document within the limit is one piece."""
     docs, limits = table(spark, d, "documents").where("text is not null"), _limits(spark, d)
     pieces = splitting.split_corpus(docs, limits)
-    by = pieces.groupBy("doc_id", "limit_id").agg(F.array_sort(F.collect_list(F.struct("core_lo", "piece_hi"))).alias("p"), F.max("n_tokens").alias("n"))
+    by = pieces.groupBy("doc_id", "limit_id").agg(F.sort_array(F.collect_list(F.struct("core_lo", "piece_hi"))).alias("p"), F.max("n_tokens").alias("n"))
     # all limits of a document meet its text in one row, so that texts are shuffled once
     lists = by.groupBy("doc_id").agg(F.collect_list(F.struct("limit_id", "p", "n")).alias("_l"))
     each = docs.select("doc_id", "text").join(lists, "doc_id", "left")
