@@ -160,6 +160,32 @@ def test_mining(spark):
     assert mining.mine(p.limit(0)).count() == 0
 
 
+def test_glossary_file(spark, tmp_path):
+    p = spark.createDataFrame([("low-rank x Net5", "rank x")] * 4 + [("Net5 a", "net5 b")] * 9, "original string, final string")
+    mining.write_glossary(mining.mine(p), "runs", str(tmp_path / "g"))
+    text = "".join(x.read_text() for x in (tmp_path / "g").glob("part*"))
+    assert text.startswith("# Terms this round trip") and text.endswith("low-rank    # survived 0/4\n")
+    assert [r.term for r in files.read_glossary(spark, str(tmp_path / "g")).collect()] == ["low-rank"]
+    assert mining.glossary(mining.mine(p.limit(0)), "x").count() == 1
+
+
+def test_what_fails_is_tried_again(spark):
+    docs = spark.createDataFrame([(1, PROSE, "a.md", False)], DOC)
+    m = session.cut(translate.masked_segments(docs))
+    # greedy calls lose the placeholders, warmer ones keep them; only greedy ones are stored
+    ask = backends.get("client", connect=lambda: lambda system, text, temperature: text.replace("[[", "((") if temperature == 0 else text)
+    done, fresh = translate.hops_through_cache(m, ["de"], ask, spark.createDataFrame([], "key string, value string"), "m")
+    got = {r.text.split()[0]: (r.attempts, r.reason, len(r.hops)) for r in done.collect()}
+    assert got == {"The": (1, "", 2), "And": (2, "", 2)} and fresh.count() == 3
+    worse = backends.get("client", connect=lambda: lambda system, text, temperature: "")
+    done, _ = translate.hops_through_cache(m, ["de"], worse, spark.createDataFrame([], "key string, value string"), "m")
+    assert {(r.attempts, r.reason.split(";")[0]) for r in done.collect()} == {(2, "en->de: nonempty: model returned nothing")}
+    kept = translate.finish(done)
+    assert kept.where("final = original and not translated").count() == 2
+    with pytest.raises(ValueError):
+        translate.hops_through_cache(m, ["de"], worse, fresh, "m", attempts=0)
+
+
 def test_include_graph(spark):
     f = spark.createDataFrame([("main.tex", r"\input{sec/a} \include{missing} % \input{sec/b}"), ("sec/a.tex", r"\input{shared} \input{../main} \input{../../etc/passwd}"), ("sec/b.tex", ""), ("sec/shared.tex", "")], "path string, text string")
     e = graph.resolve(graph.include_edges(f), f)

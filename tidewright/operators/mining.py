@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -35,3 +35,16 @@ def glossary_line(term: Column, seen: Column, survived: Column) -> Column:
 
 def glossary_header(source: str, least: int = P.MIN_OCCURRENCES, most: float = P.MAX_SURVIVAL) -> str:
     return f"# Terms this round trip could not carry, mined from {source}.\n#\n# Each was seen at least {least} times and survived at most {100 * most:.0f}% of them.\n"
+
+
+def glossary(mined: DataFrame, source: str, least: int = P.MIN_OCCURRENCES, most: float = P.MAX_SURVIVAL) -> DataFrame:
+    """(ordinal, line) of a glossary of mined terms: what it is, then a line for each term, worst first."""
+    order = Window.orderBy("survival", F.desc("seen"), "term")  # mined terms are few: they have passed both thresholds
+    lines = mined.select(F.row_number().over(order).alias("ordinal"), glossary_line(F.col("term"), F.col("seen"), F.col("survived")).alias("line"))
+    head = mined.sparkSession.createDataFrame([(0, glossary_header(source, least, most))], "ordinal int, line string")
+    return head.unionByName(lines)
+
+
+def write_glossary(mined: DataFrame, source: str, path: str, **thresholds) -> None:
+    """The glossary as one text file in the folder ``path``; what was there is replaced."""
+    glossary(mined, source, **thresholds).coalesce(1).sortWithinPartitions("ordinal").select("line").write.mode("overwrite").text(path)

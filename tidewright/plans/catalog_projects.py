@@ -12,7 +12,7 @@ from ..operators import graph, report, spans
 from ..session import cut, table
 from ..sources import base, files
 from . import project, translate
-from .catalog import BOTH, ONCE, S_SPANS, STORED, _lengths, _span_rows, add, q, raw, s_all, s_strip, s_structure, s_words
+from .catalog import BOTH, ONCE, S_SPANS, STORED, _lengths, _span_rows, add, q, raw, s_strip, s_structure, s_words, scalar
 
 # ---- includes: the LaTeX files of a project as a tree, each file including two others, itself and one that is missing
 
@@ -124,6 +124,12 @@ add("span_subset", lambda s, d: spans.subset(_span_rows(s, d).select("doc_id", "
     f'SELECT doc_id, s AS start, e AS "end", CAST(k AS INT) AS seg_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e) - 1 AS k FROM {S_SPANS}) WHERE k IN (0, 2, 3)')
 
 
+# ---- prompts
+S_NAME = lambda c: f"coalesce(CASE lower({c}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.LANGUAGES.items()) + f" END, {c})"
+scalar("hop_prompts", "runs", "run_id", lambda p: F.transform(T.hop_chain(p), lambda x: translate.system_prompt(x["src"], x["dst"], "Be plain.")), ["pivot_chain"],
+       f"(SELECT ['Translate this technical text from ' || {S_NAME('l[i]')} || ' into ' || {S_NAME('l[i + 1]')} || '. ' || {q(translate.MECHANICS)} || CASE WHEN l[i + 1] = 'en' THEN ' Style, below these rules: Be plain.' ELSE '' END for i in range(1, len(l))] FROM (SELECT list_concat(['en'], pivot_chain, ['en']) AS l))")
+
+
 # ---- cache
 def _pending(spark: SparkSession, d: str) -> DataFrame:
     """How much of every document's originals the hops stored by a day spare, through one pivot and back."""
