@@ -324,7 +324,7 @@ def limits_of(results: DataFrame, runs: DataFrame) -> dict:
     carry hashes and lengths, and what comes to the driver are the limits."""
     size = lambda v: (F.xxhash64(v).alias("h"), F.length(v).alias("n0"), F.octet_length(v).alias("n1"))
     one = lambda f, v: F.struct(F.lit(f).alias("field"), *size(v))
-    every = results.where("result_id is not null and run_id is not null").select("run_id", F.explode(F.concat(F.array(one("final", F.col("final"))), F.coalesce(F.transform("hops", lambda v: one("hops", v)), F.array()))).alias("v")).select("run_id", "v.*").where("n0 is not null").distinct()
+    every = results.where("result_id is not null and run_id is not null").select("run_id", F.explode(F.concat(F.array(one("final", F.col("final"))), F.coalesce(F.transform("hops", lambda v: one("hops", v)), F.array()))).alias("v")).select("run_id", "v.*").where("n0 is not null")
     texts = every.join(_sources(runs), "run_id").select("source", "field", "h", "n0", "n1").distinct()
     n = texts.select("source", "field", F.posexplode(F.array("n0", "n1")).alias("unit", "k")).groupBy("source", "field", "unit", "k").agg(F.count("*").alias("c"))
     near = Window.partitionBy("source", "field", "unit").orderBy("k").rangeBetween(-12, 12)
