@@ -21,11 +21,9 @@ from pyspark.sql import functions as F
 from .sampling import first_by_hash, first_of_each
 from .sentences import CJK, REMEMBERED, Model, folded, split
 
-#: Rows of each pivot language that train the tables, the first ones by a hash of their id; the most characters and words of
-#: an original in each, as the learning goes over all pairs of words of a row.
+#: Rows of each pivot language in a sample of pairs, the first ones by a hash of their id; the most characters of an original in it.
 TRAIN_ROWS = 2000
 TRAIN_CHARS = 400
-TRAIN_WORDS = 60
 #: Share of a sentence's weight that its partner must render: for two sentences that
 #: choose each other, for a merge of neighbours, and for a part that has moved away from its other part.
 MUTUAL, MERGE, FAR = 0.34, 0.42, 0.62
@@ -70,8 +68,18 @@ class Languages:
         counts: dict[str, Counter] = defaultdict(Counter)
         for text, name in labelled:
             counts[name].update(self.features(text))
+        self._fit(counts)
+
+    @classmethod
+    def counted(cls, counts: dict[str, Counter]) -> Languages:
+        """The languages of texts whose features were counted elsewhere: how many texts of each language have each."""
+        got = cls.__new__(cls)
+        got._fit(counts)
+        return got
+
+    def _fit(self, counts: dict[str, Counter]) -> None:
         self.names = sorted(counts) or [""]
-        every = Counter(f for c in counts.values() for f in c.elements())
+        every = sum(counts.values(), Counter())
         self.place = {f: i for i, f in enumerate(f for f, n in every.items() if n > 1)}
         self.weight = np.zeros((len(self.place), len(self.names)))
         for k, name in enumerate(self.names):
@@ -138,14 +146,14 @@ class Tables:
 def train(pairs: list[tuple], rounds: int = 6, least: float = 0.04, keep: int = 12) -> Tables:
     """Tables from texts that render each other: (original, hop, language of the hop). A pair of unknown language, or given
     without one, has that which its words tell. Without pairs the tables are empty, and only words that are written alike
-    (names, numbers, marks) match. Pairs of more words than TRAIN_WORDS, or twice that in the hop, are left out."""
+    (names, numbers, marks) match. ``learning.train_whole`` gives the same for the pairs of a whole table."""
     labelled = [(h, p[2]) for p in pairs for h in (p[1],) if len(p) > 2 and p[2]]
     languages = Languages(labelled + [(p[0], ORIGINALS) for p in pairs if labelled])
     by: dict[str, list[tuple[list[str], list[str]]]] = defaultdict(list)
     for p in pairs:
         o, h = folded(p[0])[0], folded(p[1])[0]
         a, b = words(with_numbers(o, 0, len(o), numbered(o))), words(h)
-        if 0 < len(a) <= TRAIN_WORDS and 0 < len(b) <= 2 * TRAIN_WORDS:
+        if a and b:
             by[languages.of(p[1])].append((list(dict.fromkeys(a)), list(dict.fromkeys(b))))
     to, back, wa, wb = {}, {}, {}, {}
     for lang, rows in by.items():
@@ -364,7 +372,7 @@ def sample_pairs(results: DataFrame, runs: DataFrame | None = None, rows: int =
     """(original, first hop, pivot) of at most ``rows`` results of each pivot language, the first by a hash of their id: the
     bound of what comes to the driver, as there are few languages. Only translated rows of a size that tables can be learnt from.
 
-    Without runs the rows are drawn from all languages together. Rows of no known run are drawn with those of a null pivot.
+    For trials: the queries learn from all results (``learning.train_whole``). Without runs the rows are drawn from all languages together. Rows of no known run are drawn with those of a null pivot.
     Only ids are joined and counted; the texts of the chosen rows are read by a second scan."""
     ok = results.where(f"result_id is not null and translated and length(original) < {TRAIN_CHARS}").select("result_id", "run_id", "original", F.try_element_at("hops", F.lit(1)).alias("h")).where("h is not null and h <> ''")
     if runs is None:

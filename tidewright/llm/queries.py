@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import align, glyphs, mixing, models, sentences, splitting, termfreq, tokens, truncation
+from . import align, glyphs, learning, mixing, models, sentences, splitting, termfreq, tokens, truncation
 
 
 def _splitter(spark: SparkSession, d: str, folder: str | None = None) -> sentences.Model:
@@ -17,7 +17,7 @@ def _splitter(spark: SparkSession, d: str, folder: str | None = None) -> sentenc
 
 
 def _tables(spark: SparkSession, d: str, folder: str | None = None) -> align.Tables:
-    return models.kept(spark, folder and f"{folder}/tables", "align", lambda: align.train(align.sample_pairs(table(spark, d, "segment_results"), table(spark, d, "runs"))))
+    return models.kept(spark, folder and f"{folder}/tables", "align", lambda: learning.train_whole(table(spark, d, "segment_results"), table(spark, d, "runs")))
 
 
 def _scored(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
