@@ -58,10 +58,10 @@ def test_tables_without_results(spark, folder):
     assert unknown.languages.names == [""] and "lamp" in unknown.to[""].weight
 
 
-@pytest.mark.parametrize("pairs, cells, at_once", [(1 << 21, 1 << 22, 1 << 17), (40, 60, 7), (1, 1, 1)])
+@pytest.mark.parametrize("pairs, cells, at_once", [(1 << 21, 1 << 19, 1 << 17), (40, 60, 7), (1, 1, 1)])
 def test_rounds_in_parts_and_blocks(monkeypatch, pairs, cells, at_once):
     monkeypatch.setattr(learning, "BLOCK_PAIRS", pairs)
-    monkeypatch.setattr(learning, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(learning, "SLICE_CELLS", cells)
     monkeypatch.setattr(learning, "SLICE_PAIRS", at_once)
     rnd = random.Random(5)
     rows = [(rnd.sample(range(30), rnd.randint(1, 12)), rnd.sample(range(40), rnd.randint(1, 25)), rnd.randint(1, 3)) for _ in range(60)]
@@ -72,6 +72,7 @@ def test_rounds_in_parts_and_blocks(monkeypatch, pairs, cells, at_once):
     for b in learning._blocks([batch], ids, {(0, ""): (0, 3), (1, ""): (3, 2)}):
         for part, block in zip(*(c.to_pylist() for c in b.columns)):
             blocks[part].append((part, block))
+    blocks = {k: list(learning._merged(iter(v))) for k, v in blocks.items()}
     found = {k: next(learning._found(k, iter(v), names, vocabulary)) for k, v in blocks.items()}
     counts, totals = {}, None
     want = {0: Counter(), 1: Counter()}

@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from .align import ORIGINALS, Languages, Tables, _own, numbered, with_numbers, words
 from .sentences import folded
 
-#: Word pairs of rows that a block holds, and cells of its local table; a longer row takes several blocks. Bounds memory, not results.
-BLOCK_PAIRS, BLOCK_CELLS = 1 << 21, 1 << 22
-#: Word pairs that are worked on at once.
-SLICE_PAIRS = 1 << 17
+#: Word pairs of rows that a block of a task holds, a longer row takes several; as many times those in a block that is merged of several. Bounds memory, not results.
+BLOCK_PAIRS, MERGED = 1 << 21, 16
+#: Word pairs that are worked on at once, and cells of their table, so that a core's cache holds them.
+SLICE_PAIRS, SLICE_CELLS = 1 << 17, 1 << 19
 #: Word pairs that a partition counts at most, as far as rows and vocabularies tell beforehand.
 PART_PAIRS = 1 << 24
 
@@ -77,26 +77,26 @@ def _bags(languages: Languages):
 
 
 class _Block:
-    """Rows of one partition: the words that explain, and those of its explained words that each row has, as local numbers."""
+    """Rows of one partition: the words that explain, and those of its explained words that each row has; packed as local numbers."""
 
     def __init__(self):
-        self.x, self.y, self.a, self.la, self.b, self.lb, self.n, self.pairs = {}, {}, [], [], [], [], [], 0
+        self.a, self.la, self.b, self.lb, self.n, self.pairs = [], [], [], [], [], 0
 
     def full(self, a: list[int], b: list[int]) -> bool:
-        cells = (len(self.x) + len(a)) * (len(self.y) + len(b))
-        return bool(self.n) and (self.pairs + len(a) * len(b) > BLOCK_PAIRS or cells > BLOCK_CELLS)
+        return bool(self.n) and self.pairs + len(a) * len(b) > BLOCK_PAIRS
 
     def add(self, a: list[int], b: list[int], n: int) -> None:
-        self.a += [self.x.setdefault(w, len(self.x)) for w in a]
-        self.b += [self.y.setdefault(w, len(self.y)) for w in b]
+        self.a += a
+        self.b += b
         self.la.append(len(a))
         self.lb.append(len(b))
         self.n.append(n)
         self.pairs += len(a) * len(b)
 
     def packed(self) -> bytes:
-        of = lambda v: np.array(v, np.uint16 if max(v) < 1 << 16 else np.uint32)
-        return pickle.dumps((np.array(list(self.x), np.int64), np.array(list(self.y), np.int64), of(self.a), of(self.la), of(self.b), of(self.lb), np.array(self.n, np.float64)), protocol=5)
+        of = lambda v, most: np.asarray(v).astype(np.uint16 if most < 1 << 16 else np.uint32)
+        (x, a), (y, b) = (np.unique(np.array(v, np.int64), return_inverse=True) for v in (self.a, self.b))
+        return pickle.dumps((x, y, of(a, len(x)), of(self.la, max(self.la)), of(b, len(y)), of(self.lb, max(self.lb)), np.array(self.n, np.float64)), protocol=5)
 
 
 def _blocks(batches, ids, parts):
@@ -110,8 +110,8 @@ def _blocks(batches, ids, parts):
             a, b = [ids[lang, 0][w] for w in a], [ids[lang, 1][w] for w in b]
             for side, x, y in ((0, a, b), (1, b, a)):
                 first, k = parts[side, lang]
-                of: dict[int, list[int]] = defaultdict(list)
-                for w in y:
+                of: dict[int, list[int]] = {first: y} if k == 1 else defaultdict(list)
+                for w in y if k > 1 else ():
                     of[first + w % k].append(w)
                 most = max(1, BLOCK_PAIRS // len(x))
                 for part, ws in of.items():
@@ -127,6 +127,28 @@ def _blocks(batches, ids, parts):
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block.packed()], pa.binary())], names=schema)
 
 
+def _merged(records):
+    """Fewer blocks of a partition: those of several tasks together, with their words in order."""
+
+    def one():
+        xs, ys = np.unique(np.concatenate([h[0] for h in held])), np.unique(np.concatenate([h[1] for h in held]))
+        a, b = (np.concatenate([np.searchsorted(to, h[i])[h[2 + 2 * i]] for h in held]) for i, to in enumerate((xs, ys)))
+        of = lambda v, most: v.astype(np.uint16 if most < 1 << 16 else np.uint32)
+        return part, pickle.dumps((xs, ys, of(a, len(xs)), np.concatenate([h[3] for h in held]), of(b, len(ys)), np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held])), protocol=5)
+
+    held, pairs = [], 0
+    for part, block in records:
+        block = pickle.loads(block)
+        more = int((block[3].astype(np.int64) * block[5]).sum())
+        if held and pairs + more > MERGED * BLOCK_PAIRS:
+            yield one()
+            held, pairs = [], 0
+        held.append(block)
+        pairs += more
+    if held:
+        yield one()
+
+
 def _slices(block: tuple):
     """The word pairs of a block's rows, by explained words and as many at a time as a core's cache holds: their cells (explained
     word, explaining word) as numbers from a first one on; where the pairs of each explained word of a row begin, how many
@@ -136,10 +158,9 @@ def _slices(block: tuple):
     order = np.argsort(b, kind="stable")
     b, row = b[order].astype(np.int64) * len(x), np.repeat(np.arange(len(la)), lb)[order]
     size, start, n = la[row], (np.cumsum(la) - la)[row], n[row]
-    ends = np.cumsum(size)
-    cuts = np.unique(np.searchsorted(ends, np.arange(SLICE_PAIRS, ends[-1] + SLICE_PAIRS, SLICE_PAIRS), side="left") + 1).clip(max=len(ends))
-    lo = 0
-    for hi in np.unique(cuts):
+    ends, lo = np.cumsum(size), 0
+    while lo < len(b):
+        hi = max(lo + 1, min(np.searchsorted(ends, ends[lo] + SLICE_PAIRS), np.searchsorted(b, b[lo] + max(0, SLICE_CELLS - len(x)), side="right")))
         many, low = size[lo:hi], b[lo]
         first = np.cumsum(many) - many
         at = np.arange(first[-1] + many[-1])
@@ -150,6 +171,12 @@ def _slices(block: tuple):
         lo = hi
 
 
+def _distinct(keys: list[np.ndarray]) -> np.ndarray:
+    """The distinct numbers, in order; far faster than ``np.unique`` for numbers that come nearly in order."""
+    k = np.sort(np.concatenate(keys), kind="stable")
+    return k[np.append(True, k[1:] != k[:-1])] if len(k) else k
+
+
 def _found(part: int, records, names: list, vocabulary: dict):
     """The word pairs of a partition as sorted numbers, of which the differences are kept."""
     side, lang = names[part]
@@ -157,15 +184,14 @@ def _found(part: int, records, names: list, vocabulary: dict):
     for _, block in records:
         block = pickle.loads(block)
         x, y = block[:2]
-        there = np.zeros(len(x) * len(y), bool)
-        for cell, _, _, _, low, _ in _slices(block):
-            cell += low
+        for cell, _, _, _, low, high in _slices(block):
+            there = np.zeros(high - low, bool)
             there[cell] = True
-        u = np.flatnonzero(there)
-        more.append(y[u // len(x)] * n + x[u % len(x)])
+            u = np.flatnonzero(there) + low
+            more.append(y[u // len(x)] * n + x[u % len(x)])
         if sum(map(len, more)) > max(1 << 21, len(keys)):
-            keys, more = np.unique(np.concatenate([keys, *more])), []
-    steps = np.diff(np.unique(np.concatenate([keys, *more])), prepend=0)
+            keys, more = _distinct([keys, *more]), []
+    steps = np.diff(_distinct([keys, *more]), prepend=0)
     yield part, steps.astype(np.uint32) if len(steps) and steps.max() < 1 << 32 else steps
 
 
@@ -194,15 +220,15 @@ def _round(part: int, records, names: list, vocabulary: dict, totals):
         place[x] = -1
         known = local >= 0
         at, there = at[known], (np.repeat(np.arange(len(y)) * len(x), hi - lo) + local)[known]
-        if len(chance) < len(x) * len(y):
-            chance, got = np.zeros(len(x) * len(y)), np.zeros(len(x) * len(y))
-        chance[there] = p[at]  # of every cell that the rows have; what another block left in others is not read
-        got[there] = 0
         for cell, first, many, times, low, high in _slices(block):
-            z = chance[low:high][cell]
+            if len(chance) < high - low:
+                chance = np.zeros(high - low)
+            i, j = np.searchsorted(there, (low, high))
+            own, of = there[i:j] - low, at[i:j]
+            chance[own] = p[of]  # of every cell that the rows have; what another slice left in others is not read
+            z = chance[cell]
             z *= np.repeat(times / np.add.reduceat(z, first), many)
-            got[low:high] += np.bincount(cell, z, high - low)
-        counts[at] += got[there]
+            counts[of] += np.bincount(cell, z, high - low)[own]
     yield part, counts, np.bincount(keys % n, counts, n)
 
 
@@ -257,7 +283,7 @@ def train_whole(results: DataFrame, runs: DataFrame, rounds: int = 6, least: flo
             parts[side, lang] = len(names), k
             names += [(side, lang)] * k
     blocks = bags.mapInArrow(partial(_blocks, ids=ids, parts=parts), "part int, block binary").rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(len(names), int)
-    blocks = blocks.map(lambda r: r, preservesPartitioning=True).persist(StorageLevel.DISK_ONLY)  # in the form that states have, so that a union leaves both as they are
+    blocks = blocks.mapPartitions(_merged, preservesPartitioning=True).persist(StorageLevel.DISK_ONLY)
     found = blocks.mapPartitionsWithIndex(partial(_found, names=names, vocabulary=vocabulary), preservesPartitioning=True).persist(StorageLevel.DISK_ONLY)
     counts = totals = None
     for _ in range(rounds):
